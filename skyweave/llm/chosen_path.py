@@ -8,10 +8,13 @@ coordinates a node, a pair of similarity s stays together in a tree of any depth
 with probability q = 1 - (1 - s q)^2, at least 0.88 for s = 0.75, so ``TREES``
 trees miss such a pair with probability below 1e-6.
 
-What is compared exhaustively is compared by sketch; pairs that pass are
-confirmed on full sets, and links make components.  Nodes that stay large to the
-last level are mostly one component: only their pairs across components are
-left, and these are compared exactly in a grid of bounded blocks.
+Documents of a node are first linked to their nearest partner by sketch, confirmed
+on full sets, and joined to components.  Only nodes that still hold several
+components go on: small ones are compared exhaustively across components, large
+ones with few documents outside their largest component deal that component to
+blocks and compare every block with the few, and the others branch on.  What is
+still large at the last level is dealt to blocks too, so the result never
+depends on a cap.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.shared import Scratch, connected_components
+from skyweave.llm.shared import Scratch, connected_components, restrict
 from skyweave.llm.text_kernel import shingle_sets
 
-#: Coordinates of a sketch; each holds 16 bits of a minwise value.
+#: Coordinates of a sketch; each holds 32 bits of a minwise value, the lower halves of all first.
 COORDINATES = 64
 
 
@@ -38,7 +41,7 @@ class Settings:
     ``leaf``: documents that a node may have to be compared exhaustively.
     ``block``: the same for blocks of nodes that never became small.
     ``passes``: equal coordinates, of 64, with which a pair goes to the exact
-    check; a pair of similarity 0.75 has fewer with probability below 1e-8.
+    check; a pair of similarity 0.75 has fewer with probability below 1e-6.
     """
 
     words: int = 5
@@ -48,7 +51,7 @@ class Settings:
     leaf: int = 100
     depth: int = 5
     block: int = 1000
-    passes: int = 27
+    passes: int = 30
     seed: int = 1
 
 
@@ -58,14 +61,14 @@ def _sketcher(seed: int):
     shift = rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
     def sketch(own: np.ndarray) -> bytes:
-        """16 bits of the least value under each of the hash functions."""
+        """32 bits of the least value under each of the hash functions."""
         least = np.full(COORDINATES, np.iinfo(np.uint64).max)
         for at in range(0, len(own), 4096):
             value = own[at : at + 4096, None] * factor + shift
             value ^= value >> np.uint64(32)
             np.minimum(least, value.min(0), out=least)
         least = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (least >> np.uint64(48)).astype(np.uint16).tobytes()
+        return (least >> np.uint64(48)).astype(np.uint16).tobytes() + (least >> np.uint64(32)).astype(np.uint16).tobytes()
 
     return sketch
 
@@ -96,15 +99,16 @@ def _children(rows: DataFrame, path, settings: Settings) -> DataFrame:
     for branch in range(settings.branches):
         # coordinates of a node: two different ones, from its path
         slot = F.pmod(F.xxhash64(path, F.lit(settings.seed)) + branch * (1 + 2 * F.pmod(F.xxhash64(path, F.lit(-7)), F.lit(31))), F.lit(COORDINATES)).cast("int")
-        value = F.substring("sketch", 1, 2 * COORDINATES)  # the whole sketch
-        piece = value.substr(slot * 2 + 1, F.lit(2))
-        chosen.append(F.xxhash64(path, slot, piece))
+        low, high = (F.col("sketch").substr(slot * 2 + 1 + half, F.lit(2)) for half in (0, 2 * COORDINATES))
+        chosen.append(F.xxhash64(path, slot, low, high))
     return rows.select("rep", F.explode(F.array(*chosen)).alias("path"))
 
 
-def _compare(groups: DataFrame, settings: Settings) -> DataFrame:
+def _compare(groups: DataFrame, settings: Settings, nearest: bool = False) -> DataFrame:
     """(a, b, near) for pairs of a group whose sketches pass and whose labels differ.
 
+    With ``nearest`` only the pair of each document with its nearest partner.
+
     ``groups``: (node, cell, rep, label, at, sketch).  Of a pair, cell must be the
     block ``at`` of one of the two; groups have bounded sizes and arrive sorted,
     so a task holds one Arrow batch and one group.
@@ -115,8 +119,18 @@ def _compare(groups: DataFrame, settings: Settings) -> DataFrame:
         order = np.argsort(reps, kind="stable")
         reps, labels, at, sketch = reps[order], labels[order], at[order], sketch[order]
         step = max(1, 4_000_000 // (len(reps) * COORDINATES))
-        for i in range(0, len(reps) - 1, step):
+        for i in range(0, len(reps), step):
             rows = np.arange(i, min(i + step, len(reps)))
+            if nearest:
+                near = (sketch[rows, None, :] == sketch[None]).sum(2)
+                near[rows - i, rows] = -1
+                near[:, :][reps[rows, None] == reps[None]] = -1
+                y = near.argmax(1)
+                n, x = near[rows - i, y], rows
+                ok = n >= settings.passes
+                x, y, n = x[ok], y[ok], n[ok]
+                out.append((np.minimum(reps[x], reps[y]), np.maximum(reps[x], reps[y]), n))
+                continue
             near = (sketch[rows, None, :] == sketch[None, i:, :]).sum(2)
             x, y = np.nonzero(near >= settings.passes)
             n = near[x, y]
@@ -156,7 +170,8 @@ def _compare(groups: DataFrame, settings: Settings) -> DataFrame:
         if held:
             yield work(pa.Table.from_batches(held).combine_chunks())
 
-    parts = groups.select("node", "cell", "rep", "label", "at", "sketch").repartition("node", "cell").sortWithinPartitions("node", "cell")
+    half = F.col("sketch").substr(F.lit(1), F.lit(2 * COORDINATES)).alias("sketch")
+    parts = groups.select("node", "cell", "rep", "label", "at", half).repartition("node", "cell").sortWithinPartitions("node", "cell")
     return parts.mapInArrow(run, "a long, b long, near long").groupBy("a", "b").agg(F.max("near").alias("near"))
 
 
@@ -173,7 +188,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
                     sets.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "elements"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = restrict(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", wanted)
     return texts.join(wanted, "rep").select("rep", "set_key", "text").mapInArrow(run, "rep long, elements array<long>")
 
 
@@ -207,76 +222,73 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     full = rows.where("set_key is not null")
     classes = scratch.keep(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "sketch")).alias("least")).select("set_key", F.col("least.doc_id").alias("rep"), F.col("least.sketch").alias("sketch")))
 
-    # Levels: nodes of one document go, small ones are leaves, large ones branch on.
     level = None
     for tree in range(settings.trees):
         own = _children(classes, F.lit(tree).cast("long"), settings)
         level = own if level is None else level.unionByName(own)
-    leaves, rest = [], None
-    for depth in range(settings.depth):
-        # a document may reach a node once only
-        level = scratch.keep(level)
-        sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        sized = scratch.keep(level.join(sizes, "path"))
-        scratch.drop(level)
-        leaves.append(sized.where(F.col("n") <= settings.leaf).select("path", "rep"))
-        rest = sized.where(F.col("n") > settings.leaf)
-        if depth == settings.depth - 1 or rest.isEmpty():
-            break
-        level = _children(rest.select("path", "rep").join(classes.select("rep", "sketch"), "rep").withColumnRenamed("path", "parent"), F.col("parent"), settings)
-    leaf = leaves[0]
-    for own in leaves[1:]:
-        leaf = leaf.unionByName(own)
-    leaf = leaf.select(F.col("path").alias("node"), F.lit(0).alias("cell"), "rep")
-    # Nodes that stayed large: first blocks at random, each with the node's first document.
-    blocks = F.ceil(F.col("n") / settings.block)
-    large = scratch.keep(rest.select("path", "rep", F.pmod(F.xxhash64("path", "rep"), blocks).cast("int").alias("cell"), blocks.cast("int").alias("blocks")))
-    some_large = not large.isEmpty()
-    groups = leaf
-    if some_large:
-        first = large.groupBy("path", "blocks").agg(F.min("rep").alias("rep"))
-        spread = first.select("path", "rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cell"))
-        groups = leaf.unionByName(large.select("path", "rep", "cell").unionByName(spread).distinct().select(F.col("path").alias("node"), "cell", "rep"))
-    lone = groups.join(classes.select("rep", "sketch"), "rep").withColumn("label", F.col("rep")).withColumn("at", F.col("cell"))
-    pairs = scratch.keep(_compare(lone, settings))
-
-    # The nearest partner of each document first; then what still lies across components.
+    nodes = _sized(scratch.keep(level), scratch)
+    sketch = classes.select("rep", "sketch")
+
+    # The nearest partner in every node, large nodes in blocks at random with their first document in each.
+    blocks = F.ceil(F.col("n") / settings.block).cast("int")
+    cell = F.when(F.col("n") <= settings.leaf, 0).otherwise(F.pmod(F.xxhash64("path", "rep"), blocks)).cast("int")
+    groups = nodes.select(F.col("path").alias("node"), cell.alias("cell"), "rep")
+    first = nodes.where(F.col("n") > settings.block).groupBy("path", "n").agg(F.min("rep").alias("rep"))
+    groups = groups.unionByName(first.select(F.col("path").alias("node"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("cell"), "rep"))
+    groups = groups.join(sketch, "rep").withColumn("label", F.col("rep")).withColumn("at", F.col("cell"))
+    pairs = scratch.keep(_compare(groups, settings, nearest=True))
     ends = pairs.select(F.col("a").alias("rep"), "a", "b", "near").unionByName(pairs.select(F.col("b").alias("rep"), "a", "b", "near"))
-    nearest = ends.groupBy("rep").agg(F.max(F.struct("near", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-    if some_large:
-        reps = reps.unionByName(large.select("rep"))
-    wanted = classes.join(reps.distinct(), "rep").select("rep", "set_key")
-    sets = scratch.keep(_sets(docs, wanted, settings))
-    links = scratch.keep(_confirm(nearest, sets, settings))
-    label = scratch.keep(connected_components(links, scratch))
-    across = _across(pairs, label, settings)
-    more = scratch.keep(_confirm(across, sets, settings))
-    links = links.unionByName(more)
+    nearest = scratch.keep(ends.groupBy("rep").agg(F.max(F.struct("near", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
+    known = scratch.keep(_sets(docs, _ends(nearest, classes), settings))
+    links = scratch.keep(_confirm(nearest, known, settings))
     label = scratch.keep(connected_components(links, scratch))
 
-    if some_large:
-        # Exactly the rest: in each large node its largest component is dealt to blocks, every other document to all.
-        named = large.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        parts = named.groupBy("path", "label").agg(F.count("*").alias("n"))
-        major = parts.groupBy("path").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("m")).where("labels > 1").select("path", F.col("m.label").alias("major"))
-        open_nodes = named.join(major, "path")
-        everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-        dealt = open_nodes.select(
-            F.col("path").alias("node"), "rep", "label",
-            F.when(F.col("label") == F.col("major"), -1).otherwise(F.col("cell")).alias("at"),
-            F.explode(F.when(F.col("label") == F.col("major"), F.array("cell")).otherwise(everywhere)).alias("cell"),
-        )
-        left = scratch.keep(_compare(dealt.join(classes.select("rep", "sketch"), "rep"), settings))
-        links = links.unionByName(_confirm(left, sets, settings))
-        label = scratch.keep(connected_components(links, scratch))
+    # Nodes that still hold several components.
+    dealt = None
+    for depth in range(settings.depth):
+        open_nodes = scratch.keep(_open(nodes, label))
+        few = (F.col("n") <= settings.leaf) | (F.col("minors") <= settings.leaf) | F.lit(depth == settings.depth - 1)
+        own = _deal(open_nodes.where(few), settings)
+        dealt = own if dealt is None else dealt.unionByName(own)
+        more = open_nodes.where(~few)
+        if depth == settings.depth - 1 or more.isEmpty():
+            break
+        level = _children(more.select(F.col("path").alias("parent"), "rep").join(sketch, "rep"), F.col("parent"), settings)
+        nodes = _sized(scratch.keep(level), scratch)
+    across = scratch.keep(_compare(dealt.join(sketch, "rep"), settings).join(nearest, ["a", "b"], "left_anti"))
+    fresh = _sets(docs, _ends(across, classes).join(known.select("rep"), "rep", "left_anti"), settings)
+    known = known.unionByName(scratch.keep(fresh))
+    links = scratch.keep(links.unionByName(_confirm(across, known, settings)))
+    label = scratch.keep(connected_components(links, scratch))
 
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _across(pairs: DataFrame, label: DataFrame, settings: Settings) -> DataFrame:
-    x = label.select(F.col("node").alias("a"), F.col("component").alias("la"))
-    y = label.select(F.col("node").alias("b"), F.col("component").alias("lb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+def _sized(level: DataFrame, scratch: Scratch) -> DataFrame:
+    """(path, rep, n) of nodes with more than one document."""
+    sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+    return scratch.keep(level.join(sizes, "path"))
+
+
+def _ends(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    return classes.select("rep", "set_key").join(reps, "rep")
+
+
+def _open(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """(path, rep, n, label, major, minors) of nodes with several components; major: the largest one's label."""
+    named = nodes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("path", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    parts = named.groupBy("path", "n", "label").agg(F.count("*").alias("own"))
+    major = parts.groupBy("path", "n").agg(F.max(F.struct("own", "label")).alias("m")).where("m.own < n")
+    return named.join(major.select("path", F.col("m.label").alias("major"), (F.col("n") - F.col("m.own")).alias("minors")), "path")
+
+
+def _deal(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """Groups for ``_compare``: the largest component in blocks, every other document in all of them."""
+    blocks = F.when(F.col("n") <= settings.leaf, 1).otherwise(F.ceil(F.col("n") / settings.block)).cast("int")
+    own = F.pmod(F.xxhash64("path", "rep"), blocks).cast("int")
+    major = F.col("label") == F.col("major")
+    cells = F.when(major, F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))
+    return nodes.select(F.col("path").alias("node"), "rep", "label", F.when(major, -1).otherwise(own).alias("at"), F.explode(cells).alias("cell"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import chosen_path, fertility, piece_viterbi, token_counts, toxicity
+from skyweave.llm import chat_format, chosen_path, fertility, licenses, line_dedup, mixing, nn_descent, piece_viterbi, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,26 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.format_chats(chat_format.with_probe(_table(spark, sf_dir, "conversations"))))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.plan(_table(spark, sf_dir, "documents")))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -45,9 +65,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_tokeniser_fertility, op2_sentencepiece, op3_minhash_near_dedup, op9_toxicity, op10_token_counts)
+    own = (
+        op1_tokeniser_fertility, op2_sentencepiece, op3_minhash_near_dedup, op4_chat_format, op5_license_scan,
+        op6_mix_sources, op7_embedding_near_dedup, op8_line_dedup, op9_toxicity, op10_token_counts,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_format": chat_format.SQL, "op5_license_scan": licenses.sql()}

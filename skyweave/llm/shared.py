@@ -94,3 +94,39 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         now = after
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+#: Bits of the map by which ``restrict`` leaves rows out: 1 MB, whatever the input.
+MAP_BITS = 1 << 23
+_BUCKET = 32768  # bits of one value of bitmap_construct_agg
+
+
+def restrict(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``wanted``.
+
+    Every wanted key sets one bit of a map of fixed size, which is broadcast, so
+    a join that follows shuffles few other rows.  The more keys there are, the
+    more other rows pass; the result of the join does not depend on it.
+    """
+    return _marked(rows, key, wanted).where("_sw_bit").drop("_sw_bit")
+
+
+def split_by(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be wanted, rows whose key is not)."""
+    marked = _marked(rows, key, wanted)
+    return marked.where("_sw_bit").drop("_sw_bit"), marked.where("not _sw_bit").drop("_sw_bit")
+
+
+def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    def bit(column: str):
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(MAP_BITS))
+
+    made = wanted.where(F.col(key).isNotNull()).select(bit(key).alias("at")).groupBy(F.expr(f"at div {_BUCKET}").alias("_sw_bucket"))
+    made = made.agg(F.bitmap_construct_agg(F.col("at") % _BUCKET).alias("_sw_map"))
+    at = bit(key)
+    joined = rows.withColumn("_sw_at", F.coalesce(at, F.lit(-1))).withColumn("_sw_b", F.expr(f"_sw_at div {_BUCKET}"))
+    joined = joined.join(F.broadcast(made.withColumnRenamed("_sw_bucket", "_sw_r")), F.col("_sw_b") == F.col("_sw_r"), "left")
+    place = (F.col("_sw_at") % _BUCKET).cast("int")
+    byte = F.conv(F.hex(F.col("_sw_map").substr((place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce((F.shiftright(byte, 0) / F.pow(F.lit(2), place % 8)).cast("int") % 2 == 1, F.lit(False)) & F.col(key).isNotNull()
+    return joined.withColumn("_sw_bit", hit).drop("_sw_at", "_sw_b", "_sw_r", "_sw_map")
