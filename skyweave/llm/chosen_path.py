@@ -3,18 +3,17 @@
 Sets that are equal form one class, and only class representatives go on.  In
 each of several independent trees a node of documents chooses minwise tokens
 (coordinates of the MinHash sketch) and branches its documents by their values;
-small nodes are compared exhaustively, large ones branch on.  With two chosen
-coordinates a node, a pair of similarity s stays together in a tree of any depth
-with probability q = 1 - (1 - s q)^2, at least 0.88 for s = 0.75, so ``TREES``
-trees miss such a pair with probability below 1e-6.
-
-Documents of a node are first linked to their nearest partner by sketch, confirmed
-on full sets, and joined to components.  Only nodes that still hold several
-components go on: small ones are compared exhaustively across components, large
-ones with few documents outside their largest component deal that component to
-blocks and compare every block with the few, and the others branch on.  What is
-still large at the last level is dealt to blocks too, so the result never
-depends on a cap.
+large nodes branch on, small ones are compared exhaustively by sketch.  With two
+chosen coordinates a node, a pair of similarity s stays together in a tree of
+any depth with probability q = 1 - (1 - s q)^2, at least 0.88 for s = 0.75, so
+seven trees miss such a pair with probability below 1e-6.
+
+A node passes on only a spanning forest of its similar sketches, strongest
+first, so what it emits grows with its documents and not with their pairs.  The
+forests join documents to neighbourhoods, outside which no link can lie.  In a
+large neighbourhood the forest's links are confirmed first; then documents of
+different components are compared on full sets in a grid of bounded blocks: one
+cell for a small neighbourhood, few for one that is mostly one component.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.shared import Scratch, connected_components, restrict
+from skyweave.llm.shared import Scratch, connected_components, groups, restrict
 from skyweave.llm.text_kernel import shingle_sets
 
 #: Coordinates of a sketch; each holds 32 bits of a minwise value, the lower halves of all first.
@@ -38,20 +37,21 @@ COORDINATES = 64
 class Settings:
     """``numerator`` of 100: the least similarity of a link.
 
-    ``leaf``: documents that a node may have to be compared exhaustively.
-    ``block``: the same for blocks of nodes that never became small.
-    ``passes``: equal coordinates, of 64, with which a pair goes to the exact
-    check; a pair of similarity 0.75 has fewer with probability below 1e-6.
+    ``leaf``: documents that a node may have to be compared exhaustively;
+    ``depth``: levels of branching, after which the documents of a larger node
+    are one neighbourhood.  ``passes``: equal coordinates, of 64, of sketches
+    that count as similar; a pair of similarity 0.75 has fewer with probability
+    below 1e-6.  ``block``: documents of a block of the exact comparison.
     """
 
     words: int = 5
     numerator: int = 75
     trees: int = 7
     branches: int = 2
-    leaf: int = 100
-    depth: int = 5
-    block: int = 1000
+    leaf: int = 1000
+    depth: int = 3
     passes: int = 30
+    block: int = 400
     seed: int = 1
 
 
@@ -104,75 +104,104 @@ def _children(rows: DataFrame, path, settings: Settings) -> DataFrame:
     return rows.select("rep", F.explode(F.array(*chosen)).alias("path"))
 
 
-def _compare(groups: DataFrame, settings: Settings, nearest: bool = False) -> DataFrame:
-    """(a, b, near) for pairs of a group whose sketches pass and whose labels differ.
+def _forests(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct (a, b): spanning forests of the similar sketches of every node (path, rep, sketch)."""
+
+    def work(table: pa.Table) -> pa.RecordBatch | None:
+        reps = table["rep"].to_numpy()
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(len(reps), COORDINATES)
+        # Prim's algorithm: the strongest tie of every document to the tree so far
+        best, tie = np.full(len(reps), -1, np.int16), np.zeros(len(reps), np.int64)
+        left, a, b = np.ones(len(reps), bool), [], []
+        at = 0
+        for _ in range(len(reps) - 1):
+            left[at] = False
+            near = (sketch == sketch[at]).sum(1, dtype=np.int16)
+            closer = left & (near > best)
+            best[closer], tie[closer] = near[closer], at
+            at = int(np.where(left, best, -2).argmax())
+            if best[at] >= settings.passes:
+                a.append(reps[at])
+                b.append(reps[tie[at]])
+        if not a:
+            return None
+        a, b = np.array(a), np.array(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    With ``nearest`` only the pair of each document with its nearest partner.
+    half = F.col("sketch").substr(F.lit(1), F.lit(2 * COORDINATES)).alias("sketch")
+    parts = nodes.select("path", "rep", half).repartition("path").sortWithinPartitions("path")
+    return parts.mapInArrow(lambda batches: groups(batches, ["path"], work), "a long, b long").distinct()
 
-    ``groups``: (node, cell, rep, label, at, sketch).  Of a pair, cell must be the
-    block ``at`` of one of the two; groups have bounded sizes and arrive sorted,
-    so a task holds one Arrow batch and one group.
-    """
 
-    def pairs(reps, labels, at, cell, sketch):
-        out = []
-        order = np.argsort(reps, kind="stable")
-        reps, labels, at, sketch = reps[order], labels[order], at[order], sketch[order]
-        step = max(1, 4_000_000 // (len(reps) * COORDINATES))
-        for i in range(0, len(reps), step):
-            rows = np.arange(i, min(i + step, len(reps)))
-            if nearest:
-                near = (sketch[rows, None, :] == sketch[None]).sum(2)
-                near[rows - i, rows] = -1
-                near[:, :][reps[rows, None] == reps[None]] = -1
-                y = near.argmax(1)
-                n, x = near[rows - i, y], rows
-                ok = n >= settings.passes
-                x, y, n = x[ok], y[ok], n[ok]
-                out.append((np.minimum(reps[x], reps[y]), np.maximum(reps[x], reps[y]), n))
-                continue
-            near = (sketch[rows, None, :] == sketch[None, i:, :]).sum(2)
-            x, y = np.nonzero(near >= settings.passes)
-            n = near[x, y]
-            x, y = rows[x], y + i
-            # a major document is in its own block only; of two that are everywhere the lesser one's block counts
-            ok = (reps[x] < reps[y]) & (labels[x] != labels[y]) & ((at[x] == cell) | (at[y] == cell) & (at[x] < 0))
-            out.append((reps[x[ok]], reps[y[ok]], n[ok]))
-        return out
+def _links(cells: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): links between documents of different labels of every cell, enough to join their labels.
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def work(table: pa.Table):
-            node = table["node"].to_numpy()
-            cell, rep = table["cell"].to_numpy(), table["rep"].to_numpy()
-            label, at = table["label"].to_numpy(), table["at"].to_numpy()
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(len(rep), COORDINATES)
-            edge = np.flatnonzero((node[1:] != node[:-1]) | (cell[1:] != cell[:-1])) + 1
-            found = []
-            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(rep)], strict=True):
-                if b - a > 1:
-                    found += pairs(rep[a:b], label[a:b], at[a:b], cell[a], sketch[a:b])
-            a, b, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "near"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            node, cell = table["node"].to_numpy(), table["cell"].to_numpy()
-            last = np.flatnonzero((node != node[-1]) | (cell != cell[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield work(table.slice(0, cut).combine_chunks())
-            held = table.slice(cut).to_batches()
-        if held:
-            yield work(pa.Table.from_batches(held).combine_chunks())
+    ``cells``: (area, cell, rep, label, elements).  Intersections of all pairs
+    of a cell are counted exactly, as products of its 0-1 matrix of elements.
+    """
 
-    half = F.col("sketch").substr(F.lit(1), F.lit(2 * COORDINATES)).alias("sketch")
-    parts = groups.select("node", "cell", "rep", "label", "at", half).repartition("node", "cell").sortWithinPartitions("node", "cell")
-    return parts.mapInArrow(run, "a long, b long, near long").groupBy("a", "b").agg(F.max("near").alias("near"))
+    def work(table: pa.Table) -> pa.RecordBatch | None:
+        reps, labels = table["rep"].to_numpy(), table["label"].to_numpy()
+        column = table["elements"].combine_chunks()
+        lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(reps)), lengths)
+        shared = count[place] > 1
+        number = np.cumsum(count > 1) - 1
+        owner, place = owner[shared], number[place[shared]]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        common = np.zeros((len(reps), len(reps)), np.float32)
+        width = 2048
+        for at in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+            x, y = np.searchsorted(place, [at, at + width])
+            part = np.zeros((len(reps), width), np.float32)
+            part[owner[x:y], place[x:y] - at] = 1
+            common += part @ part.T
+        both = lengths[:, None] + lengths[None] - common.astype(np.int64)
+        linked = (100 * common.astype(np.int64) >= settings.numerator * both) & (labels[:, None] != labels[None])
+        i, j = np.nonzero(np.triu(linked, 1))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        a, b = [], []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            p, q = find(int(labels[x])), find(int(labels[y]))
+            if p != q:
+                root[p] = q
+                a.append(reps[x])
+                b.append(reps[y])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+
+    parts = cells.select("area", "cell", "rep", "label", "elements").repartition("area", "cell").sortWithinPartitions("area", "cell")
+    return parts.mapInArrow(lambda batches: groups(batches, ["area", "cell"], work), "a long, b long")
+
+
+def _cells(members: DataFrame, settings: Settings) -> DataFrame:
+    """(area, cell, rep, label) from (area, rep, label): every two documents of different labels meet in a cell.
+
+    Documents of an area's largest label and all others are dealt to blocks
+    apart; a block of others meets every block, blocks of the largest label
+    never meet each other.  Areas of one label are left out.
+    """
+    parts = members.groupBy("area", "label").agg(F.count("*").alias("n"))
+    areas = parts.groupBy("area").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    small = F.col("all") <= settings.block
+    first = F.when(small, 0).otherwise(F.ceil(F.col("m.n") / settings.block)).cast("int")
+    rest = F.when(small, 1).otherwise(F.ceil((F.col("all") - F.col("m.n")) / settings.block)).cast("int")
+    dealt = members.join(areas.select("area", F.when(small, None).otherwise(F.col("m.label")).alias("major"), first.alias("first"), rest.alias("rest")), "area")
+    is_major = F.coalesce(F.col("label") == F.col("major"), F.lit(False))
+    own = F.pmod(F.xxhash64("rep"), F.when(is_major, F.col("first")).otherwise(F.col("rest"))).cast("int")
+    dealt = dealt.withColumn("is_major", is_major).withColumn("own", own)
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda k: F.when(F.col("is_major"), F.col("own") * F.col("rest") + k).otherwise(-1 - F.least(k, F.col("own")) * F.col("rest") - F.greatest(k, F.col("own"))))
+    with_first = F.when(F.col("is_major") | (F.col("first") == 0), F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.col("first") - 1, F.lit(0))), lambda k: k * F.col("rest") + F.col("own")))
+    return dealt.select("area", "rep", "label", F.explode(F.concat(with_rest, with_first)).alias("cell"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -222,73 +251,42 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     full = rows.where("set_key is not null")
     classes = scratch.keep(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "sketch")).alias("least")).select("set_key", F.col("least.doc_id").alias("rep"), F.col("least.sketch").alias("sketch")))
 
+    # Levels: nodes of one document go, small ones are compared, large ones branch on.
     level = None
     for tree in range(settings.trees):
         own = _children(classes, F.lit(tree).cast("long"), settings)
         level = own if level is None else level.unionByName(own)
-    nodes = _sized(scratch.keep(level), scratch)
     sketch = classes.select("rep", "sketch")
-
-    # The nearest partner in every node, large nodes in blocks at random with their first document in each.
-    blocks = F.ceil(F.col("n") / settings.block).cast("int")
-    cell = F.when(F.col("n") <= settings.leaf, 0).otherwise(F.pmod(F.xxhash64("path", "rep"), blocks)).cast("int")
-    groups = nodes.select(F.col("path").alias("node"), cell.alias("cell"), "rep")
-    first = nodes.where(F.col("n") > settings.block).groupBy("path", "n").agg(F.min("rep").alias("rep"))
-    groups = groups.unionByName(first.select(F.col("path").alias("node"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("cell"), "rep"))
-    groups = groups.join(sketch, "rep").withColumn("label", F.col("rep")).withColumn("at", F.col("cell"))
-    pairs = scratch.keep(_compare(groups, settings, nearest=True))
-    ends = pairs.select(F.col("a").alias("rep"), "a", "b", "near").unionByName(pairs.select(F.col("b").alias("rep"), "a", "b", "near"))
-    nearest = scratch.keep(ends.groupBy("rep").agg(F.max(F.struct("near", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
-    known = scratch.keep(_sets(docs, _ends(nearest, classes), settings))
-    links = scratch.keep(_confirm(nearest, known, settings))
-    label = scratch.keep(connected_components(links, scratch))
-
-    # Nodes that still hold several components.
-    dealt = None
+    small, ties = None, None
     for depth in range(settings.depth):
-        open_nodes = scratch.keep(_open(nodes, label))
-        few = (F.col("n") <= settings.leaf) | (F.col("minors") <= settings.leaf) | F.lit(depth == settings.depth - 1)
-        own = _deal(open_nodes.where(few), settings)
-        dealt = own if dealt is None else dealt.unionByName(own)
-        more = open_nodes.where(~few)
-        if depth == settings.depth - 1 or more.isEmpty():
+        level = scratch.keep(level)
+        sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
+        nodes = scratch.keep(level.join(sizes, "path"))
+        scratch.drop(level)
+        own = nodes.where(F.col("n") <= settings.leaf).select("path", "rep")
+        small = own if small is None else small.unionByName(own)
+        large = nodes.where(F.col("n") > settings.leaf)
+        if depth == settings.depth - 1:
+            ties = large.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+        elif large.isEmpty():
             break
-        level = _children(more.select(F.col("path").alias("parent"), "rep").join(sketch, "rep"), F.col("parent"), settings)
-        nodes = _sized(scratch.keep(level), scratch)
-    across = scratch.keep(_compare(dealt.join(sketch, "rep"), settings).join(nearest, ["a", "b"], "left_anti"))
-    fresh = _sets(docs, _ends(across, classes).join(known.select("rep"), "rep", "left_anti"), settings)
-    known = known.unionByName(scratch.keep(fresh))
-    links = scratch.keep(links.unionByName(_confirm(across, known, settings)))
+        else:
+            level = _children(large.select(F.col("path").alias("parent"), "rep").join(sketch, "rep"), F.col("parent"), settings)
+    pairs = _forests(small.join(sketch, "rep"), settings)
+    pairs = scratch.keep(pairs if ties is None else pairs.unionByName(ties).distinct())
+
+    # Neighbourhoods, and the components that the forests' links make in large ones.
+    area = scratch.keep(connected_components(pairs, scratch).select(F.col("node").alias("rep"), F.col("component").alias("area")))
+    sets = scratch.keep(_sets(docs, classes.select("rep", "set_key").join(area, "rep"), settings))
+    wide = area.groupBy("area").agg(F.count("*").alias("n")).where(F.col("n") > settings.block).select("area")
+    wide_reps = area.join(wide, "area").select(F.col("rep").alias("a"))
+    links = scratch.keep(_confirm(pairs.join(wide_reps, "a", "left_semi"), sets, settings))
+    label = scratch.keep(connected_components(links, scratch))
+    members = area.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("area", "rep", F.coalesce("component", "rep").alias("label"))
+    more = _links(_cells(members, settings).join(sets, "rep"), settings)
+    links = scratch.keep(links.unionByName(more))
     label = scratch.keep(connected_components(links, scratch))
 
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def _sized(level: DataFrame, scratch: Scratch) -> DataFrame:
-    """(path, rep, n) of nodes with more than one document."""
-    sizes = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    return scratch.keep(level.join(sizes, "path"))
-
-
-def _ends(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    return classes.select("rep", "set_key").join(reps, "rep")
-
-
-def _open(nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """(path, rep, n, label, major, minors) of nodes with several components; major: the largest one's label."""
-    named = nodes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("path", "rep", "n", F.coalesce("component", "rep").alias("label"))
-    parts = named.groupBy("path", "n", "label").agg(F.count("*").alias("own"))
-    major = parts.groupBy("path", "n").agg(F.max(F.struct("own", "label")).alias("m")).where("m.own < n")
-    return named.join(major.select("path", F.col("m.label").alias("major"), (F.col("n") - F.col("m.own")).alias("minors")), "path")
-
-
-def _deal(nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Groups for ``_compare``: the largest component in blocks, every other document in all of them."""
-    blocks = F.when(F.col("n") <= settings.leaf, 1).otherwise(F.ceil(F.col("n") / settings.block)).cast("int")
-    own = F.pmod(F.xxhash64("path", "rep"), blocks).cast("int")
-    major = F.col("label") == F.col("major")
-    cells = F.when(major, F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))
-    return nodes.select(F.col("path").alias("node"), "rep", "label", F.when(major, -1).otherwise(own).alias("at"), F.explode(cells).alias("cell"))

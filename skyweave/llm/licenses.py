@@ -136,11 +136,11 @@ WITH t AS (SELECT i AS template, l AS license, string_split(w, ' ') AS w FROM (V
 ts AS (SELECT DISTINCT template, license, len(w) AS length, array_to_string(list_slice(w, p, p + {k - 1}), ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - {k - 2})) AS p FROM t)),
 tn AS (SELECT template, count(*) AS total FROM ts GROUP BY template),
 d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
-ds AS (SELECT doc_id, len(w) AS words, p - 1 AS at, array_to_string(list_slice(w, p, p + {k - 1}), ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - {k - 2})) AS p FROM d)),
-hit AS (SELECT DISTINCT doc_id, template, license, length, words, at, ds.s FROM ds JOIN ts ON ds.s = ts.s),
-placed AS (SELECT *, unnest(range(greatest(0, (at + {k} - 2 * length + length - 1) // length), at // length + 1)) AS win FROM hit),
+ds AS (SELECT doc_id, len(w) AS words, p - 1 AS "at", array_to_string(list_slice(w, p, p + {k - 1}), ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - {k - 2})) AS p FROM d)),
+hit AS (SELECT DISTINCT doc_id, template, license, length, words, "at", ds.s FROM ds JOIN ts ON ds.s = ts.s),
+placed AS (SELECT *, unnest(range(greatest(0, ("at" + {k} - 2 * length + length - 1) // length), "at" // length + 1)) AS win FROM hit),
 share AS (SELECT doc_id, template, license, win * length AS start, count(DISTINCT s) AS n FROM placed
-  WHERE at + {k} <= win * length + 2 * length AND win <= greatest(ceil((words - 2 * length) / length), 0) GROUP BY ALL)
+  WHERE "at" + {k} <= win * length + 2 * length AND win <= greatest(ceil((words - 2 * length) / length), 0) GROUP BY ALL)
 SELECT doc_id, license, template, count(*) AS n_windows, CAST(min(start) AS BIGINT) AS first_word, max(n / total) AS containment
 FROM share JOIN tn USING (template) WHERE n / total >= {settings.least} GROUP BY doc_id, license, template
 """.replace("\\\\", "\\")

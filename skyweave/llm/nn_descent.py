@@ -10,7 +10,6 @@ exhaustively in blocks, in double precision, which fixes links and counts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyweave.llm.shared import Scratch, connected_components
+from skyweave.llm.shared import Scratch, connected_components, groups
 
 
 @dataclass
@@ -45,24 +44,6 @@ class Settings:
     slack: float = 1e-5
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
-    """Apply ``work`` to every group of rows that arrive sorted by integer ``keys``; one group and one batch are held."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        columns = [table[k].to_numpy() for k in keys]
-        edge = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
-        for a, b in zip([0, *edge[:-1].tolist()], edge.tolist(), strict=False):
-            if (out := work(table.slice(a, b - a))) is not None:
-                yield out
-        held = table.slice(int(edge[-1]) if len(edge) else 0).combine_chunks().to_batches()
-    if held and (out := work(pa.Table.from_batches(held))) is not None:
-        yield out
-
-
 def _matrix(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 

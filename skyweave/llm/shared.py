@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,3 +133,21 @@ def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.col("_sw_map").substr((place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce((F.shiftright(byte, 0) / F.pow(F.lit(2), place % 8)).cast("int") % 2 == 1, F.lit(False)) & F.col(key).isNotNull()
     return joined.withColumn("_sw_bit", hit).drop("_sw_at", "_sw_b", "_sw_r", "_sw_map")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """Apply ``work`` to every group of rows that arrive sorted by integer ``keys``; one group and one batch are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        columns = [table[k].to_numpy() for k in keys]
+        edge = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        for a, b in zip([0, *edge[:-1].tolist()], edge.tolist(), strict=False):
+            if (out := work(table.slice(a, b - a))) is not None:
+                yield out
+        held = table.slice(int(edge[-1]) if len(edge) else 0).combine_chunks().to_batches()
+    if held and (out := work(pa.Table.from_batches(held))) is not None:
+        yield out
