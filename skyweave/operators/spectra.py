@@ -59,7 +59,7 @@ def _blocked(ask: DataFrame, rows: DataFrame, key: str, k: int, blocks: int = 64
     """Every query meets every block of the library once; each block passes on its k nearest."""
     block = F.pmod(F.xxhash64("_lk"), F.lit(blocks))
     far = rows.withColumn("_b", block)
-    near = ask.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    near = ask.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     d = F.sqrt(F.aggregate(F.zip_with("_qa", "_la", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     ranked = near.join(far, "_b").withColumn("d", d).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_b").orderBy("d", "_lk"))).where(F.col("_n") <= k)
     every = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "_lk", F.col("_lt").alias("t")))).alias("near"))
