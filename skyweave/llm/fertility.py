@@ -75,7 +75,7 @@ def _measure(raw: np.ndarray, offsets: np.ndarray, cache: WordCache, is_byte: np
     n_tokens = np.bincount(token_row, minlength=rows)
     key, times = np.unique((token_row.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64), return_counts=True)
     share = times / n_tokens[(key >> np.uint64(32)).astype(np.int64)]
-    entropy = np.bincount((key >> np.uint64(32)).astype(np.int64), -share * np.log2(share), minlength=rows)
+    entropy = np.bincount((key >> np.uint64(32)).astype(np.int64), -share * np.log2(share), minlength=rows).astype(np.float64)
     windows = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:] if len(ids) > 2 else ids[:0]
     dup_lines = []
     for d in docs:
@@ -112,12 +112,15 @@ def fertility(docs: DataFrame, vocabulary: str, bands: dict[str, tuple] | None =
 
     def run(batches):
         cache, is_byte = _cache(vocabulary)
-        for batch in batches:
-            raw, offsets = texts_of(batch.column(1))
-            for a, b in byte_runs(offsets):
-                got = _measure(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], cache, is_byte)
-                columns = [batch.column(0)[a:b], batch.column(2)[a:b], *(pa.array(got[k], pa.int64()) for k in _FIELDS), pa.array(got["token_entropy"]), pa.array(got["latin"])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", *_FIELDS, "token_entropy", "latin"])
+        try:
+            for batch in batches:
+                raw, offsets = texts_of(batch.column(1))
+                for a, b in byte_runs(offsets):
+                    got = _measure(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], cache, is_byte)
+                    columns = [batch.column(0)[a:b], batch.column(2)[a:b], *(pa.array(got[k], pa.int64()) for k in _FIELDS), pa.array(got["token_entropy"]), pa.array(got["latin"])]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", *_FIELDS, "token_entropy", "latin"])
+        finally:  # idle workers should hold little
+            cache.clear()
 
     table = bands or BANDS
     schema = "doc_id long, lang string, " + "".join(f"{k} long, " for k in _FIELDS) + "token_entropy double, latin boolean"
