@@ -137,7 +137,7 @@ def _dealt(blocks: DataFrame, settings: Settings) -> DataFrame:
     """
     draws = F.concat(
         F.when(F.col("passes") > 0, F.sequence(F.lit(1), F.col("passes"))).otherwise(F.array().cast("array<int>")),
-        F.array(F.lit(0)),
+        F.when((F.col("room") > 0) & (F.col("block_size") > 0), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
     )
     nodes = blocks.select("source", "block", F.explode(draws).alias("draw")).withColumn("node", F.lit(1))
     for level in range(settings.levels):
@@ -147,10 +147,13 @@ def _dealt(blocks: DataFrame, settings: Settings) -> DataFrame:
         nodes = nodes.select("source", "block", "draw", (2 * F.col("node") + (2 * F.col("place") > F.col("n") + F.col("node") % 2).cast("int")).alias("node"))
     shard = F.col("node") - F.lit(2**settings.levels)
     by_block = nodes.groupBy("source", "block").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("draw") > 0, F.struct("draw", shard.alias("shard"))))), lambda x: x["shard"]).alias("pass_shards"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("draw") > 0, F.struct("draw", shard.cast("int").alias("shard"))))), lambda x: x["shard"]).alias("pass_shards"),
         F.max(F.when(F.col("draw") == 0, shard)).alias("rest_shard"),
     )
-    return _same(blocks, by_block.withColumnRenamed("block", "b"), "source", F.col("block") == F.col("b")).drop("b")
+    named = by_block.withColumnRenamed("block", "b").withColumnRenamed("source", "source_r")
+    out = blocks.join(named, F.col("source").eqNullSafe(F.col("source_r")) & (F.col("block") == F.col("b")), "left").drop("b", "source_r")
+    other = F.pmod(_hash(settings, "source", "block"), F.lit(2**settings.levels)).cast("int")  # for a row from a block not drawn
+    return out.withColumn("pass_shards", F.coalesce("pass_shards", F.array().cast("array<int>"))).withColumn("rest_shard", F.coalesce(F.col("rest_shard").cast("int"), other))
 
 
 def mix(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
