@@ -600,6 +600,158 @@ def asset_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", safe_token(F.concat("p_name", F.lit(" #"), "p_brand")).alias("token"))
 
 
+@query(f"WITH {_SPECTRA} SELECT vec_id FROM e WHERE list_min(list_transform(e[1:7], lambda x: abs(x))) > 0.001 AND list_max(e[1:7]) < 0.4")
+def library_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra whose values are all finite and in range."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 7).alias("s"))
+    return rows.where(F.forall("s", lambda x: quality.finite(x) & (F.abs(x) > 0.001)) & (F.array_max("s") < 0.4)).select("vec_id")
+
+
+@query(f"""WITH {_SPECTRA}, d AS (SELECT vec_id, lk, le, e, list_distance(e[4:7], le[4:7]) AS d FROM q, l),
+  k AS (SELECT *, 1 / (d + 1e-6) AS w FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, lk) <= 10),
+  p AS (SELECT vec_id, any_value(e) AS e, sum(w * le[4]) / sum(w) AS p4, sum(w * le[5]) / sum(w) AS p5, sum(w * le[6]) / sum(w) AS p6, sum(w * le[7]) / sum(w) AS p7 FROM k GROUP BY 1)
+  SELECT vec_id, round(sqrt(((e[4] - p4) ** 2 + (e[5] - p5) ** 2 + (e[6] - p6) ** 2 + (e[7] - p7) ** 2) / 4), 6) AS rmse FROM p""")
+def knn_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well neighbours reproduce the anchors themselves."""
+    ask, library = _spectra(spark, sf_dir)
+    same = library.withColumnRenamed("vec_id", "lk").withColumn("target", F.col("anchor"))
+    out = spectra.knn(ask, same, "vec_id", "lk", "anchor", "target").join(ask.select("vec_id", "anchor"), "vec_id")
+    square = F.aggregate(F.zip_with("anchor", "prediction", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return out.select("vec_id", F.round(F.sqrt(square / F.size("anchor")), 6).alias("rmse"))
+
+
+@query(f"""WITH {_SPECTRA}, p AS (SELECT a.e AS x, b.e AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+  g AS (SELECT degrees(acos(least(greatest(list_inner_product(x[1:7], y[1:7]) / sqrt(list_inner_product(x[1:7], x[1:7]) * list_inner_product(y[1:7], y[1:7])), -1), 1))) AS a FROM p)
+  SELECT round(avg(a), 5) AS mean_angle, round(median(a), 5) AS median_angle FROM g""")
+def spectral_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 7).alias("a"))
+    pairs = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return rounded(compare.angles(pairs, "a", "b"), "mean_angle", "median_angle", places=5)
+
+
+@query()
+def pca_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of every pixel from the subspace of two components; an eigenproblem has no SQL."""
+    obs = observations(spark, sf_dir, ordered=False).select("l_orderkey", "l_linenumber", "l_partkey", *(F.coalesce(b, F.lit(0.0)).alias(b) for b in BANDS))
+    mean, parts, _ = spectra.principal_components(obs, list(BANDS))
+    return rounded(spectra.subspace_residual(obs, list(BANDS), mean, parts[:2]).drop(*BANDS), "residual", places=5)
+
+
+@query(sql("""SELECT chunk_id, c.k AS cand, round(c.s, 4) AS sharpness FROM (SELECT chunk_id, arg_min(struct_pack(k := cand, s := (before + after - 2 * cost) / cost), struct_pack(c := cost, k := cand)) AS c FROM (
+  SELECT *, lag(cost, 5) OVER w AS before, lead(cost, 5) OVER w AS after FROM (SELECT chunk_id, cand, avg((b2 - cand / 200.0) ** 2) AS cost FROM obs, range(0, 20) t(cand) GROUP BY ALL) WINDOW w AS (PARTITION BY chunk_id ORDER BY cand)) GROUP BY 1)"""))
+def cost_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tried = observations(spark, sf_dir, ordered=False).select("chunk_id", "b2", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("cand"))
+    curve = tried.groupBy("chunk_id", "cand").agg(F.avg(F.pow(F.col("b2") - F.col("cand") / 200.0, F.lit(2.0))).alias("cost"))
+    return rounded(spectra.sharpness(curve, ["chunk_id"], "cand", "cost"), "sharpness", places=4)
+
+
+@query(sql("SELECT round(corr(bias, aod), 6) AS r, round(regr_slope(bias, aod), 6) AS slope, count(*) AS n FROM (SELECT scene_index, avg(b0 - b2) AS bias, any_value(" + AOD + ") AS aod FROM obs GROUP BY 1)"))
+def bias_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = _aod(observations(spark, sf_dir, ordered=False)).groupBy("scene_index").agg(F.avg(F.col("b0") - F.col("b2")).alias("bias"), F.first("aod").alias("aod"))
+    return rounded(compare.trend(groups, "bias", "aod"), "r", "slope")
+
+
+@query(sql("SELECT y AS year, count(*) AS n, round(avg(b0), 6) AS mean FROM (SELECT DISTINCT substr(period, 1, 4) AS y FROM obs) JOIN obs ON substr(period, 1, 4) <> y GROUP BY 1"))
+def leave_one_year_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of all years but one, from one pass: the total less the year."""
+    years = observations(spark, sf_dir, ordered=False).groupBy(F.substring("period", 1, 4).alias("year")).agg(F.count("*").alias("k"), F.sum("b0").alias("s"))
+    every = Window.partitionBy(F.lit(0))  # a row for each year
+    out = years.select("year", (F.sum("k").over(every) - F.col("k")).alias("n"), (F.sum("s").over(every) - F.col("s")).alias("rest"))
+    return out.select("year", "n", F.round(F.col("rest") / F.col("n"), 6).alias("mean"))
+
+
+@query(sql("SELECT scene_index FROM obs GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 7 AND count(b1) > 0"))
+def required_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes that have every asset; others are dropped whole."""
+    kept = observations(spark, sf_dir, ordered=False).groupBy("scene_index").agg(F.count_distinct("l_linenumber").alias("n"), F.count("b1").alias("m"))
+    return kept.where("n = 7 and m > 0").select("scene_index")
+
+
+@query(sql("""SELECT id, coalesce(a.aod, b.aod) AS aod, CASE WHEN a.aod IS NOT NULL THEN 'id' WHEN b.aod IS NOT NULL THEN 'tile and day' END AS found FROM ids
+  LEFT JOIN (SELECT id AS i, min(scene_index % 9) AS aod FROM ids WHERE scene_index % 5 = 0 GROUP BY 1) a ON a.i = ids.id
+  LEFT JOIN (SELECT tile AS t, day AS d, arg_min(scene_index % 9, scene_index) AS aod FROM ids WHERE scene_index % 3 = 0 GROUP BY ALL) b ON b.t = ids.tile AND b.d = ids.day""", SCENE_IDS))
+def sidecar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correction records by scene id, else by tile and day, the first of several."""
+    ids = _scene_ids(spark, sf_dir)
+    exact = ids.where("scene_index % 5 = 0").groupBy("id").agg(F.min(F.col("scene_index") % 9).alias("a"))
+    near = ids.where("scene_index % 3 = 0").groupBy("tile", "day").agg(F.min_by(F.col("scene_index") % 9, "scene_index").alias("b"))
+    joined_ = ids.join(exact, "id", "left").join(near, ["tile", "day"], "left")
+    return joined_.select("id", F.coalesce("a", "b").alias("aod"), F.when(F.col("a").isNotNull(), "id").when(F.col("b").isNotNull(), "tile and day").alias("found"))
+
+
+@query(sql("""SELECT chunk_id, min(CASE WHEN k >= 1 AND d >= 0 THEN k END) AS crossover FROM (SELECT chunk_id, l_linenumber AS k, avg(b2) - 0.04 AS d FROM obs GROUP BY ALL) GROUP BY 1"""))
+def first_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = observations(spark, sf_dir, ordered=False).groupBy("chunk_id", F.col("l_linenumber").alias("k")).agg((F.avg("b2") - 0.04).alias("d"))
+    return compare.crossover(curve, ["chunk_id"], "k", "k", "d")
+
+
+@query("SELECT p_partkey, CASE WHEN c1 > c0 AND r1 > r0 THEN r0 END AS r, CASE WHEN c1 > c0 AND r1 > r0 THEN c0 END AS c, CASE WHEN c1 > c0 AND r1 > r0 THEN r1 - r0 END AS h, CASE WHEN c1 > c0 AND r1 > r0 THEN c1 - c0 END AS w FROM (SELECT p_partkey, CAST(least(greatest(floor((x - 1000) / 60), 0), 200) AS BIGINT) AS c0, CAST(least(greatest(ceil((x + 700 - 1000) / 60), 0), 200) AS BIGINT) AS c1, CAST(least(greatest(floor((9000 - y - 700) / 60), 0), 100) AS BIGINT) AS r0, CAST(least(greatest(ceil((9000 - y) / 60), 0), 100) AS BIGINT) AS r1 FROM (SELECT p_partkey, p_partkey * 7.0 AS x, p_size * 200.0 AS y FROM part))")
+def image_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("p_partkey") * 7.0, F.col("p_size") * 200.0
+    window = grid.image_window(x, y, x + 700, y + 700, 1000.0, 9000.0, 60.0, 100, 200)
+    return table(spark, sf_dir, "part").select("p_partkey", window.alias("q")).select("p_partkey", F.col("q.row").alias("r"), F.col("q.col").alias("c"), F.col("q.height").alias("h"), F.col("q.width").alias("w"))
+
+
+@query(sql("""SELECT i, j, avg(b2) AS value FROM (SELECT i, j FROM range(0, 10) a(i), range(0, 10) b(j)) LEFT JOIN obs ON obs."row" = i * 3 + 1 AND obs.col = j * 5 + 2 GROUP BY ALL""").replace("avg(b2)", "round(avg(b2), 6)"))
+def point_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regular lattice of points over the stack, by position."""
+    axis = F.sequence(F.lit(0), F.lit(9))
+    points = spark.range(1).select(F.explode(axis).alias("i")).select("i", F.explode(axis).alias("j"))
+    at = points.select("i", "j", (F.col("i") * 3 + 1).alias("row"), (F.col("j") * 5 + 2).alias("col"))
+    met = at.join(observations(spark, sf_dir, ordered=False).select("row", "col", "b2"), ["row", "col"], "left")
+    return rounded(met.groupBy("i", "j").agg(F.avg("b2").alias("value")), "value")
+
+
+@query(sql("SELECT l_orderkey, l_linenumber, l_partkey, round((b0 - avg(b0) OVER ()) / stddev_pop(b0) OVER (), 5) AS b0, round((b2 - avg(b2) OVER ()) / stddev_pop(b2) OVER (), 5) AS b2 FROM obs"))
+def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir, ordered=False).select("l_orderkey", "l_linenumber", "l_partkey", "b0", "b2")
+    return rounded(spectra.standardise(obs, ["b0", "b2"]), "b0", "b2", places=5)
+
+
+@query("SELECT o_orderkey, (month(o_orderdate) - 1 + 5) % 12 + 1 AS later, CASE WHEN month(o_orderdate) <= 2 THEN month(o_orderdate) + 10 ELSE month(o_orderdate) - 2 END AS earlier, strftime(last_day(o_orderdate), '%Y-%m-%d') AS month_end, strftime(o_orderdate, '%Y-%m') AS label FROM orders")
+def month_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month = F.month("o_orderdate")
+    end = temporal.month_end(F.year("o_orderdate"), month)
+    label = temporal.period_label(F.date_format("o_orderdate", "yyyy-MM-dd"), end.cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", temporal.shift_month(month, 5).alias("later"), temporal.shift_month(month, -2).alias("earlier"), end.cast("string").alias("month_end"), label.alias("label"))
+
+
+@query()
+def corrected_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corrected build: least aerosol wins among the scenes that cover the area."""
+    from skyweave.plans.pipelines import build_corrected
+
+    c = _aod(scenes(spark, sf_dir)).select("scene_index", "aod", F.array(F.lit(1.27), F.lit(1.2)).alias("xap"), F.array(F.lit(0.08), F.lit(0.07)).alias("xbp"), F.array(F.lit(0.145), F.lit(0.12)).alias("xcp"))
+    won = build_corrected(observations(spark, sf_dir), c, ["b0", "b2"])
+    return rounded(won.select("pid", "scene_index", "aod", "b0", "b2", "observation_count"), "aod", "b0", "b2")
+
+
+@query()
+def full_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build: scouting, ranked selection, composition, uncertainty."""
+    from skyweave.plans.pipelines import Build, build_composite
+
+    out = build_composite(joined(spark, sf_dir), pixels(spark, sf_dir).select("pid"), Build(strict=True, emit_uncertainty=True))
+    return rounded(out, *(f"{b}_unc" for b in BANDS), places=4)
+
+
+@query()
+def tile_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles that chunks need, from polygon footprints."""
+    from skyweave.operators import partition
+
+    chunk = F.col("id").cast("int")  # a five by five layout
+    chunks = spark.range(25).select(chunk.alias("chunk_id"), (chunk % 5 * 512.0).alias("west"), (chunk / 5).cast("int").cast("double").alias("r"))
+    chunks = chunks.select("chunk_id", "west", (F.col("r") * 512).alias("south"), (F.col("west") + 512).alias("east"), (F.col("r") * 512 + 512).alias("north"))
+
+    def box(x0: Column, x1: Column) -> Column:
+        return F.array(*(F.array(x, y) for x, y in ((x0, F.lit(0.0)), (x1, F.lit(100.0)), (x1 + 50, F.lit(2500.0)), (x0 + 50, F.lit(2500.0)))))
+
+    west = F.col("s_suppkey") * 600.0
+    tiles = table(spark, sf_dir, "supplier").where("s_suppkey < 4").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("tile"), F.array(box(west, west + 750)).alias("rings"))
+    return partition.classify(chunks, tiles, 16.0).withColumn("unreachable", F.round("unreachable", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

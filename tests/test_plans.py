@@ -157,3 +157,37 @@ def test_entry_and_registry(spark):
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and entry.entry(spark).count() == 200
+
+
+def test_export_reads_back(spark):
+    import numpy as np
+
+    from skyweave.plans import export
+
+    grid = Grid(0, 0, 300, 200, 32636, 1)
+    product = grid.pixels(spark).where("row < 150").withColumn("b0", (F.col("row") * 300 + F.col("col")) % 60000)
+    files = export.chunk_files(product, grid, ["b0"], chunk=128, tile=128).collect()
+    assert len(files) == 6 - 0 and {(f["row"], f["col"]) for f in files} == {(r, c) for r in (0, 128) for c in (0, 128, 256)}
+    for f in files:
+        level = rasters.read_levels(bytes(f["content"]))[0]
+        data = rasters.read_window(bytes(f["content"]), level, 0, 0, level.height, level.width)
+        rows, cols = np.indices(data.shape) + np.array([f["row"], f["col"]])[:, None, None]
+        assert np.array_equal(data, np.where(rows < 150, (rows * 300 + cols) % 60000, 65535))
+    with pytest.raises(ValueError):
+        export.encode_tiff(np.zeros((2, 2)), grid)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from skyweave import cli
+
+    common = ["--bbox", "30.5", "30.5", "30.505", "30.505", "--product", "p", "--bands", "b0"]
+    assert cli.main(["request-hash", *common, "--catalogue", "x"]) == 0
+    first = capsys.readouterr().out.strip()
+    assert len(first) == 24 and cli.main(["request-hash", *common, "--catalogue", "x", "--top-k", "4"]) == 0
+    assert capsys.readouterr().out.strip() != first
+    obs = spark.createDataFrame([(0, 0, 1, "T", 0, 0, 4, 0.5)], "pid long, chunk_id int, scene_index int, tile string, obs_order int, sample_index int, scl int, b0 double")
+    obs.write.parquet(f"{tmp_path}/obs")
+    assert cli.main(["build", *common, "--observations", f"{tmp_path}/obs", "--store", f"file://{tmp_path}/store"]) == 0
+    assert json.loads(capsys.readouterr().out)["properties"]["product"] == "p"
+    with pytest.raises(SystemExit):
+        cli.main(["build", *common, "--observations", "a", "--catalogue", "b", "--store", "s"])
