@@ -303,7 +303,7 @@ def aod_wavelength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(atmosphere.aod_at(F.col("l_tax"), F.col("l_discount") + 1), 9).alias("aod"))
 
 
-PICKS = """ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, tile ORDER BY mean_clear DESC NULLS LAST, usable_fraction DESC, scene_index) AS r,
+PICKS = """ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, tile ORDER BY round(mean_clear, 9) DESC NULLS LAST, round(usable_fraction, 9) DESC, scene_index) AS r,
   min(scene_index) OVER (PARTITION BY chunk_id, tile) + 1000000 AS o FROM tiled WHERE usable_fraction > 0),
 picks AS (SELECT chunk_id, scene_index, row_number() OVER (PARTITION BY chunk_id ORDER BY r, o, scene_index) AS pick FROM ranked WHERE r <= 2)"""
 

@@ -53,7 +53,8 @@ def observations(spark: SparkSession, sf_dir: str, ordered: bool = True) -> Data
         *ORDER,
     )
     if ordered:
-        out = out.withColumn("obs_order", F.row_number().over(Window.partitionBy("l_partkey").orderBy(*ORDER)))
+        # by the pixel column, so that an aggregation by pixel reuses the exchange and its order
+        out = out.withColumn("obs_order", F.row_number().over(Window.partitionBy("pid").orderBy(*ORDER)))
     return out
 
 
