@@ -287,3 +287,14 @@ def near_vectors(table: DataFrame, settings: Settings | None = None) -> DataFram
     out = rows.select("vec_id", "key").join(named, "key", "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumn("recall", F.lit(recall))
+
+
+#: The same by comparing all pairs.
+SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS s FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / (a.s * b.s) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS least FROM e UNION SELECT link.a, reach.least FROM reach JOIN link ON link.b = reach.vec_id),
+part AS (SELECT vec_id, min(least) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM part LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a) USING (vec_id)
+"""
