@@ -191,3 +191,47 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["properties"]["product"] == "p"
     with pytest.raises(SystemExit):
         cli.main(["build", *common, "--observations", "a", "--catalogue", "b", "--store", "s"])
+
+
+def test_paged_source(spark, tmp_path):
+    from skyweave.sources import paged
+
+    (tmp_path / "a.json").write_text(json.dumps({"features": [item("x", "2024-07-01")], "links": [{"rel": "next", "href": "b.json"}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"features": [item("y", "2024-07-02"), item("z", "2024-07-03")], "links": [{"rel": "next", "href": "a.json"}]}))
+    spark.dataSource.register(paged.PagedCatalogue)
+    rows = spark.read.format("paged_catalogue").option("start", f"{tmp_path}/a.json").load()
+    assert sorted(r["id"] for r in rows.collect()) == ["x", "y", "z"]
+
+
+def test_ranges_are_retried_and_kept():
+    from skyweave.sources import paged
+
+    told, slept = [], []
+
+    def opener(url, start, end):
+        told.append(url)
+        if len(told) < 3:
+            raise paged.Refused(503, 7.0 if len(told) == 1 else None)
+        return b"x" * (end - start)
+
+    assert paged.with_retries(lambda: opener("u", 0, 4), slept.append) == b"xxxx" and slept[0] == 7.0 and 0.3 <= slept[1] <= 0.5
+    with pytest.raises(paged.Refused):
+        paged.with_retries(lambda: (_ for _ in ()).throw(paged.Refused(404)), slept.append)
+    reader = paged.RangeReader(opener, most=10)
+    reader.get("u", 0, 8), reader.get("u", 0, 8)
+    assert len(told) == 4
+    reader.get("u", 8, 16), reader.get("u", 0, 8)
+    assert len(told) == 6
+
+
+def test_table_cache(spark, tmp_path):
+    from skyweave.plans.cache import TableCache
+
+    cache, made = TableCache(spark, f"file://{tmp_path}/cache"), []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert cache.get("scout", {"a": 1}, make).count() == 3 and cache.get("scout", {"a": 1}, make).count() == 3 and len(made) == 1
+    assert cache.get("scout", {"a": 2}, make).count() == 3 and len(made) == 2
