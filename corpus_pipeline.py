@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they decode to it."""
-    return piece_viterbi.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+    return piece_viterbi.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), with_text=False)
 
 
 STAGES = [

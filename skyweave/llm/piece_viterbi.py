@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from skyweave.llm.text_kernel import byte_runs, mix, texts_of
+from skyweave.llm.text_kernel import byte_runs, mix, texts_of, tidy
 from skyweave.llm.word_cache import WordCache
 
 MARK = "▁"
@@ -26,6 +26,9 @@ MARK = "▁"
 CELLS = 1 << 20
 _BASE = 0xA0761D6478BD642F | 1
 _NONE = -1
+_TOP = 20
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_LETTER = re.compile(f"[{_LETTERS}]")
 
 
 class Pieces:
@@ -42,14 +45,21 @@ class Pieces:
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
         self.scores = np.array(scores, np.float64)[self.ids]
+        #: Most substrings are no piece: the top bits of their hashes tell before the search.
+        self.known = np.zeros(1 << _TOP, bool)
+        self.known[self.keys >> np.uint64(64 - _TOP)] = True
         #: An unknown character costs more than the worst piece.
         self.unknown = float(self.scores.min()) - 10.0
         if any(MARK in pieces[i].lstrip(MARK) for i in own):
             raise ValueError("a piece crosses words")
         held = {c for i in own for c in pieces[i]}
-        cut = "".join(c for c in "\n\t\r\x0b\x0c" if c not in held) + MARK
+        cut = re.escape("".join(c for c in "\n\t\r\x0b\x0c" if c not in held) + MARK)
+        # Marks of punctuation that no piece joins to a letter part from letters as well.
+        joined = {c for i in own for pair in zip(pieces[i], pieces[i][1:]) if any(map(_LETTER.match, pair)) for c in pair}
+        points = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined))
+        other = f"(?![^{_LETTERS}{points}{cut} ])"
         #: A word: spaces and what follows; characters that no piece holds, and a literal mark, stand alone.
-        self.word = re.compile(f" *[^ {re.escape(cut)}]+| +|[{re.escape(cut)}]")
+        self.word = re.compile(f" *[{_LETTERS}]++{other}| *[{points}]++{other}| *[^ {cut}]+| +|[{cut}]")
         text = [pieces[i].replace(MARK, " ").encode() if normal[i] else b"" for i in range(len(pieces))]
         for value, i in byte_ids.items():
             text[i] = bytes([value])
@@ -99,8 +109,10 @@ class Pieces:
         found = np.full((len(lengths), n, length + 1), _NONE, np.int32)  # by end position
         for x, k in enumerate(lengths):
             hashed = mix((total[:, k:] - total[:, :-k]) * down[: length - k + 1] + np.uint64(k))
-            place = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
-            found[x, :, k:] = np.where(self.keys[place] == hashed, place, _NONE)
+            some = np.nonzero(self.known[hashed >> np.uint64(64 - _TOP)])
+            probe = hashed[some]
+            place = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
+            found[x, some[0], some[1] + k] = np.where(self.keys[place] == probe, place, _NONE)
         gain = np.where(found >= 0, self.scores[found], -np.inf)
         single = gain[lengths.index(1)]
         single[np.isneginf(single)] = self.unknown
@@ -168,8 +180,8 @@ def load(path: str) -> Pieces:
     return Pieces(names, [model.get_score(i) for i in range(n)], normal, {int(names[i][3:5], 16): i for i in range(n) if model.is_byte(i)})
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``docs`` (text and any others) with token_ids, n_tokens, n_byte_tokens, round_trip appended.
+def encode(docs: DataFrame, vocabulary: str, with_text: bool = True) -> DataFrame:
+    """``docs`` (text and any others), without its text if not ``with_text``, with token_ids, n_tokens, n_byte_tokens, round_trip appended.
 
     ``token_ids``: the best segmentation of the whole text under the scores of
     the vocabulary (a SentencePiece model with byte fallback and no text
@@ -181,10 +193,17 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     own = ["token_ids", "n_tokens", "n_byte_tokens", "round_trip"]
     docs = docs.drop(*own)
-    names, at = docs.columns, docs.columns.index("text")
+    at = docs.columns.index("text")
+    passed = [i for i in range(len(docs.columns)) if with_text or i != at]
+    names = [docs.columns[i] for i in passed]
 
     def run(batches):
         pieces = load(vocabulary)
+        with tidy():
+            yield from encoded(pieces, batches)
+            pieces.cache.clear()
+
+    def encoded(pieces, batches):
         for batch in batches:
             raw, offsets = texts_of(batch.column(at))
             null = batch.column(at).is_null()
@@ -199,9 +218,9 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
                     same = np.array([np.array_equal(data[p:q], source[r:s]) for p, q, r, s in zip(ends[:-1], ends[1:], begins[:-1], begins[1:], strict=True)])
                 token_ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()), mask=null[a:b])
                 byte_count = np.bincount(np.repeat(np.arange(b - a), counts), pieces.is_byte[ids], b - a).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, token_ids, pa.array(counts), pa.array(byte_count), pa.array(same)], [*names, *own])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in passed), token_ids, pa.array(counts), pa.array(byte_count), pa.array(same)], [*names, *own])
 
-    schema = StructType([*docs.schema.fields]).add("token_ids", ArrayType(IntegerType())).add("n_tokens", LongType()).add("n_byte_tokens", LongType()).add("round_trip", "boolean")
+    schema = StructType([docs.schema.fields[i] for i in passed]).add("token_ids", ArrayType(IntegerType())).add("n_tokens", LongType()).add("n_byte_tokens", LongType()).add("round_trip", "boolean")
     return docs.mapInArrow(run, schema)
 
 

@@ -7,6 +7,8 @@ an Arrow batch is.  Null texts count as empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +32,17 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20260101).integers(1, MASK, 256, dtype=U64, endpoint=True)
 
 
+@contextlib.contextmanager
+def tidy():
+    """Around a task's work: gives free memory back, as workers stay for a while after a task."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries trim by themselves
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 @lru_cache(maxsize=4)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
