@@ -752,6 +752,19 @@ def tile_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.classify(chunks, tiles, 16.0).withColumn("unreachable", F.round("unreachable", 6))
 
 
+@query()
+def aod_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optical depth pooled by label: anchors at a prior, neighbours in a library, a grid of candidates."""
+    from skyweave.operators import inversion
+
+    rows = table(spark, sf_dir, "embeddings").withColumn("e", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.abs(x) + 0.02))
+    rows = rows.select("vec_id", "label", F.slice("e", 1, 2).alias("anchor"), F.slice("e", 3, 3).alias("target"))
+    library = rows.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("lk"), "anchor", "target")
+    waves = ([1.6, 2.2], [0.44, 0.49, 0.56])
+    out = inversion.solve(rows.where("vec_id % 5 = 0"), library, "vec_id", "lk", *waves, [k / 20 for k in range(1, 17)], "prior", F.lit(0.3), pool="label")
+    return rounded(out, "cost")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -70,6 +70,20 @@ ENDPOINTS = {
 }
 
 
+# Public product collections and their versions.
+PRODUCTS = {
+    "mcd43": (("MCD43A1", "061"), ("MCD43A2", "061")),
+    "vnp43": (("VNP43IA1", "001"), ("VNP43IA2", "001")),
+    "mcd19": (("MCD19A3", "061"),),
+}
+
+
+def product_collections(product: str) -> tuple[tuple[str, str], ...]:
+    if product.lower() not in PRODUCTS:
+        raise ValueError(f"product must be one of {', '.join(PRODUCTS)}")
+    return PRODUCTS[product.lower()]
+
+
 def pick_endpoint(name: str = "auto", region: str | None = None) -> Endpoint:
     """By name; ``auto`` stays within a US region's catalogue, else the planetary one."""
     if name == "auto":

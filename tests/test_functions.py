@@ -112,3 +112,25 @@ def test_chunks(spark):
     assert len(chunks) == 6 and {c["height"] for c in chunks} == {512, 188} and {c["width"] for c in chunks} == {512, 276}
     assert grid.snap_chunk(600, 256) == 512 and grid.snap_chunk(128, 256) == 256
     assert one(spark, grid.overlapped_chunks(F.lit(1), F.lit(0), 8, 10, 5)) == [0, 5]
+
+
+@pytest.mark.parametrize("crs", [32636, 32736, grid.SINUSOIDAL])
+def test_projection_round_trip(spark, crs):
+    for lon, lat in ((30.5, 31.0), (33.0, -12.0), (35.9, 60.0)):
+        back = grid.unproject(*grid.project(lon, lat, crs), crs)
+        assert abs(back[0] - lon) < 1e-9 and abs(back[1] - lat) < 1e-9
+    if crs != grid.SINUSOIDAL:
+        x, y = grid.project(33.0, 12.0, crs)
+        got = one(spark, grid.unproject_columns(F.lit(x), F.lit(y), crs))
+        assert abs(got["lon"] - 33.0) < 1e-9 and abs(got["lat"] - 12.0) < 1e-9
+
+
+def test_positions_across_systems(spark):
+    a = grid.Grid(500000, 3300000, 501000, 3301000, 32636, 10)
+    b = grid.Grid(*grid.snap(grid.project_bounds(grid.wgs84_bounds(a), grid.SINUSOIDAL), 10), grid.SINUSOIDAL, 10)
+    row, col = one(spark, F.struct(*grid.source_position(a, b, F.lit(50), F.lit(50))))
+    lon, lat = grid.unproject(500505, 3300495, 32636)
+    x, y = grid.project(lon, lat, grid.SINUSOIDAL)
+    assert abs(row - (b.north - y) / 10) < 1e-6 and abs(col - (x - b.west) / 10) < 1e-6
+    same = one(spark, F.struct(*grid.source_position(a, a, F.lit(3), F.lit(4))))
+    assert tuple(same) == (3.5, 4.5)

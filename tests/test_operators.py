@@ -159,3 +159,27 @@ def test_bilinear_of_a_plane(spark):
     assert got == {0: 55, 1: 108, 2: NODATA}
     near = {r["i"]: r["v"] for r in resample.nearest(target, source, F.col("y"), F.col("x"), "v", 255).collect()}
     assert near == {0: 110, 1: 110, 2: 255}
+
+
+@pytest.mark.parametrize("mode", ["prior", "iterate", "raw"])
+def test_inversion_closes_the_loop(spark, mode):
+    from skyweave.functions import atmosphere
+    from skyweave.operators import inversion
+
+    rng = random.Random(3)
+    anchors, targets, truth = [1.6, 2.2], [0.44, 0.49, 0.56], 0.3
+
+    def surface(seed):
+        a, b = seed
+        return [0.1 + 0.4 * a, 0.05 + 0.4 * b], [0.02 + 0.1 * a, 0.03 + 0.12 * a + 0.02 * b, 0.05 + 0.1 * b]
+
+    library = spark.createDataFrame([(i, *surface((rng.random(), rng.random()))) for i in range(400)], "lk int, anchor array<double>, target array<double>")
+    scene = spark.createDataFrame([(i, 0, *surface((rng.random(), rng.random()))) for i in range(40)], "k int, cell int, anchor array<double>, target array<double>")
+    toa = scene.select("k", "cell", inversion._each(F.col("anchor"), anchors, F.lit(truth), atmosphere.forward).alias("anchor"), inversion._each(F.col("target"), targets, F.lit(truth), atmosphere.forward).alias("target"))
+    grid = [round(0.05 * i, 2) for i in range(1, 17)]
+    out = inversion.solve(toa, library, "k", "lk", anchors, targets, grid, mode, F.lit(0.3) if mode == "prior" else None, pool="cell").first()
+    assert abs(out["aod"] - truth) <= (0.1 if mode == "raw" else 0.051)
+    none = inversion.solve(toa, library, "k", "lk", anchors, targets, grid, mode, F.lit(0.3) if mode == "prior" else None, least_surface=9.0)
+    assert none.where("cost < double('infinity')").count() == 0
+    with pytest.raises(ValueError):
+        inversion.solve(toa, library, "k", "lk", anchors, targets, grid, "other")
