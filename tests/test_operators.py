@@ -183,3 +183,31 @@ def test_inversion_closes_the_loop(spark, mode):
     assert none.where("cost < double('infinity')").count() == 0
     with pytest.raises(ValueError):
         inversion.solve(toa, library, "k", "lk", anchors, targets, grid, "other")
+
+
+def test_footprints(spark):
+    import json
+
+    from skyweave.functions import grid
+
+    square = [[30.0, 30.0], [31.0, 30.0], [31.0, 31.0], [30.0, 30.0]]
+    rows = [("T", json.dumps({"type": "Polygon", "coordinates": [square]})), ("T", json.dumps({"type": "Polygon", "coordinates": [square]})), ("T", json.dumps({"type": "MultiPolygon", "coordinates": [[square], [[[32.0, 30.0], *square[1:]]]]})), ("", "{}"), (None, None)]
+    got = partition.footprints(spark.createDataFrame(rows, "tile string, geometry string"), 32636).collect()
+    assert len(got) == 1 and len(got[0]["rings"]) == 2
+    x, y = grid.project(30.0, 30.0, 32636)
+    assert any(abs(p[0] - x) < 1e-6 and abs(p[1] - y) < 1e-6 for ring in got[0]["rings"] for p in ring)
+
+
+def test_clipping_is_exact():
+    import numpy as np
+
+    triangle = np.array([[0.0, 0.0], [4.0, 0.0], [0.0, 4.0]])
+    assert partition.area(partition.clip(triangle, (0, 0, 2, 2))) == 4.0
+    assert partition.area(partition.clip(triangle, (1, 1, 3, 3))) == 2.0
+    assert partition.area(partition.clip(triangle, (5, 5, 6, 6))) == 0.0
+
+
+def test_trend_needs_four_groups(spark):
+    rows = spark.createDataFrame([(float(i), 2.0 * i) for i in range(3)], "bias double, aod double")
+    assert compare.trend(rows, "bias", "aod").first()["r"] is None
+    assert compare.trend(rows.union(spark.createDataFrame([(3.0, 6.0)], "bias double, aod double")), "bias", "aod").first()["slope"] == 0.5
