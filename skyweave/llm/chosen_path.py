@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.llm.shared import Scratch, connected_components, groups, restrict
-from skyweave.llm.text_kernel import shingle_sets
+from skyweave.llm.text_kernel import shingle_sets, tidy
 
 #: Coordinates of a sketch; each holds 32 bits of a minwise value, the lower halves of all first.
 COORDINATES = 64
@@ -82,13 +82,14 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches):
         sketch = _sketcher(settings.seed)
-        for batch in batches:
-            sizes, keys, made = [], [], []
-            for own in shingle_sets(batch.column(1), settings.words):
-                sizes.append(len(own))
-                keys.append(_key(own) if len(own) else None)
-                made.append(sketch(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
+        with tidy():
+            for batch in batches:
+                sizes, keys, made = [], [], []
+                for own in shingle_sets(batch.column(1), settings.words):
+                    sizes.append(len(own))
+                    keys.append(_key(own) if len(own) else None)
+                    made.append(sketch(own) if len(own) else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
 
