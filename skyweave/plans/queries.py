@@ -248,20 +248,19 @@ def mgrs_epsg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.select("tile", temporal.epsg_of_tile(F.col("tile")).alias("epsg"))
 
 
-@query("SELECT s_suppkey, strftime(unnest(range(DATE '1997-01-01' + CAST(s_suppkey AS INTEGER), DATE '1997-02-28' + 1, INTERVAL 7 DAY)), '%Y-%m-%d') AS day FROM supplier WHERE s_suppkey < 50")
+@query("SELECT s_suppkey, strftime(unnest(range(DATE '1997-01-01' + CAST(s_suppkey % 50 AS INTEGER), DATE '1997-02-28' + 1, INTERVAL 7 DAY)), '%Y-%m-%d') AS day FROM supplier")
 def stride_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = table(spark, sf_dir, "supplier").where("s_suppkey < 50")
-    start = F.date_add(F.lit("1997-01-01").cast("date"), F.col("s_suppkey").cast("int"))
-    return few.select("s_suppkey", F.explode(temporal.stride(start, F.lit("1997-02-28").cast("date"), 7)).alias("day")).withColumn("day", F.col("day").cast("string"))
+    start = F.date_add(F.lit("1997-01-01").cast("date"), (F.col("s_suppkey") % 50).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(temporal.stride(start, F.lit("1997-02-28").cast("date"), 7)).alias("day")).withColumn("day", F.col("day").cast("string"))
 
 
-@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, (day(o_orderdate) % 10) / 10.0::DOUBLE AS aod FROM orders WHERE o_orderkey % 2 = 0)
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, (day(o_orderdate) % 10) / 10.0::DOUBLE AS aod FROM orders WHERE o_orderstatus = 'F')
   SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS kept FROM lineitem LEFT JOIN d ON CAST(l_shipdate AS DATE) = d.day WHERE coalesce(aod <= 0.4, true) GROUP BY 1""")
 def aod_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of days within the limit of optical depth; unknown days stay."""
     from skyweave.plans.pipelines import gate_by_aod
 
-    by_day = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderdate").cast("date").alias("day"), (F.dayofmonth("o_orderdate") % 10 / 10.0).alias("aod")).distinct()
+    by_day = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderdate").cast("date").alias("day"), (F.dayofmonth("o_orderdate") % 10 / 10.0).alias("aod")).distinct()
     kept = gate_by_aod(observations(spark, sf_dir, ordered=False), by_day, 0.4)
     return kept.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("kept"))
 
@@ -378,10 +377,10 @@ def period_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods(spark, [1997, 1995, 1997, 1996], [7, 2, 12, 2]).withColumn("month_end", F.col("month_end").cast("string"))
 
 
-@query(sql(f"""SELECT pid, period, w.b0 AS b0, w.scene_index AS scene_index, n AS observation_count FROM (SELECT pid, period, arg_min(struct_pack(b0 := b0, scene_index := scene_index), {SCORE}) AS w, count(*) AS n FROM obs WHERE {STRICT} AND period >= '1996' GROUP BY ALL)"""))
+@query(sql(f"""SELECT pid, period, w.b0 AS b0, w.scene_index AS scene_index, n AS observation_count FROM (SELECT pid, period, arg_min(struct_pack(b0 := b0, scene_index := scene_index), {SCORE}) AS w, count(*) AS n FROM obs WHERE {STRICT} GROUP BY ALL)"""))
 def monthly_best_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A composite for every month in one job: the period is one more key."""
-    obs = with_quality(observations(spark, sf_dir)).where("period >= '1996'")
+    obs = with_quality(observations(spark, sf_dir))
     won = compose.best_pixel(obs, ["pid", "period"], list(BANDS), ["scene_index"])
     return won.select("pid", "period", "b0", "scene_index", "observation_count")
 
@@ -668,13 +667,13 @@ def required_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql("""SELECT id, coalesce(a.aod, b.aod) AS aod, CASE WHEN a.aod IS NOT NULL THEN 'id' WHEN b.aod IS NOT NULL THEN 'tile and day' END AS found FROM ids
-  LEFT JOIN (SELECT id AS i, min(scene_index % 9) AS aod FROM ids WHERE scene_index % 5 = 0 GROUP BY 1) a ON a.i = ids.id
-  LEFT JOIN (SELECT tile AS t, day AS d, arg_min(scene_index % 9, scene_index) AS aod FROM ids WHERE scene_index % 3 = 0 GROUP BY ALL) b ON b.t = ids.tile AND b.d = ids.day""", SCENE_IDS))
+  LEFT JOIN (SELECT id AS i, min(scene_index % 9) AS aod FROM ids WHERE tile = 'T0' GROUP BY 1) a ON a.i = ids.id
+  LEFT JOIN (SELECT tile AS t, day AS d, arg_min(scene_index % 9, scene_index) AS aod FROM ids WHERE tile <> 'T3' GROUP BY ALL) b ON b.t = ids.tile AND b.d = ids.day""", SCENE_IDS))
 def sidecar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correction records by scene id, else by tile and day, the first of several."""
     ids = _scene_ids(spark, sf_dir)
-    exact = ids.where("scene_index % 5 = 0").groupBy("id").agg(F.min(F.col("scene_index") % 9).alias("a"))
-    near = ids.where("scene_index % 3 = 0").groupBy("tile", "day").agg(F.min_by(F.col("scene_index") % 9, "scene_index").alias("b"))
+    exact = ids.where("tile = 'T0'").groupBy("id").agg(F.min(F.col("scene_index") % 9).alias("a"))
+    near = ids.where("tile <> 'T3'").groupBy("tile", "day").agg(F.min_by(F.col("scene_index") % 9, "scene_index").alias("b"))
     joined_ = ids.join(exact, "id", "left").join(near, ["tile", "day"], "left")
     return joined_.select("id", F.coalesce("a", "b").alias("aod"), F.when(F.col("a").isNotNull(), "id").when(F.col("b").isNotNull(), "tile and day").alias("found"))
 
@@ -747,8 +746,8 @@ def tile_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     def box(x0: Column, x1: Column) -> Column:
         return F.array(*(F.array(x, y) for x, y in ((x0, F.lit(0.0)), (x1, F.lit(100.0)), (x1 + 50, F.lit(2500.0)), (x0 + 50, F.lit(2500.0)))))
 
-    west = F.col("s_suppkey") * 600.0
-    tiles = table(spark, sf_dir, "supplier").where("s_suppkey < 4").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("tile"), F.array(box(west, west + 750)).alias("rings"))
+    west = F.substring("tile", 2, 9).cast("int") * 600.0
+    tiles = scenes(spark, sf_dir).select("tile").distinct().select("tile", F.array(box(west, west + 750)).alias("rings"))
     return partition.classify(chunks, tiles, 16.0).withColumn("unreachable", F.round("unreachable", 6))
 
 
