@@ -40,7 +40,12 @@ def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, copy); ``copy`` numbers rows that repeat an id."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
-    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")))
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy(_key()).orderBy("source", "size")))
+
+
+def _key() -> Column:
+    """doc_id with a number for null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
 
 
 def targets(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -163,9 +168,11 @@ def mix(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """
     settings = settings or Settings()
     names = docs.columns
-    own = Window.partitionBy(F.col("doc_id").cast("long")).orderBy("source", F.regexp_count("text", F.lit(WORD)))
-    draws = plan(docs, settings).where(F.size("shards") > 0).select(F.col("doc_id").alias("_sw_doc"), F.col("copy").alias("_sw_copy_r"), "shards")
-    rows = docs.withColumn("_sw_copy", F.row_number().over(own)).join(draws.withColumnRenamed("shards", "_sw_shards"), F.col("doc_id").cast("long").eqNullSafe(F.col("_sw_doc")) & (F.col("_sw_copy") == F.col("_sw_copy_r")))
+    own = Window.partitionBy("_sw_key").orderBy("source", F.regexp_count("text", F.lit(WORD)))
+    draws = plan(docs, settings).where(F.size("shards") > 0).select(_key().alias("_sw_key_r"), F.col("copy").alias("_sw_copy_r"), F.col("shards").alias("_sw_shards"))
+    numbered = docs.withColumn("_sw_key", _key()).withColumn("_sw_copy", F.row_number().over(own))
+    # Only the id is a key of the join, so it reuses the exchange that numbers the copies.
+    rows = numbered.join(draws, (F.col("_sw_key") == F.col("_sw_key_r")) & (F.col("_sw_copy") - F.col("_sw_copy_r") == 0))
     rows = rows.select(*names, F.posexplode("_sw_shards").alias("_sw_draw", "_sw_shard"))
     place = _hash(settings, F.lit("shuffle"), "doc_id", "_sw_draw")
     return rows.withColumn("_sw_place", place).repartition("_sw_shard", F.pmod(F.col("_sw_place"), F.lit(16))).sortWithinPartitions("_sw_shard", "_sw_place").select(*names)
