@@ -29,9 +29,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of least id."""
-    kept = chosen_path.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_sw_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_sw_kept")).select(*docs.columns)
+    """One document of each group: the one of least id; rows without an id stay."""
+    gone = chosen_path.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_sw_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_sw_gone"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -242,14 +242,15 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     ``numerator`` hundredths, confirmed on full sets.  ``component_id``: the
     smallest doc_id reachable; ``kept``: it is the row's own.  Rows that repeat
     an id are one document where their texts agree, else separate ones, each in
-    its own text's component; other columns are ignored; an empty table gives
+    its own text's component; rows with a null id link with nothing, have a
+    null component and are kept; other columns are ignored; an empty table gives
     an empty result.
     """
     settings = settings or Settings()
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     rows = scratch.keep(sketches(docs, settings))
-    full = rows.where("set_key is not null")
+    full = rows.where("set_key is not null and doc_id is not null")
     classes = scratch.keep(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "sketch")).alias("least")).select("set_key", F.col("least.doc_id").alias("rep"), F.col("least.sketch").alias("sketch")))
 
     # Levels: nodes of one document go, small ones are compared, large ones branch on.
@@ -290,4 +291,5 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -269,13 +269,14 @@ def near_vectors(table: DataFrame, settings: Settings | None = None) -> DataFram
     vec_id reachable; ``kept``: it is the row's own; ``recall``: as audited in
     the last round.  Null and zero vectors and those with null or non-finite
     components link with nothing, vectors of different lengths not with each
-    other; equal vectors are one class and compared once; other columns are
+    other; equal vectors are one class and compared once; rows with a null id
+    link with nothing, have a null component and are kept; other columns are
     ignored; an empty table gives an empty result.
     """
     settings = settings or Settings()
     scratch = Scratch(table.sparkSession, "vectors")
     rows = scratch.keep(unit_vectors(table))
-    classes = rows.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("vec_id").alias("id"), "size", "exact", "short")).alias("r"), F.count("*").alias("copies"))
+    classes = rows.where("key is not null and vec_id is not null").groupBy("key").agg(F.min(F.struct(F.col("vec_id").alias("id"), "size", "exact", "short")).alias("r"), F.count("*").alias("copies"))
     vectors = scratch.keep(classes.select("key", "copies", "r.*"))
     lists, recall = neighbour_graph(vectors, scratch, settings)
     near = lists.where(F.col("sim") >= settings.threshold - settings.slack).select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -285,8 +286,10 @@ def near_vectors(table: DataFrame, settings: Settings | None = None) -> DataFram
     named = vectors.select("key", "id", "copies").join(counts, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
     out = rows.select("vec_id", "key").join(named, "key", "left")
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumn("recall", F.lit(recall))
+    known = F.col("vec_id").isNotNull()
+    links, component = F.when(known, F.coalesce("links", F.lit(0))).otherwise(0), F.when(known, F.coalesce("component", "vec_id"))
+    out = out.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("recall", F.lit(recall))
 
 
 #: The same by comparing all pairs.

@@ -93,6 +93,17 @@ def test_rows_that_share_an_id_but_not_a_text(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, "A B c d e f"), (None, None)], "doc_id long, text string")
+    rows = chosen_path.near_duplicates(docs).collect()
+    assert sorted(((r["doc_id"] or 0), r["component_id"] or 0, r["kept"]) for r in rows) == [(0, 0, True), (0, 0, True), (3, 3, True), (4, 3, False)]
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = nn_descent.near_vectors(vectors).collect()
+    assert sorted(((r["vec_id"] or 0), r["n_links"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (3, 1, 3), (4, 1, 3)]
+    mixed = mixing.mix(docs.withColumn("source", F.lit("s")))
+    assert mixed.count() > 0
+
+
 @pytest.mark.parametrize("threshold", [1, 2, 3])
 def test_banded_distance(spark, threshold):
     rng = random.Random(threshold)
