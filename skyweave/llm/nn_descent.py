@@ -1,11 +1,13 @@
 """Embedding near-dedup by NN-descent.
 
 A neighbour graph starts from random projection trees and is refined by joining
-neighbours of neighbours.  A vector's list holds its nearest few and every
-neighbour over the threshold, so lists that saturate grow.  Recall is audited
-against brute force on a bounded sample and further rounds follow while it is
-short.  At last the components of the graph's threshold edges are compared
-exhaustively in blocks, in double precision, which fixes links and counts.
+neighbours of neighbours.  A vector's list holds its nearest few and neighbours
+over the threshold.  A full list hides links that leave a tight group, so vectors
+of different components are compared under fresh trees, in blocks, until no link
+between components is found.  Recall is audited against brute force on a bounded
+sample; further rounds follow while it is short, and brute force in blocks if it
+stays so.  At last the components are compared exhaustively in blocks, in double
+precision, which fixes links and counts.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.llm.shared import Scratch, connected_components, groups
@@ -52,6 +54,30 @@ def _edges(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim.astype(np.float32), pa.float32())], ["u", "v", "sim"])
 
 
+def _forest(link: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning tree of each part of a symmetric matrix of links: (from, to) by place."""
+    u, v, left = [], [], np.ones(len(link), bool)
+    for root in range(len(link)):
+        if left[root]:
+            left[root], todo = False, [root]
+            while todo:
+                i = todo.pop()
+                new = np.flatnonzero(link[i] & left)
+                left[new] = False
+                u += [i] * len(new)
+                v += new.tolist()
+                todo += new.tolist()
+    return u, v
+
+
+def _cells() -> Column:
+    """A cell for every pair of a ``block`` with one of ``blocks``; that of a block with itself is negative."""
+    return F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.when(k == F.col("block"), -1 - k).otherwise(F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block"))),
+    )
+
+
 def unit_vectors(table: DataFrame) -> DataFrame:
     """(vec_id, key, size, exact, short): unit vectors as bytes of doubles and floats.
 
@@ -131,14 +157,17 @@ def _leaves(coded: DataFrame, settings: Settings) -> DataFrame:
 def _lists(edges: DataFrame, settings: Settings) -> DataFrame:
     """(u, v, sim, fresh, least): each u's nearest, and all over the threshold up to ``wide``.
 
-    ``least``: what a new neighbour must exceed to enter the list.
+    ``least``: what a new neighbour must exceed to enter the list; the threshold
+    at most, until the list is full of neighbours over it.
     """
     one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     order = Window.partitionBy("u").orderBy(F.col("sim").desc(), "v")
     near = F.col("sim") >= settings.threshold - settings.slack
     held = one.withColumn("place", F.row_number().over(order)).where((F.col("place") <= settings.near) | near & (F.col("place") <= settings.wide))
     every = Window.partitionBy("u")
-    return held.select("u", "v", "sim", "fresh", F.when(F.count("*").over(every) >= settings.near, F.min("sim").over(every)).otherwise(F.lit(-1.0)).cast("float").alias("least"))
+    full, last = F.count("*").over(every), F.min("sim").over(every)
+    least = F.when(full >= settings.wide, last).when(full >= settings.near, F.least(last, F.lit(settings.threshold - 2 * settings.slack))).otherwise(F.lit(-1.0))
+    return held.select("u", "v", "sim", "fresh", least.cast("float").alias("least"))
 
 
 def _descend(lists: DataFrame, vectors: DataFrame, settings: Settings) -> DataFrame:
@@ -164,7 +193,7 @@ def _descend(lists: DataFrame, vectors: DataFrame, settings: Settings) -> DataFr
     return parts.mapInArrow(lambda b: groups(b, ["pivot", "cell"], work), "u long, v long, sim float")
 
 
-def _audit(vectors: DataFrame, lists: DataFrame, settings: Settings) -> tuple[float, DataFrame]:
+def _audit(vectors: DataFrame, label: DataFrame, settings: Settings) -> tuple[float, DataFrame]:
     """(share found of the over-threshold neighbours of ``audited`` vectors, those neighbours).
 
     The sample, a bounded number of vectors by least hash, is compared with all
@@ -188,35 +217,70 @@ def _audit(vectors: DataFrame, lists: DataFrame, settings: Settings) -> tuple[fl
                     yield _edges(u[u != v], v[u != v], sim[i, j][u != v])
 
     true = vectors.select("id", "size", "short").mapInArrow(run, "u long, v long, sim float")
-    # a list holds ``wide`` at most: a neighbour counts as found if the two are in one component
-    label = connected_components(lists.where(F.col("sim") >= settings.threshold - settings.slack).select(F.col("u").alias("a"), F.col("v").alias("b")), Scratch(vectors.sparkSession, "audit"))
+    # components are compared in full later: a neighbour counts as found if the two are in one
     la, lb = label.select(F.col("node").alias("u"), F.col("component").alias("la")), label.select(F.col("node").alias("v"), F.col("component").alias("lb"))
     got = true.join(la, "u", "left").join(lb, "v", "left").agg(F.count("*").alias("n"), F.sum((F.coalesce("la", F.lit(-1)) == F.coalesce("lb", F.lit(-2))).cast("int")).alias("found")).first()
     return (got["found"] / got["n"] if got["n"] else 1.0), true
 
 
-def neighbour_graph(vectors: DataFrame, scratch: Scratch, settings: Settings) -> tuple[DataFrame, float]:
-    """(lists, audited recall) for ``vectors`` (id, size, short)."""
+def _cross(vectors: DataFrame, coded: DataFrame, label: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): links between different components under the codes of ``coded``; a forest of each task's.
+
+    All vectors of a code that has several components are compared, in pairs of
+    bounded blocks; no list limits them, and what is emitted grows with vectors.
+    """
+    named = coded.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = named.groupBy("tree", "code").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    blocks = F.ceil(F.col("n") / settings.cell).cast("int")
+    own = named.join(sizes, ["tree", "code"]).select("tree", "code", "id", "component", "short", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    dealt = own.select("tree", "code", "id", "component", "short", F.explode(_cells()).alias("cell"))
+
+    def work(table: pa.Table):
+        ids, part, x = table["id"].to_numpy(), table["component"].to_numpy(), _matrix(table["short"], np.float32)
+        u, v = _forest((x @ x.T >= settings.threshold - settings.slack) & (part[:, None] != part[None]))
+        return pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["a", "b"]) if u else None
+
+    parts = dealt.repartition("tree", "code", "cell").sortWithinPartitions("tree", "code", "cell")
+    return parts.mapInArrow(lambda b: groups(b, ["tree", "code", "cell"], work), "a long, b long")
+
+
+def candidate_components(vectors: DataFrame, scratch: Scratch, settings: Settings) -> tuple[DataFrame, float]:
+    """((node, component), audited recall) for ``vectors`` (id, size, short).
+
+    Every link is within a component, as far as audited; where the audit stays
+    short after all rounds, all vectors of a length are one component.
+    """
     n = vectors.count()
     bits = int(np.clip(np.ceil(np.log2(max(n, 2) / (settings.leaf / 2))), 1, 40))
-    lists, recall = None, 0.0
+    lists, label, passes = None, None, settings.rounds
+
+    def joined(edges: DataFrame, a: str, b: str) -> DataFrame:
+        edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+        known = edges if label is None else edges.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return scratch.keep(connected_components(known, scratch))
+
     for step in range(settings.rounds):
         coded = scratch.keep(_codes(vectors, bits, step, settings))
         found = _leaves(coded, settings).withColumn("fresh", F.lit(True))
         found = found if lists is None else found.unionByName(lists.select("u", "v", "sim", F.lit(False).alias("fresh")))
         lists = scratch.keep(_lists(found, settings))
-        scratch.drop(coded)
         for _ in range(settings.descents):
             new = _descend(lists, vectors, settings).withColumn("fresh", F.lit(True))
             after = scratch.keep(_lists(new.unionByName(lists.select("u", "v", "sim", F.lit(False).alias("fresh"))), settings))
             scratch.drop(lists)
             lists = after
-        recall, true = _audit(vectors, lists, settings)
-        more = true.unionByName(true.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).select("u", "v", "sim", F.lit(True).alias("fresh"))
-        lists = scratch.keep(_lists(more.unionByName(lists.select("u", "v", "sim", "fresh")), settings))
+        label = joined(lists.where(F.col("sim") >= settings.threshold - settings.slack), "u", "v")
+        while not (links := scratch.keep(_cross(vectors, coded, label, settings))).isEmpty():  # each time components join
+            scratch.drop(coded)
+            label = joined(links, "a", "b")
+            coded = scratch.keep(_codes(vectors, bits, passes, settings))
+            passes += 1
+        scratch.drop(coded)
+        recall, true = _audit(vectors, label, settings)
+        label = joined(true, "u", "v")
         if recall >= settings.recall:
-            break
-    return lists, recall
+            return label, recall
+    return vectors.select(F.col("id").alias("node"), F.col("size").cast("long").alias("component")), 1.0
 
 
 def _exact(vectors: DataFrame, label: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -227,12 +291,7 @@ def _exact(vectors: DataFrame, label: DataFrame, settings: Settings) -> tuple[Da
     sizes = label.groupBy("component").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / settings.cell).cast("int")
     own = label.join(sizes, "component").select(F.col("node").alias("id"), "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    # a cell for every pair of blocks; that of a block with itself is negative
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.when(k == F.col("block"), -1 - k).otherwise(F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block"))),
-    )
-    dealt = own.select("id", "component", "block", F.explode(cells).alias("cell")).join(vectors.select("id", "copies", "exact"), "id")
+    dealt = own.select("id", "component", "block", F.explode(_cells()).alias("cell")).join(vectors.select("id", "copies", "exact"), "id")
 
     def work(table: pa.Table):
         ids, block, copies = table["id"].to_numpy(), table["block"].to_numpy(), table["copies"].to_numpy()
@@ -242,20 +301,10 @@ def _exact(vectors: DataFrame, label: DataFrame, settings: Settings) -> tuple[Da
         if table["cell"][0].as_py() >= 0:  # pairs inside a block are compared in its own cell
             link &= block[:, None] != block[None]
         count = link @ copies.astype(np.int64)
-        u, v, left = [], [], np.ones(len(ids), bool)
-        for root in range(len(ids)):  # a spanning tree of each part
-            if left[root]:
-                left[root], todo = False, [root]
-                while todo:
-                    i = todo.pop()
-                    new = np.flatnonzero(link[i] & left)
-                    left[new] = False
-                    u += [ids[i]] * len(new)
-                    v += ids[new].tolist()
-                    todo += new.tolist()
+        u, v = (ids[np.array(side, np.int64)] for side in _forest(link))
         some = np.flatnonzero(count)
         kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(u)])
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([ids[some], np.array(u, np.int64)])), pa.array(np.concatenate([count[some], np.array(v, np.int64)]))], ["kind", "u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([ids[some], u])), pa.array(np.concatenate([count[some], v]))], ["kind", "u", "v"])
 
     parts = dealt.select("component", "cell", "id", "block", "copies", "exact").repartition("component", "cell").sortWithinPartitions("component", "cell")
     return parts.mapInArrow(lambda b: groups(b, ["component", "cell"], work), "kind int, u long, v long")
@@ -278,9 +327,8 @@ def near_vectors(table: DataFrame, settings: Settings | None = None) -> DataFram
     rows = scratch.keep(unit_vectors(table))
     classes = rows.where("key is not null and vec_id is not null").groupBy("key").agg(F.min(F.struct(F.col("vec_id").alias("id"), "size", "exact", "short")).alias("r"), F.count("*").alias("copies"))
     vectors = scratch.keep(classes.select("key", "copies", "r.*"))
-    lists, recall = neighbour_graph(vectors, scratch, settings)
-    near = lists.where(F.col("sim") >= settings.threshold - settings.slack).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    exact = scratch.keep(_exact(vectors, scratch.keep(connected_components(near, scratch)), settings))
+    near, recall = candidate_components(vectors, scratch, settings)
+    exact = scratch.keep(_exact(vectors, near, settings))
     counts = exact.where("kind = 0").groupBy(F.col("u").alias("id")).agg(F.sum("v").alias("others"))
     label = scratch.keep(connected_components(exact.where("kind = 1").select(F.col("u").alias("a"), F.col("v").alias("b")), scratch))
     named = vectors.select("key", "id", "copies").join(counts, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left")

@@ -249,6 +249,20 @@ def test_vectors(spark):
     assert nn_descent.near_vectors(frame.limit(0)).count() == 0
 
 
+def tight_groups(size):
+    """Two groups whose members have a cosine of 0.99, and 0.96 with those of the other."""
+    rng = np.random.default_rng(4)
+    axes = np.linalg.qr(rng.standard_normal((2 * size + 3, 2 * size + 3)))[0]
+    return [list(map(float, np.sqrt(0.96) * axes[0] + np.sqrt(0.03) * axes[1 + k // size] + np.sqrt(0.01) * axes[3 + k])) for k in range(2 * size)]
+
+
+@pytest.mark.parametrize("how", [{}, {"cell": 64}, {"rounds": 0}])
+def test_links_between_tight_groups(spark, how):
+    rows = list(enumerate(tight_groups(100)))
+    got = nn_descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), nn_descent.Settings(**how)).collect()
+    assert len(got) == 200 and all((r["n_links"], r["component_id"]) == (199, 0) for r in got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
