@@ -1,14 +1,17 @@
-"""SentencePiece encoding and decoding by a batched numpy Viterbi search.
+"""SentencePiece encoding and decoding by batched numpy merges, as the library encodes.
 
-The best segmentation of a text under the pieces' scores.  Distinct words of
-equal length advance together: the hashes of all their substrings probe the
-sorted keys of the pieces, and a vectorised maximum over the lengths of the last
-piece stores a backpointer for each position.  Characters that no piece holds
-fall back to byte pieces.
+The scores of a BPE vocabulary are merge ranks, which do not add up to that of a
+segmentation: words are encoded by merging the neighbours of best rank until no
+two of them join into a piece.  Distinct words of equal length advance together:
+the hashes of all their substrings probe the sorted keys of the pieces, and each
+step merges one pair of every word.  Characters that no piece holds fall back to
+byte pieces.  The Viterbi search, for vocabularies with additive scores, is kept
+beside it as ``encode_words``.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import lru_cache
 
@@ -26,6 +29,8 @@ MARK = "▁"
 CELLS = 1 << 20
 _BASE = 0xA0761D6478BD642F | 1
 _NONE = -1
+#: Longest word whose pairs are looked at as a row at every step; longer ones keep a heap.
+ROW = 128
 _TOP = 20
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _LETTER = re.compile(f"[{_LETTERS}]")
@@ -67,7 +72,8 @@ class Pieces:
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in text])])
         self.is_byte = np.zeros(len(pieces), bool)
         self.is_byte[self.byte_ids] = True
-        self.cache = WordCache(self.encode_words)
+        self.ranks = dict(zip((pieces[i] for i in own), zip((float(scores[i]) for i in own), own)))
+        self.cache = WordCache(self.merge_words)
 
     @staticmethod
     def _prefix(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +88,14 @@ class Pieces:
         return mix(total[:, -1] * down[0] + np.uint64(codes.shape[1]))
 
     def encode_words(self, words: list[str]) -> list[np.ndarray | list[int]]:
-        """Piece ids of each word, in which a space stands for the mark."""
+        """Piece ids of each word by greatest sum of scores; a space stands for the mark."""
+        return self._by_length(words, lambda codes: self._viterbi(codes))
+
+    def merge_words(self, words: list[str]) -> list[np.ndarray | list[int]]:
+        """Piece ids of each word by merges in the order of the scores, those of the library."""
+        return self._by_length(words, lambda codes: self._merge(codes) if codes.shape[1] <= ROW else [self._merge_long(row) for row in codes])
+
+    def _by_length(self, words: list[str], encode) -> list[np.ndarray | list[int]]:
         out: list = [None] * len(words)
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
@@ -96,11 +109,12 @@ class Pieces:
                 part = members[at : at + step]
                 joined = "".join(words[i] for i in part).replace(" ", MARK)
                 codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).reshape(len(part), length)
-                for i, ids in zip(part, self._viterbi(codes), strict=True):
+                for i, ids in zip(part, encode(codes), strict=True):
                     out[i] = ids
         return out
 
-    def _viterbi(self, codes: np.ndarray) -> list[list[int]]:
+    def _probe(self, codes: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """(lengths of pieces, the place of each substring among the pieces by length, word and end)."""
         n, length = codes.shape
         total, down = self._prefix(codes.astype(np.uint64))
         lengths = [k for k in self.lengths if k <= length]
@@ -113,6 +127,81 @@ class Pieces:
             probe = hashed[some]
             place = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
             found[x, some[0], some[1] + k] = np.where(self.keys[place] == probe, place, _NONE)
+        return lengths, found
+
+    def _merge(self, codes: np.ndarray) -> list[list[int]]:
+        n, length = codes.shape
+        lengths, found = self._probe(codes)
+        # row 0: a substring of a length that no piece has
+        at_length = np.zeros(2 * length + 2, np.int32)
+        at_length[lengths] = np.arange(1, len(lengths) + 1)
+        found = np.concatenate([np.full((1, n, length + 1), _NONE, np.int32), found])
+        # ends of the symbols by their start, starts by their end, and the score of each with the next
+        end = np.tile(np.arange(1, length + 2), (n, 1))
+        start = np.tile(np.arange(-1, length), (n, 1))
+        gain = np.full((n, length), -np.inf)
+
+        def score(rows: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+            place = found[at_length[to - at], rows, np.minimum(to, length)]
+            return np.where((to <= length) & (place >= 0), self.scores[place], -np.inf)
+
+        for at in range(length - 1):
+            gain[:, at] = score(np.arange(n), np.full(n, at), np.full(n, at + 2))
+        live = np.arange(n)
+        while len(live):
+            own = gain[live]
+            at = own.argmax(1)  # ties go to the left
+            some = own[np.arange(len(live)), at] > -np.inf
+            live, at = live[some], at[some]
+            middle = end[live, at]
+            to = end[live, middle]
+            end[live, at] = to
+            start[live, to] = at
+            gain[live, middle] = -np.inf
+            after = np.where(to < length, end[live, np.minimum(to, length)], length + 1)
+            gain[live, at] = score(live, at, after)
+            rows, here = live[at > 0], at[at > 0]
+            before = start[rows, here]
+            gain[rows, before] = score(rows, before, end[rows, here])
+        out = []
+        for i, row in enumerate(codes):
+            ids, at = [], 0
+            ends = end[i].tolist()
+            while at < length:
+                place = found[at_length[ends[at] - at], i, ends[at]]
+                ids += [int(self.ids[place])] if place >= 0 else self.byte_ids[list(chr(int(row[at])).encode())].tolist()
+                at = ends[at]
+            out.append(ids)
+        return out
+
+    def _merge_long(self, codes: np.ndarray) -> list[int]:
+        """The same for one word, with the pairs in a heap."""
+        word = codes.astype(np.uint32).tobytes().decode("utf-32-le")
+        length = len(word)
+        end, start, heap = list(range(1, length + 1)), list(range(-1, length)), []
+
+        def offer(at: int) -> None:
+            if at >= 0 and end[at] < length and (known := self.ranks.get(word[at : end[end[at]]])):
+                heapq.heappush(heap, (-known[0], at, end[at], end[end[at]]))
+
+        for at in range(length):
+            offer(at)
+        while heap:
+            _, at, middle, to = heapq.heappop(heap)
+            if end[at] == middle and end[middle] == to:
+                end[at], end[middle], start[to] = to, -1, at
+                offer(at)
+                offer(start[at])
+        ids, at = [], 0
+        while at < length:
+            known = self.ranks.get(word[at : end[at]])
+            ids += [known[1]] if known else self.byte_ids[list(word[at].encode())].tolist()
+            at = end[at]
+        return ids
+
+    def _viterbi(self, codes: np.ndarray) -> list[list[int]]:
+        n, length = codes.shape
+        lengths, found = self._probe(codes)
         gain = np.where(found >= 0, self.scores[found], -np.inf)
         single = gain[lengths.index(1)]
         single[np.isneginf(single)] = self.unknown
@@ -183,9 +272,8 @@ def load(path: str) -> Pieces:
 def encode(docs: DataFrame, vocabulary: str, with_text: bool = True) -> DataFrame:
     """``docs`` (text and any others), without its text if not ``with_text``, with token_ids, n_tokens, n_byte_tokens, round_trip appended.
 
-    ``token_ids``: the best segmentation of the whole text under the scores of
-    the vocabulary (a SentencePiece model with byte fallback and no text
-    normalisation).  ``round_trip``: the decoded ids equal the text byte for
+    ``token_ids``: those of the vocabulary's own library (a SentencePiece BPE
+    model with byte fallback and no text normalisation), but for literal marks.  ``round_trip``: the decoded ids equal the text byte for
     byte; a literal mark (U+2581) is kept apart from a space by its bytes.
     Null texts have null ids, empty texts no ids, both 0 tokens; repeated rows
     are encoded each; own columns of these names are replaced.  One pass, no

@@ -120,6 +120,17 @@ def test_viterbi_matches_a_plain_one():
         assert list(ids) == viterbi(pieces, word), word
 
 
+def test_pieces_match_the_library():
+    import sentencepiece
+
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_viterbi.load(PIECES)
+    texts = [t for t in TEXTS if t and "▁" not in t] + ["Elle des theatre  antidisestablishment", "a" * 500 + " " * 300 + "b--" * 200, "x= (y+1);\n\tfoo_bar"]
+    texts += ["".join(RNG.choice("  abcdethingeré.,-'1\n中") for _ in range(RNG.randint(1, 300))) for _ in range(200)]
+    ids, counts = pieces.encode(texts)
+    for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == model.encode(text), text[:40]
+
+
 def test_pieces_round_trip(docs, spark):
     encoded = piece_viterbi.encode(docs.withColumn("token_ids", F.lit("clash")), PIECES)
     rows = encoded.collect()
