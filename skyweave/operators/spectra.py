@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 SHIPPED = 200_000
 
 
-def knn(queries: DataFrame, library: DataFrame, key: str, library_key: str, anchor: str, target: str, k: int = 10, shipped: int = SHIPPED) -> DataFrame:
+def knn(queries: DataFrame, library: DataFrame, key: str, library_key: str, anchor: str, target: str, k: int = 10, shipped: int = SHIPPED, own: str | None = None) -> DataFrame:
     """(key, prediction, distance): inverse-distance mean of the targets of the k nearest anchors.
 
     ``anchor`` and ``target`` are array columns.  Weights are 1 / (d + 1e-6);
     ties go to the least library key; ``distance`` is that of the nearest.
+    ``own``: a column of ``queries`` with the library key that is left out for
+    the row, so that a table can be asked against its own other rows.
     """
     rows = library.select(F.col(library_key).alias("_lk"), F.col(anchor).cast("array<double>").alias("_la"), F.col(target).cast("array<double>").alias("_lt"))
-    ask = queries.select(key, F.col(anchor).cast("array<double>").alias("_qa"))
+    left_out = F.lit(None).cast(rows.schema["_lk"].dataType) if own is None else F.col(own)
+    ask = queries.select(key, F.col(anchor).cast("array<double>").alias("_qa"), left_out.alias("_own"))
     if library.count() <= shipped:
         found = _shipped(ask, rows, key, k)
     else:
@@ -40,6 +43,9 @@ def knn(queries: DataFrame, library: DataFrame, key: str, library_key: str, anch
 
 def _shipped(ask: DataFrame, rows: DataFrame, key: str, k: int) -> DataFrame:
     own = sorted(rows.collect(), key=lambda r: r["_lk"])
+    places: dict = {}
+    for i, r in enumerate(own):
+        places.setdefault(r["_lk"], []).append(i)
     anchors, targets = np.array([r["_la"] for r in own]), np.array([r["_lt"] for r in own])
     kind = ask.schema[key].dataType.simpleString()
 
@@ -48,8 +54,10 @@ def _shipped(ask: DataFrame, rows: DataFrame, key: str, k: int) -> DataFrame:
             x = np.array(batch.column(1).to_pylist(), np.float64)
             for at in range(0, len(x), 512):
                 d = np.sqrt(np.maximum(((x[at : at + 512, None, :] - anchors[None]) ** 2).sum(2), 0))
+                for i, left_out in enumerate(batch.column(2)[at : at + 512].to_pylist()):
+                    d[i, places.get(left_out, [])] = np.inf
                 top = np.argsort(d, 1, kind="stable")[:, :k]
-                near = [[{"d": float(d[i, j]), "t": targets[j].tolist()} for j in top[i]] for i in range(len(d))]
+                near = [[{"d": float(d[i, j]), "t": targets[j].tolist()} for j in top[i] if d[i, j] < np.inf] for i in range(len(d))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512], pa.array(near, pa.list_(pa.struct([("d", pa.float64()), ("t", pa.list_(pa.float64()))])))], [key, "near"])
 
     return ask.mapInArrow(run, f"{key} {kind}, near array<struct<d:double,t:array<double>>>")
@@ -61,7 +69,7 @@ def _blocked(ask: DataFrame, rows: DataFrame, key: str, k: int, blocks: int = 64
     far = rows.withColumn("_b", block)
     near = ask.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     d = F.sqrt(F.aggregate(F.zip_with("_qa", "_la", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    ranked = near.join(far, "_b").withColumn("d", d).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_b").orderBy("d", "_lk"))).where(F.col("_n") <= k)
+    ranked = near.join(far, "_b").where(F.col("_own").isNull() | (F.col("_lk") != F.col("_own"))).withColumn("d", d).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_b").orderBy("d", "_lk"))).where(F.col("_n") <= k)
     every = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "_lk", F.col("_lt").alias("t")))).alias("near"))
     return every.select(key, F.transform(F.slice("near", 1, k), lambda x: F.struct(x["d"].alias("d"), x["t"].alias("t"))).alias("near"))
 
@@ -70,13 +78,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_match(queries: DataFrame, library: DataFrame, key: str, library_key: str, spectrum: str) -> DataFrame:
+def cosine_match(queries: DataFrame, library: DataFrame, key: str, library_key: str, spectrum: str, own: str | None = None) -> DataFrame:
     """(key, match, gain): the library spectrum of greatest cosine, and the brightness that scales it.
 
     The library is a reference table that the planner broadcasts if it is small.
+    ``own``: as in ``knn``.
     """
-    own = library.select(F.col(library_key).alias("match"), F.col(spectrum).alias("_l"))
-    both = queries.select(key, F.col(spectrum).alias("_q")).crossJoin(own)
+    rows = library.select(F.col(library_key).alias("match"), F.col(spectrum).alias("_l"))
+    ask = queries.select(key, F.col(spectrum).alias("_q"), *([] if own is None else [F.col(own).alias("_own")]))
+    both = ask.crossJoin(rows) if own is None else ask.join(rows, F.col("match") != F.col("_own"))
     score = dot(F.col("_q"), F.col("_l")) / F.sqrt(dot(F.col("_l"), F.col("_l")))
     best = both.groupBy(key).agg(F.max_by(F.struct("match", (dot(F.col("_q"), F.col("_l")) / dot(F.col("_l"), F.col("_l"))).alias("gain")), F.struct(score.alias("s"), (-F.col("match")).alias("m"))).alias("w"))
     return best.select(key, "w.match", "w.gain")

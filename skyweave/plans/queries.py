@@ -498,9 +498,13 @@ def product_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, *[c for c in out.columns if c not in ("joint", "only_a", "only_b")])
 
 
-def _spectra(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _every_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
-    rows = rows.select("vec_id", F.slice("e", 4, 4).alias("anchor"), F.slice("e", 1, 3).alias("target"), F.slice("e", 1, 7).alias("spectrum"))
+    return rows.select("vec_id", F.slice("e", 4, 4).alias("anchor"), F.slice("e", 1, 3).alias("target"), F.slice("e", 1, 7).alias("spectrum"))
+
+
+def _spectra(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _every_spectrum(spark, sf_dir)
     return rows.where("vec_id % 5 = 0"), rows.where("vec_id % 5 <> 0")
 
 
@@ -751,16 +755,41 @@ def tile_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.classify(chunks, tiles, 16.0).withColumn("unreachable", F.round("unreachable", 6))
 
 
+@query()
+def knn_predict_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``knn_predict`` of every row from all others; all pairs are too many for its SQL."""
+    rows = _every_spectrum(spark, sf_dir)
+    out = spectra.knn(rows, rows.withColumnRenamed("vec_id", "lk"), "vec_id", "lk", "anchor", "target", own="vec_id")
+    return out.select("vec_id", *(F.round(F.col("prediction")[k], 6).alias(f"t{k}") for k in range(3)), F.round("distance", 6).alias("distance"))
+
+
+@query()
+def cosine_1nn_gain_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cosine_1nn_gain`` of every row among all others."""
+    rows = _every_spectrum(spark, sf_dir)
+    return rounded(spectra.cosine_match(rows, rows.withColumnRenamed("vec_id", "lk"), "vec_id", "lk", "spectrum", own="vec_id"), "gain")
+
+
+@query()
+def knn_residual_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``knn_residual`` of every row from all others."""
+    rows = _every_spectrum(spark, sf_dir)
+    same = rows.withColumnRenamed("vec_id", "lk").withColumn("target", F.col("anchor"))
+    out = spectra.knn(rows, same, "vec_id", "lk", "anchor", "target", own="vec_id").join(rows.select("vec_id", "anchor"), "vec_id")
+    square = F.aggregate(F.zip_with("anchor", "prediction", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return out.select("vec_id", F.round(F.sqrt(square / F.size("anchor")), 6).alias("rmse"))
+
+
 @query()
 def aod_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Optical depth pooled by label: anchors at a prior, neighbours in a library, a grid of candidates."""
+    """Optical depth pooled by label: anchors at a prior, neighbours among all other rows, a grid of candidates."""
     from skyweave.operators import inversion
 
     rows = table(spark, sf_dir, "embeddings").withColumn("e", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.abs(x) + 0.02))
     rows = rows.select("vec_id", "label", F.slice("e", 1, 2).alias("anchor"), F.slice("e", 3, 3).alias("target"))
-    library = rows.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("lk"), "anchor", "target")
+    library = rows.select(F.col("vec_id").alias("lk"), "anchor", "target")
     waves = ([1.6, 2.2], [0.44, 0.49, 0.56])
-    out = inversion.solve(rows.where("vec_id % 5 = 0"), library, "vec_id", "lk", *waves, [k / 20 for k in range(1, 17)], "prior", F.lit(0.3), pool="label")
+    out = inversion.solve(rows, library, "vec_id", "lk", *waves, [k / 20 for k in range(1, 17)], "prior", F.lit(0.3), pool="label", apart=True)
     return rounded(out, "cost")
 
 

@@ -235,3 +235,40 @@ def test_table_cache(spark, tmp_path):
 
     assert cache.get("scout", {"a": 1}, make).count() == 3 and cache.get("scout", {"a": 1}, make).count() == 3 and len(made) == 1
     assert cache.get("scout", {"a": 2}, make).count() == 3 and len(made) == 2
+
+
+def test_every_spectrum_is_asked(spark, tmp_path):
+    import numpy as np
+
+    from skyweave.operators import inversion, spectra
+    from skyweave.plans import queries
+
+    x = np.random.default_rng(2).uniform(0.05, 0.4, (40, 8)).astype(np.float32).astype(float)
+    frame = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = {r["vec_id"]: r for r in queries.knn_predict_every(spark, str(tmp_path)).collect()}
+    match = {r["vec_id"]: r for r in queries.cosine_1nn_gain_every(spark, str(tmp_path)).collect()}
+    rest = {r["vec_id"]: r for r in queries.knn_residual_every(spark, str(tmp_path)).collect()}
+    assert sorted(near) == sorted(match) == sorted(rest) == list(range(40))
+    for i in range(40):
+        d = np.linalg.norm(x[:, 3:7] - x[i, 3:7], axis=1)
+        top = [j for j in np.argsort(d, kind="stable") if j != i][:10]
+        w = 1 / (d[top] + 1e-6)
+        assert np.allclose([near[i][f"t{k}"] for k in range(3)], w @ x[top, :3] / w.sum(), atol=2e-6) and abs(near[i]["distance"] - d[top[0]]) < 2e-6
+        assert abs(rest[i]["rmse"] - np.sqrt(((x[i, 3:7] - w @ x[top, 3:7] / w.sum()) ** 2).mean())) < 2e-6
+        y = x[:, :7]
+        score = np.where(np.arange(40) == i, -2, y @ y[i] / np.linalg.norm(y, axis=1))
+        assert match[i]["match"] == score.argmax() and abs(match[i]["gain"] - y[score.argmax()] @ y[i] / (y[score.argmax()] @ y[score.argmax()])) < 2e-6
+    rows = queries._every_spectrum(spark, str(tmp_path))
+    library = rows.withColumnRenamed("vec_id", "lk")
+    shipped, blocked = (spectra.knn(rows, library, "vec_id", "lk", "anchor", "target", shipped=n, own="vec_id").select("vec_id", F.round("distance", 9)) for n in (100, 1))
+    assert sorted(map(tuple, shipped.collect())) == sorted(map(tuple, blocked.collect()))
+    # one label for each row: all rows are inverted, none of them by itself
+    alone = frame.withColumn("label", F.col("vec_id").cast("int"))
+    alone.write.parquet(f"{tmp_path}/alone/embeddings.parquet")
+    got = {r["label"]: r["cost"] for r in queries.aod_inversion(spark, f"{tmp_path}/alone").collect()}
+    assert sorted(got) == list(range(40))
+    bands = alone.select("vec_id", F.slice(F.transform(F.col("embedding").cast("array<double>"), lambda v: v + 0.02), 1, 5).alias("e")).select("vec_id", F.slice("e", 1, 2).alias("anchor"), F.slice("e", 3, 3).alias("target"))
+    for i in (0, 7):
+        one = inversion.solve(bands.where(F.col("vec_id") == i), bands.where(F.col("vec_id") != i).withColumnRenamed("vec_id", "lk"), "vec_id", "lk", [1.6, 2.2], [0.44, 0.49, 0.56], [k / 20 for k in range(1, 17)], "prior", F.lit(0.3)).first()
+        assert abs(got[i] - one["cost"]) < 2e-6
