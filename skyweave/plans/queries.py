@@ -403,6 +403,16 @@ def ordered_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few.select("id", (F.row_number().over(Window.orderBy("day", "id", "scene_index")) - 1).alias("position"))
 
 
+@query(sql("SELECT id, row_number() OVER (ORDER BY strftime(day, '%Y-%m-%d'), id) - 1 AS position FROM (SELECT DISTINCT id, day FROM ids)", SCENE_IDS))
+def all_scenes_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of every scene by time and id, one of each id."""
+    from skyweave.sources import catalog
+
+    stamp = F.create_map(F.lit("datetime"), F.date_format("day", "yyyy-MM-dd"))
+    items = _scene_ids(spark, sf_dir).select("id", F.lit("c").alias("collection"), stamp.alias("properties"))
+    return catalog.scenes(items).select("id", F.col("scene_index").alias("position"))
+
+
 @query("SELECT s_suppkey, CAST(floor((lon + 180) / 6) + 1 AS INTEGER) + CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END AS epsg, CAST(floor((lon + 180) / 6) + 1 AS INTEGER) + 32600 AS north_epsg FROM (SELECT s_suppkey, s_suppkey * 3.5 % 360 - 180 AS lon, s_nationkey * 6.0 - 72 AS lat FROM supplier)")
 def utm_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = F.col("s_suppkey") * 3.5 % 360 - 180, F.col("s_nationkey") * 6.0 - 72

@@ -272,3 +272,12 @@ def test_every_spectrum_is_asked(spark, tmp_path):
     for i in (0, 7):
         one = inversion.solve(bands.where(F.col("vec_id") == i), bands.where(F.col("vec_id") != i).withColumnRenamed("vec_id", "lk"), "vec_id", "lk", [1.6, 2.2], [0.44, 0.49, 0.56], [k / 20 for k in range(1, 17)], "prior", F.lit(0.3)).first()
         assert abs(got[i] - one["cost"]) < 2e-6
+
+
+def test_every_scene_has_a_position(spark):
+    from skyweave.plans import queries
+
+    sf = "/root/testdata/sf0.01"
+    ids = {(str(r["day"]), r["id"]) for r in queries._scene_ids(spark, sf).select("day", "id").collect()}
+    got = {r["position"]: r["id"] for r in queries.all_scenes_in_order(spark, sf).collect()}
+    assert len(ids) > 200 and got == {k: i for k, (_, i) in enumerate(sorted(ids))}
