@@ -142,6 +142,8 @@ def _links(cells: DataFrame, settings: Settings) -> DataFrame:
     """
 
     def work(table: pa.Table) -> pa.RecordBatch | None:
+        if table.num_rows != len(first := np.unique(table["rep"].to_numpy(), return_index=True)[1]):
+            table = table.take(first)  # a set that came twice
         reps, labels = table["rep"].to_numpy(), table["label"].to_numpy()
         column = table["elements"].combine_chunks()
         lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -206,20 +208,21 @@ def _cells(members: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """(rep, elements) of the wanted (rep, set_key), from whole texts."""
+    """(rep, elements) of the wanted (rep, set_key, doc_id), from whole texts; a few may come twice."""
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            reps, sets, seen = [], [], set()
+            reps, sets = [], []
             for rep, key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), settings.words), strict=True):
-                if _key(own) == key and rep not in seen:  # rows that repeat an id may hold other texts
+                if rep not in seen and _key(own) == key:  # rows that repeat an id may hold other texts
                     seen.add(rep)
                     reps.append(rep)
                     sets.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "elements"])
 
-    texts = restrict(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", wanted)
-    return texts.join(wanted, "rep").select("rep", "set_key", "text").mapInArrow(run, "rep long, elements array<long>")
+    texts = restrict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted)
+    return texts.join(wanted, "doc_id").select("rep", "set_key", "text").mapInArrow(run, "rep long, elements array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -251,7 +254,9 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     scratch = Scratch(spark, "near-duplicates")
     rows = scratch.keep(sketches(docs, settings))
     full = rows.where("set_key is not null and doc_id is not null")
-    classes = scratch.keep(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "sketch")).alias("least")).select("set_key", F.col("least.doc_id").alias("rep"), F.col("least.sketch").alias("sketch")))
+    least = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "sketch")).alias("least"))
+    # classes are numbered as they are written: rows that share an id may be of several
+    classes = scratch.keep(least.select(F.monotonically_increasing_id().alias("rep"), "set_key", "least.doc_id", "least.sketch"))
 
     # Levels: nodes of one document go, small ones are compared, large ones branch on.
     level = None
@@ -279,7 +284,7 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
     # Neighbourhoods, and the components that the forests' links make in large ones.
     area = scratch.keep(connected_components(pairs, scratch).select(F.col("node").alias("rep"), F.col("component").alias("area")))
-    sets = scratch.keep(_sets(docs, classes.select("rep", "set_key").join(area, "rep"), settings))
+    sets = scratch.keep(_sets(docs, classes.select("rep", "set_key", "doc_id").join(area.select("rep"), "rep"), settings))
     wide = area.groupBy("area").agg(F.count("*").alias("n")).where(F.col("n") > settings.block).select("area")
     wide_reps = area.join(wide, "area").select(F.col("rep").alias("a"))
     links = scratch.keep(_confirm(pairs.join(wide_reps, "a", "left_semi"), sets, settings))
@@ -289,7 +294,23 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     links = scratch.keep(links.unionByName(more))
     label = scratch.keep(connected_components(links, scratch))
 
-    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    linked = classes.select("rep", "set_key", "doc_id").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    first = linked.where("component is not null").groupBy("part").agg(F.min("doc_id").alias("first"))
+    named = linked.join(first, "part", "left").select("set_key", F.coalesce("first", "doc_id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The same by counting the shared shingles of all pairs that share any.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS p FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+pair AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT doc_id, doc_id AS least FROM documents UNION SELECT link.a, reach.least FROM reach JOIN link ON link.b = reach.doc_id WHERE reach.least < link.a),
+part AS (SELECT doc_id, min(least) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM part LEFT JOIN n USING (doc_id)
+"""

@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat_format.SQL, "op5_license_scan": licenses.sql(), "op7_embedding_near_dedup": nn_descent.SQL, "op8_line_dedup": line_dedup.SQL}
+    return {"op3_minhash_near_dedup": chosen_path.SQL, "op4_chat_format": chat_format.SQL, "op5_license_scan": licenses.sql(), "op7_embedding_near_dedup": nn_descent.SQL, "op8_line_dedup": line_dedup.SQL}

@@ -281,3 +281,11 @@ def test_registry(spark):
 
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_links_of_texts_that_share_an_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:30], "other", *words[31:]])
+    docs = [(5, "entirely different words in this text of id five"), (5, " ".join(words)), (3, near), (5, " ".join(words)), (9, near + " tail")]
+    rows = chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(3, 3), (5, 3), (5, 3), (5, 5), (9, 3)]
