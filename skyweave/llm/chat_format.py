@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyweave.llm.shared import once
+
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Turns of these roles are under the loss mask.
 LEARNED = ("assistant",)
@@ -33,57 +35,69 @@ def _unescape_role(role: Column) -> Column:
 
 
 def _runs(turns: Column) -> Column:
-    """Adjacent turns of one role, merged: (role, parts)."""
-    n = F.size(turns)
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]),
-    )
-    return F.transform(
-        starts,
-        lambda at, k: F.struct(
-            F.get(turns, at)["role"].alias("role"),
-            F.slice(turns, at + 1, F.coalesce(F.get(starts, k + 1), n) - at)["text"].alias("parts"),
-        ),
-    )
+    """Adjacent turns of one role, merged: (role, at, parts)."""
+
+    def cut(turns: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(turns) - 1),
+            lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]),
+        )
+        return once(starts, lambda own: F.transform(
+            F.arrays_zip(own.alias("at"), F.concat(F.slice(own, 2, F.size(own)), F.array(F.size(turns))).alias("to")),
+            lambda x: F.struct(
+                F.get(turns, x["at"])["role"].alias("role"),
+                x["at"].alias("at"),
+                F.transform(F.sequence(x["at"], x["to"] - 1), lambda i: F.get(turns, i)["text"]).alias("parts"),
+            ),
+        ))
 
+    return once(turns, cut)
 
-def _segments(runs: Column) -> Column:
-    """Pieces whose concatenation is the formatted text, each with its place in the loss mask."""
 
-    def piece(text: Column, loss: Column) -> Column:
-        return F.struct(text.alias("text"), loss.alias("loss"))
+def _head(run: Column) -> Column:
+    """What follows the start mark of a run's frame, up to its first text."""
+    return F.concat(_escape_role(run["role"]), F.lit("\n"))
 
-    off = F.lit(False)
 
-    def one(run: Column) -> Column:
-        head = F.array(piece(F.concat(F.lit(START), _escape_role(run["role"]), F.lit("\n")), off))
-        loss = run["role"].isin(*LEARNED)
-        body = F.transform(
-            run["parts"],
-            lambda text, k: F.when(k == 0, F.array(piece(escape(text), loss))).otherwise(F.array(piece(F.lit(SEPARATOR), off), piece(escape(text), loss))),
-        )
-        return F.concat(head, F.flatten(body), F.array(piece(F.lit(END + "\n"), off)))
+def _frame(run: Column) -> Column:
+    return F.concat(F.lit(START), _head(run), F.array_join(F.transform(run["parts"], escape), SEPARATOR), F.lit(END + "\n"))
 
-    return F.flatten(F.transform(runs, one))
+
+def _mask(run: Column, number: Column) -> Column:
+    """The learned texts of a run, by their place in the pieces between marks: each text is one, each end one more."""
+    learned = F.when(run["role"].isin(*LEARNED), run["parts"]).otherwise(F.array().cast("array<string>"))
+    return F.transform(
+        learned,
+        lambda text, k: F.struct(
+            (run["at"] + k + number + 1).alias("piece"),
+            F.when(k == 0, F.length(_head(run))).otherwise(0).alias("start"),
+            F.length(escape(text)).alias("length"),
+        ),
+    )
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted, segments) for each conversation of (conv_id, turn, role, text).
+    """(conv_id, formatted, loss_mask) for each conversation of (conv_id, turn, role, text).
 
     Rows are ordered by turn, ties by role and text, nulls first; null roles and
     texts count as empty; rows that repeat are turns each; a null conv_id is a
     conversation of its own; other columns are ignored; an empty table gives an
     empty result.  Adjacent turns of one role share a frame, a separator
-    between their texts.  ``segments``: (text, loss), which concatenate to
-    ``formatted``; loss is true for assistant texts alone, not for any mark.
+    between their texts.  ``loss_mask``: (piece, start, length) in code points
+    of every assistant text, in order; pieces are what ``formatted`` holds
+    between its marks (``pieces``), so no mark is ever under the loss.
     One shuffle by conversation; a conversation is one string in the end, so it
-    is held whole by the task that makes it.
+    is held whole by the task that makes it, in time linear in its turns.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    made = grouped.select("conv_id", _runs(F.col("turns")).alias("runs")).select("conv_id", _segments(F.col("runs")).alias("segments"))
-    return made.select("conv_id", F.array_join(F.col("segments")["text"], "").alias("formatted"), "segments")
+    merged = grouped.select("conv_id", _runs(F.col("turns")).alias("runs"))
+    return merged.select("conv_id", F.array_join(F.transform("runs", _frame), "").alias("formatted"), F.flatten(F.transform("runs", _mask)).alias("loss_mask"))
+
+
+def pieces(formatted: Column) -> Column:
+    """What a formatted text holds between its marks, in order; texts never hold a mark."""
+    return F.split(formatted, r"<\|im_(?:start|sep|end)\|>", -1)
 
 
 def read_back(formatted: Column) -> Column:
@@ -100,11 +114,14 @@ def read_back(formatted: Column) -> Column:
 
 
 def digest(chats: DataFrame) -> DataFrame:
-    """Per conversation the digests of what its formatted text and loss mask hold, read back from them."""
-    turns = read_back(F.col("formatted"))
-    spoken = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
+    """Per conversation the digests of what its formatted text holds, whole and under the loss mask, read back from it."""
+
+    def learned(own: Column) -> Column:
+        return F.transform("loss_mask", lambda m: unescape(F.substring(F.get(own, m["piece"]), m["start"] + 1, m["length"])))
+
+    spoken = once(pieces(F.col("formatted")), learned)
     return (
-        chats.select("conv_id", turns.alias("turns"), F.array_join(spoken, "").alias("spoken"), F.length("formatted").cast("long").alias("formatted_chars"))
+        chats.select("conv_id", read_back(F.col("formatted")).alias("turns"), F.array_join(spoken, "").alias("spoken"), F.length("formatted").cast("long").alias("formatted_chars"))
         .withColumn("told", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""))
         .select(
             "conv_id",

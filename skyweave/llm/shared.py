@@ -9,13 +9,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words everywhere are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, wherever ``use`` reads it.
+
+    A column that a lambda reads may be put into the lambda by the optimiser and
+    evaluated for every element; a variable of an outer lambda never is.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -191,7 +192,9 @@ def test_chats(spark):
     for conv, row in got.items():
         own = sorted((r for r in CHATS if r[0] == conv), key=lambda r: (r[1] is not None, r[1], r[2] or "", r[3] or ""))
         assert [(t["role"], t["text"]) for t in row["turns"]] == [(r[2] or "", r[3] or "") for r in own]
-        assert "".join(s["text"] for s in row["segments"]) == row["formatted"]
+        pieces = re.split(r"<\|im_(?:start|sep|end)\|>", row["formatted"])
+        under = [pieces[m["piece"]][m["start"] :][: m["length"]] for m in row["loss_mask"]]
+        assert [t.replace("<\\|", "<|").replace("\\\\", "\\") for t in under] == [r[3] or "" for r in own if r[2] == "assistant"]
     assert got[1]["formatted"].count(chat_format.START) == 4 and got[1]["formatted"].count(chat_format.SEPARATOR) == 2
     digest = {r["conv_id"]: r for r in chat_format.digest(chats).collect()}
     spoken = "<|im_sep|>"
@@ -199,6 +202,21 @@ def test_chats(spark):
     assert chat_format.format_chats(frame.limit(0)).count() == 0
 
 
+def test_time_of_a_chat_is_linear_in_its_turns(spark):
+    took = {}
+    for n in (4000, 16000):
+        turn = F.col("id").cast("int")
+        frame = spark.range(0, n, 1, 1).select(F.lit(1).alias("conv_id"), turn.alias("turn"), F.when(turn % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text <|"), turn).alias("text"))
+        for _ in range(2):
+            began = time.perf_counter()
+            row = chat_format.digest(chat_format.format_chats(frame)).first()
+            took[n] = min(took.get(n, 1e9), time.perf_counter() - began)
+        told = "".join(f"{'user' if k % 2 == 0 else 'assistant'}\ntext <|{k}\n" for k in range(n))
+        spoken = "".join(f"text <|{k}" for k in range(1, n, 2))
+        assert (row["n_turns"], row["turns_sha256"], row["loss_sha256"]) == (n, *(hashlib.sha256(t.encode()).hexdigest() for t in (told, spoken)))
+    assert took[16000] < 4.5 * took[4000] + 1, took
+
+
 def test_licenses_match_every_window(spark):
     settings = licenses.Settings()
     filler = [f"w{i}" for i in range(300)]
