@@ -289,3 +289,32 @@ def test_links_of_texts_that_share_an_id(spark):
     docs = [(5, "entirely different words in this text of id five"), (5, " ".join(words)), (3, near), (5, " ".join(words)), (9, near + " tail")]
     rows = chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(3, 3), (5, 3), (5, 3), (5, 5), (9, 3)]
+
+
+def test_longer_lines_may_differ_more(spark):
+    rng = random.Random(11)
+
+    def changed(line, edits):
+        own = list(line)
+        for at in sorted(rng.sample(range(1, len(own) - 1), edits), reverse=True):
+            own[at : at + rng.randint(0, 1)] = [rng.choice("XYZ")]
+        return "".join(own)
+
+    docs, want = [], []
+    for n in (30, 127, 128, 191, 192, 500):
+        allowed = min(max(n // 64, 1), 3)
+        for edits in (1, 2, 3, 4):
+            line = "".join(rng.choice("abcdefgé ") for _ in range(n - 2))
+            line, other = f"a{line}b", None
+            while other is None or len(other) < n:  # the shorter line decides
+                other = changed(line, edits)
+            docs += [(len(docs), line), (len(docs) + 1, other)]
+            want += [line, "" if edits <= allowed else other]
+    crowd = ["".join(rng.choice("abcdefg ") for _ in range(80)) for _ in range(3)]
+    for k in range(60):  # lines that share most of their segments, far from each other or near
+        docs.append((len(docs), crowd[0] + crowd[1] + "".join(rng.choice("pqrst") for _ in range(20)) + crowd[2]))
+        want.append(docs[-1][1])
+        docs.append((len(docs), changed(docs[-1][1], 3)))
+        want.append("")
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), line_dedup.Settings(crowd=8)).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == want
