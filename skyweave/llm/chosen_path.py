@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.shared import Scratch, connected_components, groups, restrict
+from skyweave.llm.shared import Scratch, connected_components, groups, restrict, split_by
 from skyweave.llm.text_kernel import shingle_sets, tidy
 
 #: Coordinates of a sketch; each holds 32 bits of a minwise value, the lower halves of all first.
@@ -78,20 +78,20 @@ def _key(own: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch) per row; empty sets have null key and sketch."""
+    """(doc_id, copy, n_shingles, set_key, sketch) per row; empty sets have null key and sketch; ``copy``: a hash of the text."""
 
     def run(batches):
         sketch = _sketcher(settings.seed)
         with tidy():
             for batch in batches:
                 sizes, keys, made = [], [], []
-                for own in shingle_sets(batch.column(1), settings.words):
+                for own in shingle_sets(batch.column(2), settings.words):
                     sizes.append(len(own))
                     keys.append(_key(own) if len(own) else None)
                     made.append(sketch(own) if len(own) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], ["doc_id", "copy", "n_shingles", "set_key", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text").mapInArrow(run, "doc_id long, copy long, n_shingles long, set_key binary, sketch binary")
 
 
 def _children(rows: DataFrame, path, settings: Settings) -> DataFrame:
@@ -239,6 +239,29 @@ def _confirm(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
 def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
+    As ``marked``, without its hash of the text.
+    """
+    return marked(docs, settings).drop("copy")
+
+
+def distinct_documents(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, that of the least id.
+
+    Rows with a null id and rows without words stay.  Of rows that agree in id
+    and text one stays, any of them if they differ elsewhere; of rows that share
+    an id alone each is decided by its own text.
+    """
+    rows = Scratch(docs.sparkSession, "distinct").keep(marked(docs, settings).where("doc_id is not null").select(F.col("doc_id").alias("_sw_doc"), F.col("copy").alias("_sw_copy"), "kept"))
+    keyed = docs.withColumn("_sw_doc", F.col("doc_id").cast("long")).withColumn("_sw_copy", F.xxhash64("text"))
+    left = keyed.join(rows.where("not kept").select("_sw_doc", "_sw_copy").distinct(), ["_sw_doc", "_sw_copy"], "left_anti")
+    repeated = rows.groupBy("_sw_doc", "_sw_copy").agg(F.count("*").alias("n")).where("n > 1")
+    several, single = split_by(left, "_sw_doc", repeated)
+    return single.unionByName(several.dropDuplicates(["_sw_doc", "_sw_copy"])).select(*docs.columns)
+
+
+def marked(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(doc_id, copy, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
+
     A set: the distinct shingles of the lower-cased words of the whole text;
     with fewer words the whole sequence.  Texts without words, and null texts,
     have empty sets and link with nothing.  Links: similarity of at least
@@ -297,9 +320,9 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     linked = classes.select("rep", "set_key", "doc_id").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
     first = linked.where("component is not null").groupBy("part").agg(F.min("doc_id").alias("first"))
     named = linked.join(first, "part", "left").select("set_key", F.coalesce("first", "doc_id").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = rows.select("doc_id", "copy", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "copy", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 #: The same by counting the shared shingles of all pairs that share any.

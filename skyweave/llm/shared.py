@@ -28,10 +28,13 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made.
+    Only where the session names none and all runs on this machine (local tests)
+    a temporary folder is made; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skyweave-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(_delete, spark, root)
