@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.functions.grid import project
+from skyweave.functions.grid import SINUSOIDAL, project_columns, sinusoidal_columns
 
 REQUIRED = "chunk_id int, tiles array<string>, required array<string>, unreachable double"
 
@@ -64,11 +64,26 @@ def footprints(scenes: DataFrame, crs: int | str) -> DataFrame:
     outer = F.when(kind == "Polygon", F.slice(inner, 1, 1)).when(kind == "MultiPolygon", F.transform(many, lambda p: p[0]))
     rings = scenes.where("tile is not null and tile <> ''").select("tile", F.explode(outer).alias("ring")).distinct()
 
-    @F.pandas_udf(ring[6:-1])
-    def projected(column: pd.Series) -> pd.Series:
-        return column.map(lambda r: [list(project(float(p[0]), float(p[1]), crs)) for p in r])
+    def there(p: Column) -> Column:
+        at = sinusoidal_columns(p[0], p[1]) if crs == SINUSOIDAL else project_columns(p[0], p[1], F.lit(int(crs)))
+        return F.array(at["x"], at["y"])
 
-    return rings.select("tile", projected("ring").alias("ring")).groupBy("tile").agg(F.array_sort(F.collect_set("ring")).alias("rings"))
+    return rings.select("tile", F.transform("ring", there).alias("ring")).groupBy("tile").agg(F.array_sort(F.collect_set("ring")).alias("rings"))
+
+
+def _met(chunks: DataFrame, tiles: DataFrame, edge: float) -> DataFrame:
+    """(chunk_id, tile, rings) of boxes that meet: both are dealt to cells of ``edge``, and meet in the cell of their common corner."""
+
+    def cells(low: str, high: str) -> Column:
+        return F.sequence(F.floor(F.col(low) / edge), F.floor(F.col(high) / edge))
+
+    def dealt(boxes: DataFrame, west: str, south: str, east: str, north: str) -> DataFrame:
+        return boxes.withColumn("cx", F.explode(cells(west, east))).withColumn("cy", F.explode(cells(south, north)))
+
+    both = dealt(chunks, "west", "south", "east", "north").join(dealt(tiles, "x0", "y0", "x1", "y1"), ["cx", "cy"])
+    both = both.where((F.col("west") < F.col("x1")) & (F.col("east") > F.col("x0")) & (F.col("south") < F.col("y1")) & (F.col("north") > F.col("y0")))
+    here = (F.floor(F.greatest("west", "x0") / edge) == F.col("cx")) & (F.floor(F.greatest("south", "y0") / edge) == F.col("cy"))
+    return both.where(here).select("chunk_id", "tile", "rings")
 
 
 def classify(chunks: DataFrame, tiles: DataFrame, resolution: float) -> DataFrame:
@@ -81,7 +96,9 @@ def classify(chunks: DataFrame, tiles: DataFrame, resolution: float) -> DataFram
     """
     flat = F.flatten("rings")
     boxed = tiles.select("tile", "rings", *(f(F.transform(flat, lambda p: p[k])).alias(n) for n, f, k in (("x0", F.array_min, 0), ("y0", F.array_min, 1), ("x1", F.array_max, 0), ("y1", F.array_max, 1))))
-    met = chunks.join(boxed, (F.col("west") < F.col("x1")) & (F.col("east") > F.col("x0")) & (F.col("south") < F.col("y1")) & (F.col("north") > F.col("y0")), "left")
+    # cells about as wide as a tile: a tile is in a few, a chunk mostly in one
+    edge = boxed.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0
+    met = chunks.join(_met(chunks, boxed, max(float(edge), resolution)), "chunk_id", "left")
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         one = group.iloc[0]

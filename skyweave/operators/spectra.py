@@ -1,36 +1,146 @@
 """Spectral neighbours: prediction from the k nearest, cosine matching, inversion by grid search.
 
-A library of spectra is a reference table; ``knn`` takes it in blocks inside an
-Arrow function when it is small enough to ship (its size is checked) and by a
-blocked join otherwise.
+Queries meet the library in products of bounded blocks.  A library under a
+checked size goes to every task as arrays; a larger one is dealt to blocks, as
+are the queries, and every two blocks meet in one cell.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: Spectra of a library that is sent to every task, and of a block of a larger one or of queries.
+SHIPPED, BLOCK = 200_000, 8192
+#: Bytes of one product of queries and library.
+TILE = 32 << 20
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _distances(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - own) ** 2).sum(1))
+
+
+def _dots(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sums of products in the order of the components, as a column expression adds them."""
+    out = np.zeros(len(own))
+    for k in range(own.shape[1]):
+        out += x[k] * own[:, k]
+    return out
+
 
-#: Spectra of a library that is sent to every task; larger ones are joined block by block.
-SHIPPED = 200_000
+def _nearest(k: int) -> Callable:
+    """Finds the ``k`` nearest rows of a library for each query: lists of (cost, place)."""
+
+    def find(x: np.ndarray, library: np.ndarray, left_out: list[list[int]]) -> list[list[tuple[float, int]]]:
+        out, square = [], (library**2).sum(1)
+        step = max(1, TILE // (8 * max(len(library), 1)))
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
+            rough = (part**2).sum(1)[:, None] + square[None] - 2 * part @ library.T
+            slack = 1e-9 * (1 + (part**2).sum(1) + square.max(initial=0))
+            for i, row in enumerate(rough):
+                row[left_out[at + i]] = np.inf
+                want = min(k, len(row)) - 1
+                some = np.flatnonzero(row <= min(np.partition(row, want)[want] + slack[i], 1e300)) if want >= 0 else np.zeros(0, int)
+                exact = _distances(part[i], library[some])
+                order = np.argsort(exact, kind="stable")[:k]  # rows of the library are in the order of their keys
+                out.append([(float(exact[j]), int(some[j])) for j in order])
+        return out
+
+    return find
+
+
+def _best_cosine(x: np.ndarray, library: np.ndarray, left_out: list[list[int]]) -> list[list[tuple[float, int]]]:
+    """The row of greatest cosine for each query, as a list of one (minus the score, place); zero rows match nothing."""
+    out, norm = [], np.sqrt((library**2).sum(1))
+    unit = library / np.where(norm > 0, norm, 1)[:, None]
+    step = max(1, TILE // (8 * max(len(library), 1)))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        rough = np.where(norm > 0, part @ unit.T, -np.inf)
+        for i, row in enumerate(rough):
+            row[left_out[at + i]] = -np.inf
+            top = row.max(initial=-np.inf)
+            some = np.flatnonzero(row >= top - 1e-9 * (1 + abs(top))) if top > -np.inf else np.zeros(0, int)
+            score = _dots(part[i], library[some]) / np.sqrt([_dots(o, o[None])[0] for o in library[some]]) if len(some) else np.zeros(0)
+            out.append([(-float(score[j]), int(some[j])) for j in score.argmax(keepdims=True)] if len(some) else [])
+    return out
+
+
+def _met(ask: DataFrame, rows: DataFrame, key: str, find: Callable, keep: int, shipped: int) -> DataFrame:
+    """(key, near): the ``keep`` best rows of the library for each query, as (d, lk, t) in order.
+
+    ``ask``: (key, x, own), ``rows``: (lk, x, t), arrays as x and t.
+    """
+    ask = ask.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    rows = rows.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    kinds = [to_arrow_type(rows.schema["lk"].dataType), to_arrow_type(ask.schema[key].dataType)]
+    near = pa.list_(pa.struct([("d", pa.float64()), ("lk", kinds[0]), ("t", pa.list_(pa.float64()))]))
+    schema = f"{key} {ask.schema[key].dataType.simpleString()}, near array<struct<d:double,lk:{rows.schema['lk'].dataType.simpleString()},t:array<double>>>"
+
+    def search(keys: pa.Array, x: np.ndarray, own: list, library: tuple) -> pa.RecordBatch:
+        names, anchors, targets, places = library
+        found = find(x, anchors, [places.get(o, []) if o is not None else [] for o in own])
+        return pa.RecordBatch.from_arrays([keys, pa.array([[{"d": d, "lk": names[j], "t": targets[j]} for d, j in each] for each in found], near)], [key, "near"])
+
+    def library_of(table: pa.Table) -> tuple:
+        table = table.sort_by("lk")
+        names, places = table["lk"].to_pylist(), {}
+        for i, name in enumerate(names):
+            places.setdefault(name, []).append(i)
+        return names, _rows(table["x"]), table["t"].to_pylist(), places
+
+    n = rows.limit(shipped + 1).count()
+    if n <= shipped:
+        shared = ask.sparkSession.sparkContext.broadcast(library_of(rows.toArrow()))
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield search(batch.column(0), _rows(batch.column(1)), batch.column(2).to_pylist(), shared.value)
+
+        return ask.select(key, "x", "own").mapInArrow(run, schema)
+
+    # Every block of queries meets every block of the library in a cell; each cell passes on the best of its own.
+    asked = ask.count()
+    tall, wide = -(-asked // BLOCK), -(-rows.count() // BLOCK)
+    block, other = F.pmod(F.xxhash64(key), F.lit(tall)).cast("int"), F.pmod(F.xxhash64("lk"), F.lit(wide)).cast("int")
+    left = ask.select(key, "x", "own", block.alias("r")).select("*", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("c"))
+    right = rows.select("lk", "x", "t", other.alias("c")).select("*", F.explode(F.sequence(F.lit(0), F.lit(tall - 1))).alias("r"))
+
+    def cell(queries: pa.Table, library: pa.Table) -> pa.Table:
+        if not queries.num_rows or not library.num_rows:
+            return pa.table([pa.array([], kinds[1]), pa.array([], near)], [key, "near"])
+        return pa.Table.from_batches([search(queries[key].combine_chunks(), _rows(queries["x"]), queries["own"].to_pylist(), library_of(library))])
+
+    parts = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(cell, schema)
+    return parts.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, keep).alias("near"))
 
 
 def knn(queries: DataFrame, library: DataFrame, key: str, library_key: str, anchor: str, target: str, k: int = 10, shipped: int = SHIPPED, own: str | None = None) -> DataFrame:
     """(key, prediction, distance): inverse-distance mean of the targets of the k nearest anchors.
 
-    ``anchor`` and ``target`` are array columns.  Weights are 1 / (d + 1e-6);
-    ties go to the least library key; ``distance`` is that of the nearest.
-    ``own``: a column of ``queries`` with the library key that is left out for
-    the row, so that a table can be asked against its own other rows.
+    ``anchor`` and ``target`` are array columns; rows whose anchor is null or
+    holds nulls are passed over.  Weights are 1 / (d + 1e-6); ties go to the
+    least library key; ``distance`` is that of the nearest.  ``own``: a column of
+    ``queries`` with the library key that is left out for the row, so that a
+    table can be asked against its own other rows.
     """
-    rows = library.select(F.col(library_key).alias("_lk"), F.col(anchor).cast("array<double>").alias("_la"), F.col(target).cast("array<double>").alias("_lt"))
-    left_out = F.lit(None).cast(rows.schema["_lk"].dataType) if own is None else F.col(own)
-    ask = queries.select(key, F.col(anchor).cast("array<double>").alias("_qa"), left_out.alias("_own"))
-    if library.count() <= shipped:
-        found = _shipped(ask, rows, key, k)
-    else:
-        found = _blocked(ask, rows, key, k)
+    rows = library.select(F.col(library_key).alias("lk"), F.col(anchor).cast("array<double>").alias("x"), F.col(target).cast("array<double>").alias("t"))
+    left_out = F.lit(None).cast(rows.schema["lk"].dataType) if own is None else F.col(own)
+    ask = queries.select(key, F.col(anchor).cast("array<double>").alias("x"), left_out.alias("own"))
+    found = _met(ask, rows, key, _nearest(k), k, shipped)
     weight = F.transform("near", lambda x: 1 / (x["d"] + 1e-6))
     total = F.aggregate(weight, F.lit(0.0), lambda s, x: s + x)
     n = F.size(F.get("near", F.lit(0))["t"])
@@ -38,58 +148,26 @@ def knn(queries: DataFrame, library: DataFrame, key: str, library_key: str, anch
         F.sequence(F.lit(0), n - 1),
         lambda i: F.aggregate(F.zip_with("near", weight, lambda x, w: F.get(x["t"], i) * w), F.lit(0.0), lambda s, x: s + x) / total,
     )
-    return found.select(key, prediction.alias("prediction"), F.get("near", F.lit(0))["d"].alias("distance"))
-
-
-def _shipped(ask: DataFrame, rows: DataFrame, key: str, k: int) -> DataFrame:
-    own = sorted(rows.collect(), key=lambda r: r["_lk"])
-    places: dict = {}
-    for i, r in enumerate(own):
-        places.setdefault(r["_lk"], []).append(i)
-    anchors, targets = np.array([r["_la"] for r in own]), np.array([r["_lt"] for r in own])
-    kind = ask.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            for at in range(0, len(x), 512):
-                d = np.sqrt(np.maximum(((x[at : at + 512, None, :] - anchors[None]) ** 2).sum(2), 0))
-                for i, left_out in enumerate(batch.column(2)[at : at + 512].to_pylist()):
-                    d[i, places.get(left_out, [])] = np.inf
-                top = np.argsort(d, 1, kind="stable")[:, :k]
-                near = [[{"d": float(d[i, j]), "t": targets[j].tolist()} for j in top[i] if d[i, j] < np.inf] for i in range(len(d))]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512], pa.array(near, pa.list_(pa.struct([("d", pa.float64()), ("t", pa.list_(pa.float64()))])))], [key, "near"])
-
-    return ask.mapInArrow(run, f"{key} {kind}, near array<struct<d:double,t:array<double>>>")
-
-
-def _blocked(ask: DataFrame, rows: DataFrame, key: str, k: int, blocks: int = 64) -> DataFrame:
-    """Every query meets every block of the library once; each block passes on its k nearest."""
-    block = F.pmod(F.xxhash64("_lk"), F.lit(blocks))
-    far = rows.withColumn("_b", block)
-    near = ask.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    d = F.sqrt(F.aggregate(F.zip_with("_qa", "_la", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    ranked = near.join(far, "_b").where(F.col("_own").isNull() | (F.col("_lk") != F.col("_own"))).withColumn("d", d).withColumn("_n", F.row_number().over(Window.partitionBy(key, "_b").orderBy("d", "_lk"))).where(F.col("_n") <= k)
-    every = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "_lk", F.col("_lt").alias("t")))).alias("near"))
-    return every.select(key, F.transform(F.slice("near", 1, k), lambda x: F.struct(x["d"].alias("d"), x["t"].alias("t"))).alias("near"))
+    return found.where(F.size("near") > 0).select(key, prediction.alias("prediction"), F.get("near", F.lit(0))["d"].alias("distance"))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_match(queries: DataFrame, library: DataFrame, key: str, library_key: str, spectrum: str, own: str | None = None) -> DataFrame:
+def cosine_match(queries: DataFrame, library: DataFrame, key: str, library_key: str, spectrum: str, own: str | None = None, shipped: int = SHIPPED) -> DataFrame:
     """(key, match, gain): the library spectrum of greatest cosine, and the brightness that scales it.
 
-    The library is a reference table that the planner broadcasts if it is small.
-    ``own``: as in ``knn``.
+    Ties go to the least library key; null spectra, those with nulls and library
+    spectra of zeros match nothing.  ``own``: as in ``knn``.
     """
-    rows = library.select(F.col(library_key).alias("match"), F.col(spectrum).alias("_l"))
-    ask = queries.select(key, F.col(spectrum).alias("_q"), *([] if own is None else [F.col(own).alias("_own")]))
-    both = ask.crossJoin(rows) if own is None else ask.join(rows, F.col("match") != F.col("_own"))
-    score = dot(F.col("_q"), F.col("_l")) / F.sqrt(dot(F.col("_l"), F.col("_l")))
-    best = both.groupBy(key).agg(F.max_by(F.struct("match", (dot(F.col("_q"), F.col("_l")) / dot(F.col("_l"), F.col("_l"))).alias("gain")), F.struct(score.alias("s"), (-F.col("match")).alias("m"))).alias("w"))
-    return best.select(key, "w.match", "w.gain")
+    spectra = F.col(spectrum).cast("array<double>")
+    rows = library.select(F.col(library_key).alias("lk"), spectra.alias("x"), spectra.alias("t"))
+    left_out = F.lit(None).cast(rows.schema["lk"].dataType) if own is None else F.col(own)
+    ask = queries.select(key, spectra.alias("x"), left_out.alias("own"))
+    best = _met(ask, rows, key, _best_cosine, 1, shipped).where(F.size("near") > 0).select(key, F.get("near", F.lit(0)).alias("w"))
+    both = best.join(ask.select(key, "x"), key)
+    return both.select(key, F.col("w.lk").alias("match"), (dot(F.col("x"), F.col("w.t")) / dot(F.col("w.t"), F.col("w.t"))).alias("gain"))
 
 
 def standardise(frame: DataFrame, columns: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyweave.functions import atmosphere, codec, grid, quality, temporal
 from skyweave.operators import asof, compare, compose, resample, scout, select_scenes, spectra
-from skyweave.plans.views import BANDS, joined, observations, pixels, scenes, sql, table
+from skyweave.plans.views import BANDS, ORDER, joined, observations, pixels, scenes, sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -345,9 +345,19 @@ def coverage_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kept.select("chunk_id", "scene_index", "pick", "covered_before"), "covered_before")
 
 
-@query()
+@query(sql("SELECT chunk_id, tile, scene_index, pick FROM step WHERE pick > 0", MASKS, """dense AS (SELECT chunk_id, tile, scene_index, coalesce(max(valid_mask) FILTER (word = 0), 0) AS v0, coalesce(max(valid_mask) FILTER (word = 1), 0) AS v1,
+  coalesce(max(clear_mask) FILTER (word = 0), 0) AS c0, coalesce(max(clear_mask) FILTER (word = 1), 0) AS c1 FROM masks JOIN scn USING (scene_index) GROUP BY ALL HAVING c0 <> 0 OR c1 <> 0),
+reach AS (SELECT chunk_id, tile, bit_or(c0) AS r0, bit_or(c1) AS r1 FROM dense GROUP BY ALL),
+cand AS (SELECT dense.*, bit_count(r0)::INTEGER + bit_count(r1) AS reachable, (bit_count(r0 & ~v0)::INTEGER + bit_count(r1 & ~v1)) * 100 <= bit_count(r0)::INTEGER + bit_count(r1) AS whole FROM dense JOIN reach USING (chunk_id, tile)),
+step AS (SELECT chunk_id, tile, NULL::BIGINT AS scene_index, 0 AS pick, 0::BIGINT AS a0, 0::BIGINT AS a1, []::BIGINT[] AS used FROM reach UNION ALL
+  SELECT chunk_id, tile, w.s, pick + 1, a0 | w.c0, a1 | w.c1, list_append(used, w.s) FROM (
+    SELECT step.chunk_id, step.tile, step.pick, step.a0, step.a1, step.used, max(bit_count(cand.c0 & ~step.a0) + bit_count(cand.c1 & ~step.a1)) AS most,
+      arg_max(struct_pack(s := cand.scene_index, c0 := cand.c0, c1 := cand.c1), struct_pack(h := bit_count(cand.c0 & ~step.a0) + bit_count(cand.c1 & ~step.a1) > 0, f := whole, g := bit_count(cand.c0 & ~step.a0) + bit_count(cand.c1 & ~step.a1), s := -cand.scene_index)) AS w
+    FROM step JOIN cand ON cand.chunk_id = step.chunk_id AND cand.tile = step.tile
+    WHERE NOT list_contains(step.used, cand.scene_index) AND step.pick < 8 AND (step.pick < 2 OR (bit_count(step.a0) + bit_count(step.a1)) / reachable < 0.95)
+    GROUP BY ALL) WHERE pick < 2 OR most > 0)""").replace("WITH", "WITH RECURSIVE", 1))
 def adaptive_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy cover of every chunk and tile; sequential by nature, so it has no SQL."""
+    """Greedy cover of every chunk and tile."""
     words = _masks(spark, sf_dir).join(scenes(spark, sf_dir), "scene_index").groupBy("chunk_id", "tile", "scene_index")
     dense = words.agg(*(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda w: F.coalesce(F.element_at(F.map_from_arrays(F.collect_list("word"), F.collect_list(m)), w), F.lit(0).cast("long"))).alias(f"{m[:5]}_words") for m in ("valid_mask", "clear_mask")))
     return select_scenes.adaptive(dense)
@@ -359,8 +369,9 @@ def plan_semi_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only planned scenes of every chunk compete, in the order of the plan."""
     from skyweave.plans.pipelines import compose_plan
 
-    obs = with_quality(observations(spark, sf_dir))
-    return compose_plan(obs, _plan(spark, sf_dir), ["pid"], list(BANDS)).select("pid", "scene_index", "quality", "observation_count")
+    # the columns that number observations decide ties themselves, so nothing is numbered before the plan prunes
+    obs = with_quality(observations(spark, sf_dir, ordered=False))
+    return compose_plan(obs, _plan(spark, sf_dir), ["pid"], list(BANDS), order=ORDER).select("pid", "scene_index", "quality", "observation_count")
 
 
 @query(sql("SELECT chunk_id FROM (SELECT DISTINCT chunk_id FROM px) EXCEPT SELECT chunk_id FROM tiled WHERE usable_fraction > 0.99 AND mean_clear >= 0.75", STATS))
@@ -642,10 +653,18 @@ def spectral_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.angles(pairs, "a", "b"), "mean_angle", "median_angle", places=5)
 
 
-@query()
+_THIRD = """whole AS (SELECT * FROM obs WHERE b0 IS NOT NULL AND b1 IS NOT NULL AND b2 IS NOT NULL),
+m AS (SELECT avg(b0) AS m0, avg(b1) AS m1, avg(b2) AS m2, covar_samp(b0, b0) AS a, covar_samp(b1, b1) AS b, covar_samp(b2, b2) AS c, covar_samp(b0, b1) AS d, covar_samp(b0, b2) AS e, covar_samp(b1, b2) AS f FROM whole),
+q AS (SELECT *, (a + b + c) / 3 AS q, sqrt(((a - (a + b + c) / 3) ** 2 + (b - (a + b + c) / 3) ** 2 + (c - (a + b + c) / 3) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS p FROM m),
+r AS (SELECT *, least(greatest(((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p ** 3), -1), 1) AS r FROM q),
+l AS (SELECT *, q + 2 * p * cos(acos(r) / 3 + 2 * pi() / 3) AS l FROM r),
+v AS (SELECT *, d * f - e * (b - l) AS v0, e * d - (a - l) * f AS v1, (a - l) * (b - l) - d * d AS v2 FROM l)"""
+
+
+@query(sql("SELECT l_orderkey, l_linenumber, l_partkey, round(abs((b0 - m0) * v0 + (b1 - m1) * v1 + (b2 - m2) * v2) / sqrt(3 * (v0 * v0 + v1 * v1 + v2 * v2)), 5) AS residual FROM (SELECT l_orderkey, l_linenumber, l_partkey, b0, b1, b2 FROM whole), (SELECT m0, m1, m2, v0, v1, v2 FROM v)", _THIRD))
 def pca_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of every pixel from the subspace of two components; an eigenproblem has no SQL."""
-    obs = observations(spark, sf_dir, ordered=False).select("l_orderkey", "l_linenumber", "l_partkey", *(F.coalesce(b, F.lit(0.0)).alias(b) for b in BANDS))
+    """Distance of every whole observation from the subspace of two components: of three bands, along the third component."""
+    obs = observations(spark, sf_dir, ordered=False).select("l_orderkey", "l_linenumber", "l_partkey", *BANDS).dropna(subset=list(BANDS))
     mean, parts, _ = spectra.principal_components(obs, list(BANDS))
     return rounded(spectra.subspace_residual(obs, list(BANDS), mean, parts[:2]).drop(*BANDS), "residual", places=5)
 
@@ -729,7 +748,14 @@ def month_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", temporal.shift_month(month, 5).alias("later"), temporal.shift_month(month, -2).alias("earlier"), end.cast("string").alias("month_end"), label.alias("label"))
 
 
-@query()
+@query(sql("""SELECT pid, w.s AS scene_index, round(w.aod, 6) AS aod, round(greatest((1.27 * w.b0 - 0.08) / (1 + 0.145 * (1.27 * w.b0 - 0.08)), 0), 6) AS b0, round(greatest((1.2 * w.b2 - 0.07) / (1 + 0.12 * (1.2 * w.b2 - 0.07)), 0), 6) AS b2, n AS observation_count
+  FROM (SELECT pid, arg_min(struct_pack(s := scene_index, aod := aod, b0 := b0, b2 := b2), struct_pack(a := aod, c := -cs, s := scene_index, o := obs_order)) AS w, count(*) AS n FROM hazy SEMI JOIN used USING (scene_index) WHERE cs > 0.6 GROUP BY pid)""",
+  f"""low AS (SELECT scene_index, aod FROM (SELECT *, row_number() OVER (ORDER BY aod, scene_index) AS place, greatest(round_even(count(*) OVER () * 0.6, 0), 1) AS k FROM (SELECT scene_index, {AOD} AS aod FROM scn)) WHERE place <= k),
+hazy AS (SELECT obs.*, aod FROM obs JOIN low USING (scene_index)),
+share AS (SELECT scene_index, aod, avg(CASE WHEN cs > 0.6 THEN 1.0 ELSE 0.0 END) AS f FROM hazy GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (ORDER BY f DESC, aod, scene_index) AS pick FROM share WHERE f > 0.02),
+covered AS (SELECT *, 1 - exp(coalesce(sum(CASE WHEN f >= 1 THEN -1e9 ELSE ln(1 - f) END) OVER (ORDER BY pick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS before FROM placed),
+used AS (SELECT scene_index FROM covered WHERE pick <= 8 AND (pick <= 2 OR before < 0.98))"""))
 def corrected_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corrected build: least aerosol wins among the scenes that cover the area."""
     from skyweave.plans.pipelines import build_corrected
@@ -739,7 +765,15 @@ def corrected_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(won.select("pid", "scene_index", "aod", "b0", "b2", "observation_count"), "aod", "b0", "b2")
 
 
-@query()
+@query(sql(f"""SELECT px.pid, w.b0 AS b0, w.b1 AS b1, w.b2 AS b2, coalesce(w.scene_index, -1) AS scene_index, coalesce(w.quality, 65535) AS quality, w.obs_order AS obs_order, coalesce(n, 0) AS observation_count,
+  {', '.join(f"round(CASE WHEN w.b{k} <> 0 THEN s{k} / abs(w.b{k}) * 100 END, 4) AS b{k}_unc" for k in range(3))}
+  FROM px LEFT JOIN fbest USING (pid) LEFT JOIN (SELECT pid, {', '.join(f'stddev_pop(b{k}) AS s{k}' for k in range(3))} FROM obs WHERE {STRICT} GROUP BY pid) USING (pid)""",
+  """fstats AS (SELECT scene_index, chunk_id, any_value(tile) AS tile, avg(CASE WHEN scl <> 0 THEN 1.0 ELSE 0.0 END) AS usable_fraction, avg(CASE WHEN scl IN (4, 5, 6, 11) THEN 1.0 WHEN scl <> 0 THEN 0.0 END) AS mean_clear FROM joined GROUP BY 1, 2),
+franked AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, tile ORDER BY round(mean_clear, 9) DESC NULLS LAST, round(usable_fraction, 9) DESC, scene_index) AS r,
+  min(scene_index) OVER (PARTITION BY chunk_id, tile) + 1000000 AS o FROM fstats WHERE usable_fraction > 0),
+fpicks AS (SELECT chunk_id, scene_index, row_number() OVER (PARTITION BY chunk_id ORDER BY r, o, scene_index) AS pick FROM franked WHERE r <= 3)""",
+  f"""fbest AS (SELECT pid, arg_min(struct_pack(b0 := b0, b1 := b1, b2 := b2, scene_index := scene_index, quality := quality, obs_order := obs_order), struct_pack(s := quality * 1e6 + coalesce(sample_index, 0) + pick, o := pick, p := obs_order)) AS w,
+  count(*) AS n FROM obs JOIN fpicks USING (chunk_id, scene_index) WHERE {STRICT} GROUP BY pid)"""))
 def full_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole build: scouting, ranked selection, composition, uncertainty."""
     from skyweave.plans.pipelines import Build, build_composite
@@ -765,22 +799,31 @@ def tile_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.classify(chunks, tiles, 16.0).withColumn("unreachable", F.round("unreachable", 6))
 
 
-@query()
+_EVERY = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM e), l AS (SELECT vec_id AS lk, e AS le FROM e)"
+
+
+@query(f"""WITH {_EVERY}, d AS (SELECT vec_id, lk, le, list_distance(e[4:7], le[4:7]) AS d FROM q JOIN l ON lk <> vec_id),
+  k AS (SELECT *, 1 / (d + 1e-6) AS w FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, lk) <= 10)
+  SELECT vec_id, round(sum(w * le[1]) / sum(w), 6) AS t0, round(sum(w * le[2]) / sum(w), 6) AS t1, round(sum(w * le[3]) / sum(w), 6) AS t2, round(min(d), 6) AS distance FROM k GROUP BY 1""")
 def knn_predict_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``knn_predict`` of every row from all others; all pairs are too many for its SQL."""
+    """``knn_predict`` of every row from all others."""
     rows = _every_spectrum(spark, sf_dir)
     out = spectra.knn(rows, rows.withColumnRenamed("vec_id", "lk"), "vec_id", "lk", "anchor", "target", own="vec_id")
     return out.select("vec_id", *(F.round(F.col("prediction")[k], 6).alias(f"t{k}") for k in range(3)), F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query(f"""WITH {_EVERY}, s AS (SELECT vec_id, lk, list_inner_product(e[1:7], le[1:7]) AS yl, list_inner_product(le[1:7], le[1:7]) AS ll FROM q JOIN l ON lk <> vec_id)
+  SELECT vec_id, arg_max(lk, struct_pack(s := yl / sqrt(ll), m := -lk)) AS match, round(arg_max(yl / ll, struct_pack(s := yl / sqrt(ll), m := -lk)), 6) AS gain FROM s GROUP BY 1""")
 def cosine_1nn_gain_every(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cosine_1nn_gain`` of every row among all others."""
     rows = _every_spectrum(spark, sf_dir)
     return rounded(spectra.cosine_match(rows, rows.withColumnRenamed("vec_id", "lk"), "vec_id", "lk", "spectrum", own="vec_id"), "gain")
 
 
-@query()
+@query(f"""WITH {_EVERY}, d AS (SELECT vec_id, lk, le, e, list_distance(e[4:7], le[4:7]) AS d FROM q JOIN l ON lk <> vec_id),
+  k AS (SELECT *, 1 / (d + 1e-6) AS w FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, lk) <= 10),
+  p AS (SELECT vec_id, any_value(e) AS e, sum(w * le[4]) / sum(w) AS p4, sum(w * le[5]) / sum(w) AS p5, sum(w * le[6]) / sum(w) AS p6, sum(w * le[7]) / sum(w) AS p7 FROM k GROUP BY 1)
+  SELECT vec_id, round(sqrt(((e[4] - p4) ** 2 + (e[5] - p5) ** 2 + (e[6] - p6) ** 2 + (e[7] - p7) ** 2) / 4), 6) AS rmse FROM p""")
 def knn_residual_every(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``knn_residual`` of every row from all others."""
     rows = _every_spectrum(spark, sf_dir)
@@ -790,7 +833,18 @@ def knn_residual_every(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.round(F.sqrt(square / F.size("anchor")), 6).alias("rmse"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: abs(x::DOUBLE) + 0.02) AS e FROM embeddings),
+rt AS (SELECT lam, k, k / 20 AS aod, 0.008569 * lam ** -4 * (1 + 0.0113 * lam ** -2 + 0.00013 * lam ** -4) AS tr, k / 20 * (lam / 0.55) ** -1.2 AS ta, cos(radians(28)) AS ms, cos(radians(5)) AS mv,
+  sin(radians(28)) * sin(radians(5)) * cos(radians(120)) - cos(radians(28)) * cos(radians(5)) AS ct FROM (VALUES (1.6::DOUBLE), (2.2), (0.44), (0.49), (0.56)) w(lam), range(1, 17) c(k)),
+o AS (SELECT lam, k, aod, (tr * 0.75 * (1 + ct * ct) + 0.95 * ta * (1 - 0.65 ** 2) / (1 + 0.65 ** 2 - 1.3 * ct) ** 1.5) / (4 * ms * mv) AS p, exp(-(0.5 * tr + ta * (1 - 0.95 * 0.65)) * (1 / ms + 1 / mv)) AS t, 0.92 * tr + 0.33 * ta AS s FROM rt),
+q AS (SELECT vec_id, label, e, y1 / (1 + x.s * y1) AS a1, y2 / (1 + y.s * y2) AS a2 FROM (SELECT e.*, (e.e[1] - x.p) / x.t AS y1, (e.e[2] - y.p) / y.t AS y2 FROM e, (SELECT p, t, s FROM o WHERE lam = 1.6 AND k = 6) x, (SELECT p, t, s FROM o WHERE lam = 2.2 AND k = 6) y) z,
+  (SELECT s FROM o WHERE lam = 1.6 AND k = 6) x, (SELECT s FROM o WHERE lam = 2.2 AND k = 6) y),
+d AS (SELECT q.vec_id, l.vec_id AS lk, l.e AS le, sqrt((a1 - l.e[1]) ** 2 + (a2 - l.e[2]) ** 2) AS d FROM q JOIN e l ON l.vec_id <> q.vec_id),
+n AS (SELECT *, 1 / (d + 1e-6) AS w FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, lk) <= 10),
+p AS (SELECT vec_id, sum(w * le[3]) / sum(w) AS p1, sum(w * le[4]) / sum(w) AS p2, sum(w * le[5]) / sum(w) AS p3 FROM n GROUP BY 1),
+c AS (SELECT label, a.aod, avg((a.p + a.t * p1 / (1 - a.s * p1) - e[3]) ** 2 + (b.p + b.t * p2 / (1 - b.s * p2) - e[4]) ** 2 + (f.p + f.t * p3 / (1 - f.s * p3) - e[5]) ** 2) AS cost
+  FROM e JOIN p USING (vec_id), o a JOIN o b ON a.k = b.k JOIN o f ON a.k = f.k WHERE a.lam = 0.44 AND b.lam = 0.49 AND f.lam = 0.56 GROUP BY 1, 2)
+SELECT label, arg_min(aod, struct_pack(c := cost, a := aod)) AS aod, round(min(cost), 6) AS cost FROM c GROUP BY 1""")
 def aod_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optical depth pooled by label: anchors at a prior, neighbours among all other rows, a grid of candidates."""
     from skyweave.operators import inversion
@@ -803,6 +857,24 @@ def aod_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "cost")
 
 
+@query(sql("""SELECT i AS scene_index, r AS "row", c AS col, CASE WHEN r % 32 < 31 AND r + 1 < h THEN CAST(floor(avg(v) + 0.5) AS INTEGER) END AS v FROM (
+  SELECT (r // 32) * 2 + c // 32 AS i, r, c, (SELECT max("row") + 1 FROM px) AS h FROM (SELECT unnest(range(0, (SELECT max("row") + 1 FROM px))) AS r), range(0, 50) t(c)) LEFT JOIN src ON src."row" IN (r, r + 1) AND src.col IN (c, c + 1) AND src."row" // 32 * 2 + src.col // 32 = i GROUP BY i, r, c, h""", SRC))
+def scene_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes written as tiled TIFF files, read back by ranges half a pixel off, one window each."""
+    from skyweave.plans import export
+    from skyweave.sources import scenes as reader
+
+    height = pixels(spark, sf_dir).agg(F.max("row") + 1).first()[0]
+    there = grid.Grid(0.0, 0.0, 3000.0, 60.0 * height, 32631, 60.0)
+    shifted = grid.Grid(30.0, -30.0, 3030.0, 60.0 * height - 30, 32631, 60.0)
+    files = export.written(export.chunk_files(_source(spark, sf_dir), there, ["v"], 32, tile=16), export.shared_folder(spark))
+    index = (F.col("row") / 32).cast("int") * 2 + (F.col("col") / 32).cast("int")
+    assets = files.select(index.alias("scene_index"), "band", F.col("path").alias("href"))
+    cut = spark.range(1).select(F.explode(grid.chunk_layout(F.lit(height), F.lit(50), 32)).alias("w")).select("w.*")
+    windows = cut.select(F.col("chunk_id").alias("scene_index"), *cut.columns)
+    return reader.scene_pixels(assets, windows, shifted, ["v"], nodata=65535).select("scene_index", "row", "col", "v")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

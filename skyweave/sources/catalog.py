@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyweave.functions import temporal
+from skyweave.operators.ordering import numbered
 
 ITEM = (
     "id string, collection string, bbox array<double>, geometry string, "
@@ -39,7 +40,7 @@ def scenes(items: DataFrame, max_scenes: int | None = None) -> DataFrame:
     listed = first.withColumn("datetime", stamp).withColumn("tile", temporal.tile(F.col("properties"), F.col("id")))
     if max_scenes is not None:
         listed = listed.orderBy("datetime", "id").limit(max_scenes)
-    return listed.withColumn("scene_index", F.row_number().over(Window.orderBy("datetime", "id")) - 1)
+    return numbered(listed, F.substring("datetime", 1, 10), ["datetime", "id"], "scene_index")
 
 
 def with_assets(scenes_: DataFrame, aliases: dict[str, str]) -> DataFrame:
@@ -65,6 +66,7 @@ ENDPOINTS = {
         Endpoint("earth-search", "https://earth-search.aws.element84.com/v1", "sentinel-2-l2a", "scl", True),
         Endpoint("planetary-computer", "https://planetarycomputer.microsoft.com/api/stac/v1", "sentinel-2-l2a", "scl"),
         Endpoint("hls", "https://planetarycomputer.microsoft.com/api/stac/v1", "hls2-s30", "fmask"),
+        Endpoint("cdse", "https://stac.dataspace.copernicus.eu/v1", "sentinel-2-l2a", "scl"),
         Endpoint("mcd43a4", "https://planetarycomputer.microsoft.com/api/stac/v1", "modis-43A4-061", "mandatory"),
     )
 }

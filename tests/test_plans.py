@@ -281,3 +281,74 @@ def test_every_scene_has_a_position(spark):
     ids = {(str(r["day"]), r["id"]) for r in queries._scene_ids(spark, sf).select("day", "id").collect()}
     got = {r["position"]: r["id"] for r in queries.all_scenes_in_order(spark, sf).collect()}
     assert len(ids) > 200 and got == {k: i for k, (_, i) in enumerate(sorted(ids))}
+
+
+def test_paged_source_follows_every_page(spark, tmp_path):
+    import json
+
+    from skyweave.sources import paged
+
+    n = 1001
+    for k in range(n):
+        links = [{"rel": "next", "href": f"p{k + 1}.json"}] if k + 1 < n else []
+        (tmp_path / f"p{k}.json").write_text(json.dumps({"features": [{"id": f"i{k}", "collection": "c"}] if k % 2 == 0 else [], "links": links}))
+    spark.dataSource.register(paged.PagedCatalogue)
+    got = spark.read.format("paged_catalogue").option("start", f"{tmp_path}/p0.json").load().select("id").collect()
+    assert sorted(r["id"] for r in got) == sorted(f"i{k}" for k in range(0, n, 2))
+
+
+def test_scene_reader(spark, tmp_path):
+    import numpy as np
+
+    from skyweave.functions.grid import Grid
+    from skyweave.plans import export
+    from skyweave.sources import paged, scenes
+
+    rng = np.random.default_rng(1)
+    image = Grid(600.0, 0.0, 600.0 + 70 * 60, 90 * 60, 32631, 60.0)
+    data = {b: rng.integers(1, 5000, (90, 70)).astype(np.uint16) for b in ("a", "q")}
+    data["a"][10:20, 10:20] = 0
+    for band, own in data.items():
+        (tmp_path / f"{band}.tif").write_bytes(export.encode_tiff(own, image, 16))
+    assets = spark.createDataFrame([(1, b, f"{tmp_path}/{b}.tif", 100) for b in data] + [(2, "a", f"{tmp_path}/a.tif", None)], "scene_index long, band string, href string, offset int")
+    windows = spark.createDataFrame([(1, 0, 0, 0, 30, 40), (1, 1, 30, 0, 75, 90), (2, 0, 0, 0, 30, 40), (2, 9, 300, 300, 2, 2)], "scene_index long, chunk_id int, row int, col int, height int, width int")
+    target = Grid(600.0 - 120, 90.0, 600.0 + 120 * 60, 92 * 60 + 90, 32631, 60.0)
+    asked: list[int] = []
+
+    def opener(url, start, end):
+        asked.append(1)
+        if len(asked) % 5 == 2:
+            raise paged.Refused(503, 0.0)
+        return scenes.open_range(url, start, end)
+
+    got = {(r["scene_index"], r["chunk_id"], r["row"], r["col"]): (r["a"], r["q"]) for r in scenes.scene_pixels(assets, windows, target, ["a", "q"], ("q",), offset="offset", sign=lambda h: h, opener=opener).collect()}
+    assert len(got) == 30 * 40 + 75 * 90 + 30 * 40 + 4
+    for (scene, _, r, c), (a, q) in got.items():
+        y, x = (image.north - (target.north - (r + 0.5) * 60)) / 60, (target.west + (c + 0.5) * 60 - image.west) / 60
+        inside = 0 <= y < 90 and 0 <= x < 70
+        assert q == (int(data["q"][int(y), int(x)]) if inside and scene == 1 else None)
+        y0, x0 = int(np.floor(y - 0.5)), int(np.floor(x - 0.5))
+        fy, fx = y - 0.5 - y0, x - 0.5 - x0
+        total = weight = 0.0
+        for dy, dx, w in ((0, 0, (1 - fy) * (1 - fx)), (0, 1, (1 - fy) * fx), (1, 0, fy * (1 - fx)), (1, 1, fy * fx)):
+            if 0 <= y0 + dy < 90 and 0 <= x0 + dx < 70 and (v := int(data["a"][y0 + dy, x0 + dx])):
+                total, weight = total + w * v, weight + w
+        lost = any(w > 0 and not 0 <= y0 + d < 90 for d, w in ((0, 1 - fy), (1, fy)))
+        want = None if lost or weight == 0 else max(int(np.floor(total / weight + 0.5)) - (100 if scene == 1 else 0), 0)
+        assert a == want, (scene, r, c)
+    one = scenes.read_part(paged.RangeReader(scenes.open_range), f"{tmp_path}/q.tif", image.part(3, 5, 4, 6), nearest=True)
+    assert np.array_equal(one, data["q"][3:7, 5:11])
+    head = (tmp_path / "q.tif").read_bytes()[:40]
+    with pytest.raises(ValueError):
+        scenes.read_header(paged.RangeReader(lambda u, a, b: head[a:b]), "broken")
+
+
+def test_places_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from skyweave.operators.ordering import numbered
+
+    rows = [(v, k) for k, v in enumerate([3.0, None, 1.0, 2.0, 2.0, None, 7.5, 1.0])]
+    frame = spark.createDataFrame(rows, "v double, k int")
+    got = [(r["v"], r["k"]) for r in numbered(frame, F.floor("v"), ["v", "k"], "place").orderBy("place").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
