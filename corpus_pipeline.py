@@ -6,6 +6,8 @@ before the next.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +16,22 @@ from skyweave.llm import chosen_path, line_dedup, mixing, piece_viterbi, toxicit
 from skyweave.llm.shared import Scratch
 
 
+def _beside(docs: DataFrame, taken: set[str], apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``apply(docs)`` with the columns of ``docs``; its own columns of the names ``taken`` are put aside meanwhile."""
+    aside = {c: f"_own_{c}" for c in docs.columns if c.lower() in taken}
+    out = apply(docs.withColumnsRenamed(aside))
+    return out.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold of their language."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    return _beside(docs, {"score", "predicted", "toxic"}, lambda own: toxicity.score(own, model).where(~F.col("toxic")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its text without lines that the corpus has earlier; n_chars follows the text."""
-    own = line_dedup.dedup_lines(docs)
+    own = _beside(docs, {"n_lines", "n_dropped"}, line_dedup.dedup_lines)
     if "n_chars" in docs.columns:
         own = own.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return own.select(*docs.columns)
@@ -30,8 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of least id; rows without an id stay."""
-    gone = chosen_path.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_sw_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_sw_gone"), "left_anti")
+    return chosen_path.distinct_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
