@@ -19,7 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.fertility(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    vocabularies = [public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
+    return fertility.fertility(_table(spark, sf_dir, "documents"), vocabularies)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,16 +11,16 @@ CACHE_WORDS = 400_000
 
 
 class WordCache:
-    """Maps words to rows of a flat token array; unseen words are encoded in one call."""
+    """Maps words to rows of flat token arrays, one for each encoder; unseen words are encoded in one call."""
 
-    def __init__(self, encode: Callable[[list], Sequence[Sequence[int]]]):
-        self.encode = encode
+    def __init__(self, *encoders: Callable[[list], Sequence[Sequence[int]]]):
+        self.encoders = encoders
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict = {}
-        self.tokens = np.zeros(0, np.int32)
-        self.offsets = np.zeros(1, np.int64)
+        self.tokens = [np.zeros(0, np.int32) for _ in self.encoders]
+        self.offsets = [np.zeros(1, np.int64) for _ in self.encoders]
 
     def lookup(self, words: list) -> np.ndarray:
         """The row of each word."""
@@ -29,19 +29,21 @@ class WordCache:
         rows = self.rows
         missing = list(set(words).difference(rows.keys())) if words else []
         if missing:
-            encoded = self.encode(missing)
             n = len(rows)
             rows.update(zip(missing, range(n, n + len(missing)), strict=True))
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            flat = np.fromiter((t for e in encoded for t in e), np.int32, int(lengths.sum()))
-            self.tokens = np.concatenate([self.tokens, flat])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
+            for k, encode in enumerate(self.encoders):
+                encoded = encode(missing)
+                lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+                flat = np.fromiter((t for e in encoded for t in e), np.int32, int(lengths.sum()))
+                self.tokens[k] = np.concatenate([self.tokens[k], flat])
+                self.offsets[k] = np.concatenate([self.offsets[k], self.offsets[k][-1] + np.cumsum(lengths)])
         return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
 
-    def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def expand(self, rows: np.ndarray, encoder: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all rows in turn, number of tokens of each)."""
-        start = self.offsets[rows]
-        lengths = self.offsets[rows + 1] - start
+        tokens, offsets = self.tokens[encoder], self.offsets[encoder]
+        start = offsets[rows]
+        lengths = offsets[rows + 1] - start
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        return self.tokens[np.repeat(start - (ends - lengths), lengths) + np.arange(total)], lengths
+        return tokens[np.repeat(start - (ends - lengths), lengths) + np.arange(total)], lengths

@@ -62,6 +62,52 @@ def test_fertility(docs):
     assert fertility.fertility(empty(docs), PIECES).count() == 0
 
 
+def test_fertility_of_several_vocabularies(docs, spark):
+    multi = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    names = [PIECES, multi]
+    rows = {(r["doc_id"], i): r for i, r in enumerate(fertility.fertility(docs, names).collect())}
+    alone = fertility.fertility(docs, PIECES).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["band"]) for r in rows.values()) == sorted((r["doc_id"], r["n_tokens"], r["band"]) for r in alone)
+    encode, is_byte = fertility._encoder(multi)
+    for (doc, _), r in rows.items():
+        ids = [i for own in encode([w.encode() for w in WORD.findall(TEXTS[doc] or "")]) for i in own]
+        assert r["n_tokens_2"] == len(ids) and abs(r["byte_share_2"] - sum(is_byte[i] for i in ids) / max(len(ids), 1)) < 1e-12
+        band = [fertility.BANDS[r["band"]][k] for k in range(2)]
+        told = [(r[f"chars_per_token{e}"], r[f"byte_share{e}"], r[f"token_entropy{e}"]) for e in ("", "_2")]
+        inside = all(b[0] <= c <= b[1] and s <= b[2] and b[3] <= h <= b[4] for b, (c, s, h) in zip(band, told, strict=True))
+        assert r["kept"] == (not r["base_failed"] and inside)
+
+
+def test_bands_are_those_of_good_texts(spark):
+    rng = random.Random(3)
+    words = ["river", "stone", "morning", "window", "quiet", "garden", "letter", "autumn", "table", "bread"]
+    rows = [(i, " ".join(rng.choice(words) + str(rng.randrange(90)) * (i % 2) for _ in range(80)), "en", 1 - i % 2) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    measured = fertility.measures(table, [PIECES])
+    bands = fertility.fit_bands(measured, table.select("doc_id", "quality"), 1, tail=0.0, least=100)
+    good = measured.where("doc_id % 2 = 0").agg(*(f(c) for c in ("chars_per_token0", "entropy0") for f in (F.min, F.max))).first()
+    assert list(bands) == ["en"] and (bands["en"][0][0], bands["en"][0][1], bands["en"][0][3], bands["en"][0][4]) == tuple(good)
+    kept = fertility.fertility(table, PIECES, bands | {"script:other": fertility.BANDS["script:other"]})
+    assert kept.where("kept and doc_id % 2 = 1").count() == 0 and kept.where("kept").count() == 200
+
+
+def test_scripts():
+    import pyarrow as pa
+
+    from skyweave.llm.text_kernel import texts_of
+
+    texts = {"Plain text, élan": "latin", "текст здесь": "cyrillic", "κείμενο": "greek", "نص هنا": "arabic", "טקסט": "hebrew", "पाठ": "devanagari", "ข้อความ": "thai", "ひらがな漢": "kana", "글자": "hangul", "漢字文": "han", "123 ... !": "none", "": "none", "ტექსტი": "other"}
+    got = fertility.scripts(*texts_of(pa.array(list(texts), pa.large_string())))
+    assert [fertility._NAMES[k] for k in got] == list(texts.values())
+
+
+def test_windows_of_many_words_stay_apart():
+    ids = np.array([1, 2, 3, 1 << 21, 0, 3, 1, 2, 3, (1 << 21) + 1, 5], np.int64)
+    keys = fertility._windows(ids)
+    triples = [tuple(ids[i : i + 3]) for i in range(len(ids) - 2)]
+    assert all((keys[i] == keys[j]) == (triples[i] == triples[j]) for i in range(len(keys)) for j in range(len(keys)))
+
+
 def test_fertility_measures_match_the_library(docs):
     import sentencepiece
 
@@ -85,6 +131,17 @@ def test_token_counts(docs, monkeypatch):
     assert token_counts.count_tokens(empty(docs), BYTES).count() == 0
 
 
+def test_unbroken_texts(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    texts = ["a" * 200_000, "".join(rng.choice("abcdefgh\u4e2d") for _ in range(150_000))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(BYTES)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(frame, BYTES).collect()} == {i: len(library.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
+    assert all(r["round_trip"] for r in piece_viterbi.encode(frame, PIECES).collect())
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"])
 def test_cutting_changes_no_count(name):
     count, drop = token_counts.counter(public_tokenizers.path(name))
@@ -172,6 +229,31 @@ def test_toxicity_learns(spark):
     assert toxicity.score(edge, none).where("predicted = 1").count() == 0
 
 
+def test_toxicity_scores_match_a_plain_convolution():
+    import pyarrow as pa
+
+    from skyweave.llm.text_kernel import texts_of
+
+    settings = toxicity.Settings(bucket_bits=8, width=3, filters=2)
+    rng, width_of = np.random.default_rng(2), np.repeat(settings.widths, settings.filters)
+    reach = max(settings.widths)
+    mask = np.arange(reach * settings.width)[:, None] < width_of[None] * settings.width
+    model = toxicity.Model(settings, rng.standard_normal((256, 3)).astype(np.float32), (rng.standard_normal(mask.shape) * mask).astype(np.float32), rng.standard_normal(6).astype(np.float32), rng.standard_normal(7).astype(np.float32), np.array([0.7, 0.2]))
+    texts = ["", "one", "one two", "A longer text, with; some words-and more words.", "x " * 40]
+    ids, counts = toxicity.features(*texts_of(pa.array(texts, pa.large_string())), settings.bucket_bits)
+    got, at = toxicity.scores(model, ids, counts), 0
+    for k, n in enumerate(counts.tolist()):
+        assert n == len(re.findall(r"[A-Za-z0-9]+", texts[k]))
+        words = [sum(model.embedding[b] for b in ids[:, at + i]) for i in range(n)] + [np.zeros(3, np.float32)] * reach
+        at += n
+        top = []
+        for f, width in enumerate(width_of.tolist()):
+            acts = [sum(float(words[i + j] @ model.filters[j * 3 : j * 3 + 3, f]) for j in range(width)) for i in range(max(n, 1))]
+            top.append(max(max(acts) + float(model.bias[f]), 0))
+        z = float(np.dot(top, model.out[:-1]) + model.out[-1])
+        assert abs(got[k] - 1 / (1 + math.exp(-(0.7 * z + 0.2)))) < 1e-5
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     table = spark.createDataFrame([(i, f"word{i % 7} text", "en", int(i % 7 == 0)) for i in range(300)], "doc_id long, text string, lang string, toxic int")
     flipped = table.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
