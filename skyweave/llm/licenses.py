@@ -9,6 +9,7 @@ whole inside one.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,29 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "published by the Free Software Foundation, either version 3 of the License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Apache-2.0", "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("MIT", "Licensed under the MIT License"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("GPL-2.0", "published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL", "under the terms of the GNU Lesser General Public License"),
+    ("AGPL", "under the terms of the GNU Affero General Public License"),
+    ("BSD", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("BSD", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("EPL-2.0", "made available under the terms of the Eclipse Public License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable"),
 )
 #: What parts words: all but letters and digits.
 BREAK = r"[^\p{L}\p{N}]+"
@@ -61,7 +81,8 @@ def anchors(templates, settings: Settings) -> list[str]:
     for own in sets:
         while sum(not set(x) & set(chosen) for x in own) >= settings.least * len(own):
             open_ = [x for x in own if not set(x) & set(chosen)]
-            chosen.append(max(rare, key=lambda w: (sum(w in x for x in open_), len(w), w)))
+            need = len(open_) - math.ceil(settings.least * len(own)) + 1  # of words that cover enough the longest, as the rarest
+            chosen.append(max(rare, key=lambda w: (min(sum(w in x for x in open_), need), len(w), w)))
     return sorted(chosen)
 
 
