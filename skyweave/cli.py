@@ -13,7 +13,7 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="skyweave")
     commands = out.add_subparsers(dest="command", required=True)
     for name in ("build", "request-hash", "item"):
-        own = commands.add_parser(name)
+        own = commands.add_parser(name, aliases=["stac-item-path"] if name == "item" else [])
         own.add_argument("--bbox", type=float, nargs=4, required=True)
         own.add_argument("--product", required=True)
         own.add_argument("--bands", nargs="+", required=True)

@@ -11,6 +11,11 @@ def day(stamp: Column) -> Column:
     return F.try_to_date(F.substring(stamp, 1, 10))
 
 
+def local_day(stamp: Column, zone: str = "UTC") -> Column:
+    """The date of an instant (a timestamp, or an ISO string) on the clock of ``zone``, whatever the session's."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(F.to_timestamp(stamp), F.current_timezone()), "yyyy-MM-dd HH:mm:ss"), F.lit("yyyy-MM-dd HH:mm:ss"))))
+
+
 def instant(stamp: Column, end: bool = False) -> Column:
     """A bare date becomes the first or last second of its day; open ends stay open."""
     bare = stamp.rlike(r"^\d{4}-\d{2}-\d{2}$")

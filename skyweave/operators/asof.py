@@ -30,3 +30,26 @@ def interval_mean(left: DataFrame, right: DataFrame, key: str, left_time: Column
     pairs = _bucketed(left.select(key, left_time.alias("_lt")), right.select(value, right_time.alias("_rt")), F.col("_lt"), F.col("_rt"), width)
     means = pairs.groupBy(key).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     return left.select(key).join(means, key, "left").fillna({"n": 0})
+
+
+def sidecar(scenes: DataFrame, by_id: DataFrame, by_day: DataFrame, value: str, order: str) -> DataFrame:
+    """``scenes`` (id, tile, day) with ``value`` and ``found``: the record of the same id, else of the same tile and day.
+
+    Of several records that of the least ``order`` counts; ``found``: ``id``,
+    ``tile and day`` or null; rows with a null id, tile or day find nothing there.
+    """
+    exact = by_id.groupBy("id").agg(F.min_by(value, order).alias("_exact"))
+    near = by_day.groupBy("tile", "day").agg(F.min_by(value, order).alias("_near"))
+    both = scenes.join(exact, "id", "left").join(near, ["tile", "day"], "left")
+    found = F.when(F.col("_exact").isNotNull(), "id").when(F.col("_near").isNotNull(), "tile and day")
+    return both.withColumn(value, F.coalesce("_exact", "_near")).withColumn("found", found).drop("_exact", "_near")
+
+
+def by_position(rows: DataFrame, lists: list[str]) -> DataFrame:
+    """A row for every place of the array columns ``lists``, which must be of one length: ``position`` and their elements."""
+    sizes = [F.size(c) for c in lists]
+    same = F.lit(True)
+    for n in sizes[1:]:
+        same = same & (n == sizes[0])
+    zipped = F.when(same, F.arrays_zip(*lists)).otherwise(F.raise_error(F.lit("lists of one length are needed")))
+    return rows.select(*(c for c in rows.columns if c not in lists), F.posexplode(zipped).alias("position", "_z")).select("*", "_z.*").drop("_z")

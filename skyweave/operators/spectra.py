@@ -151,6 +151,15 @@ def knn(queries: DataFrame, library: DataFrame, key: str, library_key: str, anch
     return found.where(F.size("near") > 0).select(key, prediction.alias("prediction"), F.get("near", F.lit(0))["d"].alias("distance"))
 
 
+def reconstruction_residual(queries: DataFrame, library: DataFrame, key: str, library_key: str, bands: str, k: int = 10, own: str | None = None) -> DataFrame:
+    """(key, rmse, residual): how far the mean of the ``k`` nearest is from the row itself, in all and by band."""
+    rows = library.withColumn("_t", F.col(bands))
+    found = knn(queries, rows, key, library_key, bands, "_t", k, own=own).join(queries.select(key, F.col(bands).alias("_x")), key)
+    apart = F.transform(F.arrays_zip(F.col("_x").alias("a"), F.col("prediction").alias("b")), lambda z: F.abs(z["a"] - z["b"]))
+    square = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
+    return found.select(key, F.sqrt(square / F.size("_x")).alias("rmse"), apart.alias("residual"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -638,10 +638,7 @@ def library_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well neighbours reproduce the anchors themselves."""
     ask, library = _spectra(spark, sf_dir)
-    same = library.withColumnRenamed("vec_id", "lk").withColumn("target", F.col("anchor"))
-    out = spectra.knn(ask, same, "vec_id", "lk", "anchor", "target").join(ask.select("vec_id", "anchor"), "vec_id")
-    square = F.aggregate(F.zip_with("anchor", "prediction", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return out.select("vec_id", F.round(F.sqrt(square / F.size("anchor")), 6).alias("rmse"))
+    return rounded(spectra.reconstruction_residual(ask, library.withColumnRenamed("vec_id", "lk"), "vec_id", "lk", "anchor").select("vec_id", "rmse"), "rmse")
 
 
 @query(f"""WITH {_SPECTRA}, p AS (SELECT a.e AS x, b.e AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
@@ -705,10 +702,9 @@ def required_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sidecar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correction records by scene id, else by tile and day, the first of several."""
     ids = _scene_ids(spark, sf_dir)
-    exact = ids.where("tile = 'T0'").groupBy("id").agg(F.min(F.col("scene_index") % 9).alias("a"))
-    near = ids.where("tile <> 'T3'").groupBy("tile", "day").agg(F.min_by(F.col("scene_index") % 9, "scene_index").alias("b"))
-    joined_ = ids.join(exact, "id", "left").join(near, ["tile", "day"], "left")
-    return joined_.select("id", F.coalesce("a", "b").alias("aod"), F.when(F.col("a").isNotNull(), "id").when(F.col("b").isNotNull(), "tile and day").alias("found"))
+    records = ids.withColumn("aod", F.col("scene_index") % 9)
+    first = records.where("tile = 'T0'").withColumn("order", F.col("aod")), records.where("tile <> 'T3'").withColumn("order", F.col("scene_index"))
+    return asof.sidecar(ids.select("id", "tile", "day"), *first, "aod", "order").select("id", "aod", "found")
 
 
 @query(sql("""SELECT chunk_id, min(CASE WHEN k >= 1 AND d >= 0 THEN k END) AS crossover FROM (SELECT chunk_id, l_linenumber AS k, avg(b2) - 0.04 AS d FROM obs GROUP BY ALL) GROUP BY 1"""))
@@ -827,10 +823,8 @@ def cosine_1nn_gain_every(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_residual_every(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``knn_residual`` of every row from all others."""
     rows = _every_spectrum(spark, sf_dir)
-    same = rows.withColumnRenamed("vec_id", "lk").withColumn("target", F.col("anchor"))
-    out = spectra.knn(rows, same, "vec_id", "lk", "anchor", "target", own="vec_id").join(rows.select("vec_id", "anchor"), "vec_id")
-    square = F.aggregate(F.zip_with("anchor", "prediction", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return out.select("vec_id", F.round(F.sqrt(square / F.size("anchor")), 6).alias("rmse"))
+    out = spectra.reconstruction_residual(rows, rows.withColumnRenamed("vec_id", "lk"), "vec_id", "lk", "anchor", own="vec_id")
+    return rounded(out.select("vec_id", "rmse"), "rmse")
 
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: abs(x::DOUBLE) + 0.02) AS e FROM embeddings),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -33,6 +34,31 @@ def search(items: DataFrame, collections: list[str], box: tuple[float, float, fl
     return out.where(F.col("properties")["eo:cloud_cover"].try_cast("double") < max_cloud_cover) if max_cloud_cover < 100 else out
 
 
+def search_ranges(items: DataFrame, collections: list[str], box: tuple[float, float, float, float], ranges: list[tuple[str, str]], max_cloud_cover: float = 90.0) -> DataFrame:
+    """Items of any of the ranges of days, each once."""
+    if not ranges:
+        raise ValueError("a range is needed")
+    day = temporal.day(F.col("properties")["datetime"])
+    met = F.lit(False)
+    for start, stop in ranges:
+        met = met | day.between(F.lit(start).cast("date"), F.lit(stop).cast("date"))
+    return search(items, collections, box, min(a for a, _ in ranges), max(b for _, b in ranges), max_cloud_cover).where(met)
+
+
+def granule_searches(spark: SparkSession, product: str, ranges: list[tuple[str, str]]) -> DataFrame:
+    """(collection, version, start, stop): every search that a product of several collections needs."""
+    rows = [(c, v, a, b) for c, v in product_collections(product) for a, b in ranges]
+    return spark.createDataFrame(rows, "collection string, version string, start string, stop string")
+
+
+def band_selection(bands: list[str], band_map: dict[str, str], quality_map: dict[str, str]) -> list[str]:
+    """Layers to fetch: those of the bands, then the distinct quality layers; a band without either is an error."""
+    missing = [b for b in bands if b not in band_map or b not in quality_map]
+    if missing:
+        raise ValueError(f"no layer for {', '.join(missing)}")
+    return list(dict.fromkeys([*(band_map[b] for b in bands), *(quality_map[b] for b in bands)]))
+
+
 def scenes(items: DataFrame, max_scenes: int | None = None) -> DataFrame:
     """Scenes in the order of time and id, numbered from 0; of items with one id the first stays."""
     stamp = F.col("properties")["datetime"]
@@ -104,6 +130,37 @@ def token_signing(token: str) -> Callable[[Column], Column]:
     return lambda href: F.concat(href, F.when(F.instr(href, "?") > 0, "&").otherwise("?"), F.lit(token))
 
 
+def container_of(href: Column) -> Column:
+    """``account/container`` of a blob address, or null."""
+    found = F.regexp_extract(href, r"^https://([^./]+)\.blob\.core\.windows\.net/([^/?]+)", 0)
+    return F.when(found != "", F.concat_ws("/", F.regexp_extract(found, r"//([^.]+)\.", 1), F.regexp_extract(found, r"/([^/]+)$", 1)))
+
+
+class ContainerSigning:
+    """Signs blob addresses with a token for each container, asked for once and again when it is about to end.
+
+    ``fetch``: (account, container) to (token, seconds it holds).  Containers
+    are few against addresses; addresses elsewhere stay as they are.
+    """
+
+    def __init__(self, fetch: Callable[[str, str], tuple[str, float]], clock: Callable[[], float] = time.monotonic, spare: float = 60.0):
+        self.fetch, self.clock, self.spare = fetch, clock, spare
+        self.held: dict[str, tuple[str, float]] = {}
+
+    def token(self, name: str) -> str:
+        if name not in self.held or self.held[name][1] - self.spare <= self.clock():
+            token, seconds = self.fetch(*name.split("/"))
+            self.held[name] = token, self.clock() + seconds
+        return self.held[name][0]
+
+    def sign(self, assets: DataFrame, href: str = "href") -> DataFrame:
+        names = [r["c"] for r in assets.select(container_of(F.col(href)).alias("c")).distinct().where("c is not null").collect()]
+        signed = F.col(href)
+        for name in names:
+            signed = F.when(container_of(F.col(href)) == name, token_signing(self.token(name))(F.col(href))).otherwise(signed)
+        return assets.withColumn(href, signed)
+
+
 class InMemory:
     """Observations already in a frame, if their bands are those asked for; others are passed over."""
 

@@ -211,3 +211,25 @@ def test_trend_needs_four_groups(spark):
     rows = spark.createDataFrame([(float(i), 2.0 * i) for i in range(3)], "bias double, aod double")
     assert compare.trend(rows, "bias", "aod").first()["r"] is None
     assert compare.trend(rows.union(spark.createDataFrame([(3.0, 6.0)], "bias double, aod double")), "bias", "aod").first()["slope"] == 0.5
+
+
+def test_sidecars_and_positions(spark):
+    from skyweave.operators import asof
+
+    scenes = spark.createDataFrame([("a", "T1", "d1"), ("b", "T1", "d1"), ("c", "T2", "d1"), (None, "T1", None)], "id string, tile string, day string")
+    by_id = spark.createDataFrame([("a", 5.0, 2), ("a", 6.0, 1)], "id string, aod double, n int")
+    by_day = spark.createDataFrame([("T1", "d1", 7.0, 3), ("T1", "d1", 8.0, 9)], "tile string, day string, aod double, n int")
+    got = {r["id"]: (r["aod"], r["found"]) for r in asof.sidecar(scenes, by_id, by_day, "aod", "n").collect()}
+    assert got == {"a": (6.0, "id"), "b": (7.0, "tile and day"), "c": (None, None), None: (None, None)}
+    rows = spark.createDataFrame([(1, ["x", "y"], [1.0, 2.0])], "k int, name array<string>, xap array<double>")
+    assert [tuple(r) for r in asof.by_position(rows, ["name", "xap"]).collect()] == [(1, 0, "x", 1.0), (1, 1, "y", 2.0)]
+    with pytest.raises(Exception, match="one length"):
+        asof.by_position(rows.withColumn("xap", F.slice("xap", 1, 1)), ["name", "xap"]).collect()
+
+
+def test_residual_by_band(spark):
+    from skyweave.operators import spectra
+
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [None, 1.0])], "k int, e array<double>")
+    got = {r["k"]: r for r in spectra.reconstruction_residual(rows, rows.withColumnRenamed("k", "l"), "k", "l", "e", own="k").collect()}
+    assert set(got) == {1, 2} and got[1]["residual"] == [0.0, 1.0] and abs(got[1]["rmse"] - 0.5**0.5) < 1e-12

@@ -352,3 +352,49 @@ def test_places_in_order(spark):
     frame = spark.createDataFrame(rows, "v double, k int")
     got = [(r["v"], r["k"]) for r in numbered(frame, F.floor("v"), ["v", "k"], "place").orderBy("place").collect()]
     assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+def test_signing_by_container(spark):
+    from skyweave.sources import catalog
+
+    asked, now = [], [0.0]
+
+    def fetch(account, container):
+        asked.append((account, container))
+        return f"sig={account}{len(asked)}", 600.0
+
+    signer = catalog.ContainerSigning(fetch, lambda: now[0])
+    rows = spark.createDataFrame([("https://acc.blob.core.windows.net/box/a.tif",), ("https://acc.blob.core.windows.net/box/b.tif?x=1",), ("https://other.org/c.tif",), (None,)], "href string")
+    want = {"https://acc.blob.core.windows.net/box/a.tif?sig=acc1", "https://acc.blob.core.windows.net/box/b.tif?x=1&sig=acc1", "https://other.org/c.tif", None}
+    assert {r["href"] for r in signer.sign(rows).collect()} == want and {r["href"] for r in signer.sign(rows).collect()} == want
+    now[0] = 541.0
+    assert any("acc2" in (r["href"] or "") for r in signer.sign(rows).collect()) and asked == [("acc", "box")] * 2
+
+
+def test_landed_products(spark, tmp_path):
+    import numpy as np
+
+    from skyweave.functions import grid, temporal
+    from skyweave.plans import export
+    from skyweave.sources import catalog, rasters
+
+    assert catalog.granule_searches(spark, "mcd43", [("a", "b"), ("c", "d")]).count() == 4
+    assert catalog.band_selection(["r", "n"], {"r": "B1", "n": "B2"}, {"r": "Q", "n": "Q"}) == ["B1", "B2", "Q"]
+    with pytest.raises(ValueError):
+        catalog.band_selection(["r"], {"r": "B1"}, {})
+    step = grid.MODIS_TILE / 2400
+    inside = grid.Grid(grid.MODIS_WEST + 18 * grid.MODIS_TILE + 10 * step, grid.MODIS_NORTH - 4 * grid.MODIS_TILE - 25 * step, grid.MODIS_WEST + 18 * grid.MODIS_TILE + 30 * step, grid.MODIS_NORTH - 4 * grid.MODIS_TILE - 5 * step, grid.SINUSOIDAL, step)
+    names = spark.createDataFrame([("MCD43A1.A2020001.h18v04.061.x.hdf",), ("MCD43A1.A2020001.h17v04.061.x.hdf",), ("odd",)], "name string")
+    got = [r["w"] for r in names.select(grid.modis_window(F.col("name"), inside, 2400).alias("w")).collect()]
+    assert tuple(got[0])[:2] == (5, 10) and got[1:] == [None, None]
+    days = spark.createDataFrame([("2020-06-30T23:30:00Z",)], "t string").select(*(temporal.local_day(F.col("t"), z).cast("string").alias(z[:3]) for z in ("UTC", "Asia/Tokyo", "America/Lima"))).first()
+    assert tuple(days) == ("2020-06-30", "2020-07-01", "2020-06-30")
+    (tmp_path / "station.csv").write_text("station data\nversion 3\nAERONET_Site,Date(dd:mm:yyyy),Time(hh:mm:ss),AOD_500nm,440-870_Angstrom_Exponent\ns,01:02:2020,10:00:00,0.2,1.0\ns,01:02:2020,11:00:00,-999,1.0\n")
+    rows = rasters.aeronet(spark, f"file://{tmp_path}/station.csv").collect()
+    assert len(rows) == 1 and abs(rows[0]["aod"] - 0.2 * (550 / 500) ** -1.0) < 1e-9
+    there = grid.Grid(0.0, 0.0, 180.0, 120.0, 32631, 60.0)
+    arrays = export.as_arrays(spark.createDataFrame([(0, 1, 7), (1, 2, None)], "row int, col int, b int"), there, ["b"], {"year": 2020, "month": 7})
+    assert arrays["year"] == 2020 and np.array_equal(arrays["b"], [[65535, 7, 65535], [65535, 65535, 65535]])
+    items = spark.createDataFrame([("a", "2020-01-05"), ("b", "2020-03-05"), ("c", "2020-06-05")], "id string, d string").select("id", F.lit("k").alias("collection"), F.array(*(F.lit(x) for x in (0.0, 0.0, 1.0, 1.0))).alias("bbox"), F.create_map(F.lit("datetime"), "d", F.lit("eo:cloud_cover"), F.lit("5")).alias("properties"))
+    found = catalog.search_ranges(items, ["k"], (0, 0, 1, 1), [("2020-01-01", "2020-01-31"), ("2020-06-01", "2020-06-30")])
+    assert sorted(r["id"] for r in found.collect()) == ["a", "c"]
