@@ -1,5 +1,6 @@
 """Operators over whole corpora: near-dedup, line dedup, mixing, vectors, and the pipeline."""
 
+import math
 import random
 import re
 
@@ -291,7 +292,8 @@ def test_links_of_texts_that_share_an_id(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(3, 3), (5, 3), (5, 3), (5, 5), (9, 3)]
 
 
-def test_longer_lines_may_differ_more(spark):
+@pytest.mark.parametrize("most", [2, 3])
+def test_longer_lines_may_differ_more(spark, most):
     rng = random.Random(11)
 
     def changed(line, edits):
@@ -302,7 +304,7 @@ def test_longer_lines_may_differ_more(spark):
 
     docs, want = [], []
     for n in (30, 127, 128, 191, 192, 500):
-        allowed = min(max(n // 64, 1), 3)
+        allowed = min(max(n // 64, 1), most)
         for edits in (1, 2, 3, 4):
             line = "".join(rng.choice("abcdefgé ") for _ in range(n - 2))
             line, other = f"a{line}b", None
@@ -314,7 +316,82 @@ def test_longer_lines_may_differ_more(spark):
     for k in range(60):  # lines that share most of their segments, far from each other or near
         docs.append((len(docs), crowd[0] + crowd[1] + "".join(rng.choice("pqrst") for _ in range(20)) + crowd[2]))
         want.append(docs[-1][1])
-        docs.append((len(docs), changed(docs[-1][1], 3)))
+        docs.append((len(docs), changed(docs[-1][1], most)))
         want.append("")
-    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), line_dedup.Settings(crowd=8)).orderBy("doc_id").collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), line_dedup.Settings(most=most, crowd=8)).orderBy("doc_id").collect()
     assert [r["text"] for r in got] == want
+
+
+def test_quotas_go_down_the_tree(spark):
+    quotas = {"a": 40, "b": 7, None: 1, "c": 0}
+    frame = spark.createDataFrame(list(quotas.items()), "source string, n long")
+    lefts = []
+    for seed in range(12):
+        rows = mixing.shard_quotas(frame, 3, mixing.Settings(seed=seed)).collect()
+        for s, n in quotas.items():
+            assert sum(r["n"] for r in rows if r["source"] == s) == n and all(r["n"] >= 0 for r in rows)
+        sizes = [sum(r["n"] for r in rows if r["shard"] == k) for k in range(8)]
+        assert sum(sizes) == 48 and set(sizes) == {6}
+        lefts.append(sum(r["n"] for r in rows if r["source"] == "a" and r["shard"] < 4))
+    assert 18 <= np.mean(lefts) <= 22 and len(set(lefts)) > 1  # a draw, not a rule
+    assert mixing.shard_quotas(frame.limit(0), 3, mixing.Settings()).count() == 0
+
+
+def test_mixing_takes_whole_blocks_in_order(spark):
+    """The draw itself, by hand: permuted blocks until the target, the last one by documents, then the best filler."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice("aaab")) for i in range(1500)]
+    docs, settings = spark.createDataFrame(rows, "doc_id long, text string, source string"), mixing.Settings(blocks=8, block_rows=100, levels=2)
+    got = {r["doc_id"]: r for r in mixing.plan(docs, settings).collect()}
+    n = {s: max(8, math.ceil(sum(r[2] == s for r in rows) / 100)) for s in "ab"}
+    keyed = mixing.sized(docs, settings).withColumn("n", F.when(F.col("source") == "a", n["a"]).otherwise(n["b"])).withColumn("block", mixing._block(settings, "place", "n"))
+    keyed = keyed.withColumn("order", F.xxhash64(F.lit(settings.seed), F.lit("order"), "source", "block")).collect()
+    for s in "ab":
+        own = [r for r in keyed if r["source"] == s]
+        size, target = sum(r["size"] for r in own), got[own[0]["doc_id"]]["target"]
+        passes = min(2, int(target // size))
+        rest, again = target - passes * size, set()
+        for _, block in sorted({(r["order"], r["block"]) for r in own}):
+            for r in sorted((r for r in own if r["block"] == block), key=lambda r: (r["place"], r["doc_id"])):
+                if rest - r["size"] < 0:
+                    break
+                rest -= r["size"]
+                again.add(r["doc_id"])
+            else:
+                continue
+            break
+        left = [(abs(rest - r["size"]), r["place"], r["doc_id"]) for r in own if r["doc_id"] not in again and r["size"] > 0 and abs(rest - r["size"]) < rest]
+        again |= {min(left)[2]} if left else set()
+        zero = {r["doc_id"] for r in own if r["size"] == 0}
+        assert {r["doc_id"] for r in own if got[r["doc_id"]]["taken"] > passes * r["size"]} == again - zero
+        by_draw = {}
+        for r in own:  # a draw of a block is in one shard
+            for k, shard in enumerate(got[r["doc_id"]]["shards"][:passes]):
+                assert by_draw.setdefault((r["block"], k), shard) == shard
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    a, b = (" ".join(f"{w}{k}" for k in range(40)) for w in "ab")
+    near = a.replace("a20", "other")
+    rows = [
+        (7, a, "en", "s", 1), (7, a, "en", "s", 1), (8, b, "en", None, 2), (8, near, None, "t", 3), (9, near + " tail", "fr", "t", 4), (None, a, "en", "s", 5), (None, a, "en", "s", 5),
+        (10, None, "en", "s", 6), (11, "", "en", "s", 7), (12, "short", "en", "s", 8), (13, "short", "xx", "s", 9),
+    ]
+    docs = spark.createDataFrame([(*r, 0.5, "mine") for r in rows], "doc_id long, text string, lang string, source string, n_lines int, Score double, toxic string")
+    kept = stages["minhash_near_dedup"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    left = sorted(((r["doc_id"] or -1), r["text"] or "") for r in kept.collect())
+    assert left == sorted([(7, a), (8, b), (-1, a), (-1, a), (10, ""), (11, ""), (12, "short")])
+    clean = stages["toxicity"](spark, docs, SF)
+    assert clean.columns == docs.columns and {(r["Score"], r["toxic"]) for r in clean.collect()} == {(0.5, "mine")}
+    lined = stages["line_dedup"](spark, docs, SF)
+    assert lined.columns == docs.columns and lined.count() == len(rows) and sorted(r["n_lines"] for r in lined.collect()) == sorted(r[4] for r in rows)
+    texts = {(r["doc_id"], r["text"]) for r in lined.collect()}
+    assert {(7, a), (8, b), (8, near), (9, near + " tail"), (10, None), (11, ""), (12, "short"), (13, "short"), (None, a)} == texts  # a second copy of an id is the same document
+    mixed = stages["mix_sources"](spark, docs, SF)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    out = stages["sentencepiece"](spark, docs, SF)
+    assert out.count() == len(rows) and out.where("not round_trip").count() == 0
