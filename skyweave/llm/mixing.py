@@ -38,7 +38,7 @@ class Settings:
     levels: int = 4
     shard_rows: int = 1_000_000
     most_levels: int = 14
-    part_rows: int = 50_000
+    part_rows: int = 1_000
     seed: int = 11
 
 
