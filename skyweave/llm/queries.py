@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import chat_format, chosen_path, fertility, licenses, line_dedup, mixing, nn_descent, piece_viterbi, token_counts, toxicity
+from skyweave.llm import annulus, chat_format, chosen_path, fertility, fill_middle, licenses, line_dedup, mixing, nn_descent, piece_viterbi, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,13 +65,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.digest(annulus.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_middle(_table(spark, sf_dir, "documents")))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_tokeniser_fertility, op2_sentencepiece, op3_minhash_near_dedup, op4_chat_format, op5_license_scan,
         op6_mix_sources, op7_embedding_near_dedup, op8_line_dedup, op9_toxicity, op10_token_counts,
+        op11_centroid_clustering, op12_fill_middle, op13_secret_scan,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": chosen_path.SQL, "op4_chat_format": chat_format.SQL, "op5_license_scan": licenses.sql(), "op7_embedding_near_dedup": nn_descent.SQL, "op8_line_dedup": line_dedup.SQL}
+    return {
+        "op3_minhash_near_dedup": chosen_path.SQL, "op4_chat_format": chat_format.SQL, "op5_license_scan": licenses.sql(), "op7_embedding_near_dedup": nn_descent.SQL, "op8_line_dedup": line_dedup.SQL,
+        "op11_centroid_clustering": annulus.sql(), "op12_fill_middle": fill_middle.SQL, "op13_secret_scan": secrets.sql(),
+    }
