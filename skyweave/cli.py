@@ -1,4 +1,4 @@
-"""Command line: build a composite from an observation table, hash a request, show a product's metadata."""
+"""Command line: build a composite from scene files or an observation table, hash a request, show a product's metadata."""
 
 from __future__ import annotations
 
@@ -20,27 +20,79 @@ def parser() -> argparse.ArgumentParser:
         own.add_argument("--resolution", type=float, default=60.0)
         own.add_argument("--output-crs", default="native", choices=["native", "utm"])
         own.add_argument("--top-k", type=int, default=3)
+        own.add_argument("--scout-factor", type=int, default=8)
+        own.add_argument("--max-cloud-cover", type=float, default=90.0)
         own.add_argument("--coverage-target", type=float, default=0.0)
         own.add_argument("--min-k", type=int, default=2)
         own.add_argument("--max-k", type=int, default=8)
         own.add_argument("--emit-uncertainty", action="store_true")
         own.add_argument("--strict", action="store_true")
-        own.add_argument("--temporal-filter", nargs=2)
+        own.add_argument("--temporal-filter", nargs=2, help="days that observations must be of")
+        own.add_argument("--temporal-range", nargs=2, action="append", help="days to search; may be repeated")
         own.add_argument("--store", required=name != "request-hash")
         source = own.add_mutually_exclusive_group(required=True)
         source.add_argument("--observations", help="Parquet: pid, chunk_id, scene_index, tile, day, obs_order, sample_index, scl and bands")
-        source.add_argument("--catalogue", help="name of an external source; only its name enters the hash")
+        source.add_argument("--catalogue", help="JSON of items whose assets are scene files")
+        source.add_argument("--manifest", help="manifest of NPZ items")
+        own.add_argument("--collection", action="append", default=[])
+        own.add_argument("--asset", action="append", default=[], metavar="BAND=KEY", help="asset key of a band; scl for the class codes")
+        own.add_argument("--offset", type=int, default=0, help="taken off valid values")
+        own.add_argument("--max-scenes", type=int)
+        own.add_argument("--headers", help="folder in which parsed headers stay")
+        own.add_argument("--chunk", type=int, default=512)
         if name == "build":
             own.add_argument("--rebuild", action="store_true")
     return out
 
 
+def _from_catalogue(spark, told, grid: Grid, how: pipelines.Build):
+    """The composite of a catalogue's scenes, by its options."""
+    from pyspark.sql import functions as F
+
+    from skyweave.plans import build
+    from skyweave.sources import catalog
+
+    aliases = dict(x.split("=", 1) for x in told.asset)
+    ranges = [tuple(x) for x in told.temporal_range or ([told.temporal_filter] if told.temporal_filter else [])]
+    lost = [b for b in (*told.bands, "scl") if b not in aliases]
+    if lost or not told.collection or not ranges:
+        raise SystemExit(f"a catalogue needs --collection, --temporal-range and an --asset for every band and scl (without one: {', '.join(lost) or 'none'})")
+    reading = build.Reading({b: aliases[b] for b in (*told.bands, "scl")}, headers=told.headers, offset="offset" if told.offset else None)
+    items = catalog.read_items(spark, told.catalogue)
+    out, _ = build.build_from_items(items, grid, how, reading, told.collection, ranges, told.chunk, max_scenes=told.max_scenes, offset=told.offset)
+    return out.select((F.col("row").cast("long") * grid.width + F.col("col")).alias("pid"), *(c for c in out.columns if c not in ("row", "col")))
+
+
+def _from_manifest(spark, path: str, bands: list[str], grid: Grid, how: pipelines.Build):
+    """The composite of a manifest's items, whose pixels lie on the grid: an item is a scene, all are used."""
+    from pyspark.sql import functions as F
+
+    from skyweave.operators import compose
+    from skyweave.sources import rasters
+
+    rows = rasters.read_npz(spark, path, bands)
+    first = [F.max(F.when(F.col("band") == b, F.col("value"))).alias(b) for b in bands]
+    wide = rows.groupBy("item", "row", "col").agg(*first, F.first("quality").alias("quality"), F.first("sample_index").alias("sample_index"))
+    obs = wide.select((F.col("row").cast("long") * grid.width + F.col("col")).alias("pid"), *bands, "quality", "sample_index", F.col("item").cast("long").alias("scene_index"), F.col("item").alias("obs_order"))
+    won = compose.best_pixel(obs, ["pid"], bands, ["scene_index"], how.strict)
+    return compose.full_grid(_pids(spark, grid), won, ["pid"], {"scene_index": -1, "quality": 65535, "observation_count": 0})
+
+
+def _pids(spark, grid: Grid):
+    return grid.pixels(spark).selectExpr(f"cast(row as bigint) * {grid.width} + col as pid")
+
+
 def main(args: list[str] | None = None) -> int:
     told = parser().parse_args(args)
     grid = Grid.from_wgs84(tuple(told.bbox), told.resolution, output=told.output_crs)
-    how = pipelines.Build(resolution=told.resolution, top_k=told.top_k, coverage_target=told.coverage_target, min_k=told.min_k, max_k=told.max_k, emit_uncertainty=told.emit_uncertainty, strict=told.strict, bands=tuple(told.bands))
-    provider = pipelines.Provider(None, told.observations or told.catalogue, how)
-    request = provider.request(grid, told.product, tuple(told.bands), tuple(told.temporal_filter) if told.temporal_filter else None)
+    how = pipelines.Build(
+        resolution=told.resolution, top_k=told.top_k, scout_factor=told.scout_factor, max_cloud_cover=told.max_cloud_cover, coverage_target=told.coverage_target,
+        min_k=told.min_k, max_k=told.max_k, emit_uncertainty=told.emit_uncertainty, strict=told.strict, bands=tuple(told.bands),
+    )
+    provider = pipelines.Provider(None, told.observations or told.catalogue or told.manifest, how)
+    ranges = [x for pair in told.temporal_range or [] for x in pair]
+    window = tuple(told.temporal_filter) if told.temporal_filter else ((min(ranges), max(ranges)) if ranges else None)
+    request = provider.request(grid, told.product, tuple(told.bands), window, period=",".join("/".join(x) for x in told.temporal_range) if told.temporal_range and len(told.temporal_range) > 1 else None)
     if told.command == "request-hash":
         print(request.hash())
         return 0
@@ -49,11 +101,11 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     provider.store = store.Store(spark, told.store)
     if told.command == "build":
-        if not told.observations:
-            raise SystemExit("a catalogue has to be fetched into an observation table first")
-        obs = spark.read.parquet(told.observations)
-        pixels = grid.pixels(spark).selectExpr(f"cast(row * {grid.width} + col as bigint) as pid")
-        provider.build(request, obs, pixels, told.rebuild)
+        if told.observations:
+            provider.build(request, spark.read.parquet(told.observations), _pids(spark, grid), told.rebuild)
+        else:
+            made = (lambda: _from_catalogue(spark, told, grid, how)) if told.catalogue else (lambda: _from_manifest(spark, told.manifest, told.bands, grid, how))
+            provider.keep(request, made, told.rebuild)
     print(json.dumps(provider.store.item(request.hash())))
     return 0
 

@@ -869,6 +869,47 @@ def scene_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.scene_pixels(assets, windows, shifted, ["v"], nodata=65535).select("scene_index", "row", "col", "v")
 
 
+FILED = """filed AS (SELECT scene_index, pid, "row", col, chunk_id, 1 + CAST(floor(l_extendedprice) AS BIGINT) % 5000 AS b0, CAST(round(l_tax * 100) AS INTEGER) - 3 AS b1, scl
+  FROM obs QUALIFY row_number() OVER (PARTITION BY scene_index, pid ORDER BY obs_order) = 1)"""
+# cells of two by two pixels hold the code of their first one; every chunk has 25 of them
+SCOUTED = """gridded AS (SELECT s.scene_index, c.chunk_id, f.scl FROM scn s CROSS JOIN (SELECT r AS "row", k AS col, CAST((r // 10) * 5 + k // 10 AS INTEGER) AS chunk_id FROM range(0, (SELECT max("row") + 1 FROM px), 2) a(r), range(0, 50, 2) b(k)) c
+  LEFT JOIN filed f ON f.scene_index = s.scene_index AND f."row" = c."row" AND f.col = c.col WHERE s.scene_index IN (SELECT scene_index FROM filed)),
+fstats AS (SELECT scene_index, chunk_id, avg(CASE WHEN scl <> 0 THEN 1.0 ELSE 0.0 END) AS usable_fraction, avg(CASE WHEN scl IN (4, 5, 6, 11) THEN 1.0 WHEN scl <> 0 THEN 0.0 END) AS mean_clear FROM gridded GROUP BY ALL),
+franked AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, tile ORDER BY round(mean_clear, 9) DESC NULLS LAST, round(usable_fraction, 9) DESC, scene_index) AS r,
+  min(scene_index) OVER (PARTITION BY chunk_id, tile) + 1000000 AS o FROM fstats JOIN scn USING (scene_index) WHERE usable_fraction > 0),
+fpicks AS (SELECT chunk_id, scene_index, row_number() OVER (PARTITION BY chunk_id ORDER BY r, o, scene_index) AS pick FROM franked WHERE r <= 3),
+fwon AS (SELECT "row", col, arg_min(struct_pack(b0 := b0, b1 := b1, scene_index := scene_index, quality := quality), struct_pack(s := quality * 1e6 + pick, o := pick)) AS w, count(*) AS n
+  FROM (SELECT *, CASE WHEN scl IN (4, 5, 6, 11) THEN 0 WHEN scl = 7 THEN 1 WHEN scl IN (2, 3) THEN 2 ELSE 65535 END AS quality FROM filed JOIN fpicks USING (chunk_id, scene_index)) WHERE quality <= 32767 AND b0 > 0 AND b1 > 0 GROUP BY ALL)"""
+
+
+def _scene_assets(spark: SparkSession, sf_dir: str, there: grid.Grid) -> DataFrame:
+    """Every scene as tiled files with an overview: b0 unsigned, b1 signed, the class codes."""
+    from skyweave.plans import export
+
+    number = F.row_number().over(Window.partitionBy("scene_index", "pid").orderBy("obs_order"))
+    first = observations(spark, sf_dir).withColumn("n", number).where("n = 1")
+    b0, b1 = 1 + F.floor("l_extendedprice").cast("long") % 5000, F.round(F.col("l_tax") * 100).cast("int") - 3
+    pixels_ = first.select("scene_index", "row", "col", b0.alias("b0"), b1.alias("b1"), "scl")
+    files = export.written(export.scene_files(pixels_, there, ["b0", "b1", "scl"], tile=16, signed=("b1",)), export.shared_folder(spark))
+    return files.select(F.col("row").cast("long").alias("scene_index"), "band", F.col("path").alias("href"))
+
+
+@query(sql("""SELECT g."row" AS "row", g.col AS col, CAST(w.b0 AS INTEGER) AS b0, CAST(w.b1 AS INTEGER) AS b1, coalesce(w.scene_index, -1) AS scene_index, coalesce(w.quality, 65535) AS quality, coalesce(n, 0) AS observation_count
+  FROM (SELECT r AS "row", k AS col FROM range(0, (SELECT max("row") + 1 FROM px)) a(r), range(0, 50) b(k)) g LEFT JOIN fwon USING ("row", col)""", FILED, SCOUTED))
+def composite_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build from scene files: scouted at an overview, planned by chunk and tile, only planned windows read."""
+    from skyweave.plans import build
+    from skyweave.plans.pipelines import Build
+    from skyweave.plans.shared import kept, shared_folder
+
+    height = pixels(spark, sf_dir).agg(F.max("row") + 1).first()[0]
+    there = grid.Grid(0.0, 0.0, 3000.0, 60.0 * height, 32631, 60.0)
+    assets = kept(_scene_assets(spark, sf_dir, there))
+    reading = build.Reading(aliases={"b0": "b0", "b1": "b1"}, headers=shared_folder(spark))
+    out, _ = build.build_from_scenes(scenes(spark, sf_dir), assets, there, Build(strict=True, scout_factor=2), reading, chunk=10)
+    return out.select("row", "col", "b0", "b1", "scene_index", "quality", "observation_count")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
