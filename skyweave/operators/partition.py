@@ -1,19 +1,21 @@
 """Which tiles a chunk of the grid needs: footprints, intersection and exclusive areas.
 
-Footprints are polygons; a chunk is a rectangle, so clipping a polygon to it is
-exact.  Unions and differences of several footprints inside one chunk are
-counted on pixel centres, which makes the threshold of one pixel exact in
-pixels.
+Footprints are polygons of several rings, which may overlap.  Inside a chunk the
+plane is cut at the heights of all corners and crossings of edges; between two
+of them edges do not cross, so what lies between neighbouring edges is a
+trapezoid that each tile covers whole or not at all.  Sums of trapezoids are the
+exact areas of unions and differences.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.functions.grid import SINUSOIDAL, project_columns, sinusoidal_columns
+from skyweave.operators.ordering import dealt
 
 REQUIRED = "chunk_id int, tiles array<string>, required array<string>, unreachable double"
 
@@ -42,14 +44,95 @@ def area(ring: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
 
 
-def inside(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Points in a polygon, by crossings."""
-    hit = np.zeros(x.shape, bool)
-    for k in range(len(ring)):
-        (xa, ya), (xb, yb) = ring[k - 1], ring[k]
-        if ya != yb:
-            hit ^= ((ya > y) != (yb > y)) & (x < (xb - xa) * (y - ya) / (yb - ya) + xa)
-    return hit
+def _edges(rings: list[np.ndarray]) -> np.ndarray:
+    """(x, y, x, y, ring) of all edges that are not level, the lower end first."""
+    parts = []
+    for k, ring in enumerate(rings):
+        a, b = ring, np.roll(ring, -1, axis=0)
+        up = (a[:, 1] <= b[:, 1])[:, None]
+        parts.append(np.column_stack([np.where(up, a, b), np.where(up, b, a), np.full(len(ring), k)]))
+    edges = np.concatenate(parts) if parts else np.zeros((0, 5))
+    return edges[edges[:, 1] < edges[:, 3]]
+
+
+def _heights(edges: np.ndarray, block: int = 512) -> np.ndarray:
+    """The heights of all ends and crossings of edges, in order; those nearer than rounding are one."""
+    x0, y0, x1, y1 = edges[:, :4].T
+    slope = (x1 - x0) / (y1 - y0)
+    at = x0 - slope * y0
+    found = [y0, y1]
+    for start in range(0, len(edges), block):
+        own = slice(start, start + block)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = (at[None] - at[own, None]) / (slope[own, None] - slope[None])
+        low, high = np.maximum(y0[own, None], y0[None]), np.minimum(y1[own, None], y1[None])
+        found.append(y[(y > low) & (y < high)])
+    every = np.unique(np.concatenate(found))
+    apart = np.diff(every, prepend=-np.inf) > 1e-12 * max(np.abs(every).max(initial=0.0), 1.0)
+    return every[apart]
+
+
+def overlay(rings: list[np.ndarray], owners: list[int], n: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, float]:
+    """(area, exclusive area) of each of ``n`` owners of polygons, and the area of all together.
+
+    An owner covers the union of its rings; a ring that crosses itself covers
+    what an odd number of its turns encloses.
+    """
+    own, alone, whole = np.zeros(n), np.zeros(n), 0.0
+    edges = _edges(rings)
+    if not len(edges):
+        return own, alone, whole
+    heights = _heights(edges)
+    x0, y0, x1, y1 = edges[:, :4].T
+    ring = edges[:, 4].astype(int)
+    of = np.array(owners)[ring]
+    step = max(block // len(edges), 1)
+    for start in range(0, len(heights) - 1, step):
+        low, high = heights[:-1][start : start + step], heights[1:][start : start + step]
+        mid = (low + high)[:, None] / 2
+        x = np.where((y0 < mid) & (y1 > mid), x0 + (x1 - x0) * (mid - y0) / (y1 - y0), np.inf)
+        order = np.argsort(x, axis=1)
+        x = np.take_along_axis(x, order, axis=1)
+        slab = np.arange(len(low))
+        turns = np.zeros((len(low), len(rings)), bool)
+        held = np.zeros((len(low), n), np.int64)  # rings of each owner that hold the place between two edges
+        for k in range(int(np.isfinite(x).sum(1).max()) - 1):
+            here, edge = np.isfinite(x[:, k]), order[:, k]
+            turns[slab, ring[edge]] ^= here
+            held[slab, of[edge]] += np.where(here, np.where(turns[slab, ring[edge]], 1, -1), 0)
+            with np.errstate(invalid="ignore"):
+                size = np.where(np.isfinite(x[:, k + 1]), x[:, k + 1] - x[:, k], 0.0) * (high - low)
+            covers = held > 0
+            several = covers.sum(1)
+            own += (size[:, None] * covers).sum(0)
+            alone += (size[:, None] * (covers & (several == 1)[:, None])).sum(0)
+            whole += float((size * (several > 0)).sum())
+    return own, alone, whole
+
+
+def requirement(box: tuple[float, float, float, float], tiles: dict[str, list[np.ndarray]], least: float) -> tuple[list[str], list[str], float]:
+    """(tiles that a box meets, those it requires, share that no tile covers); ``least``: exclusive area of a required tile."""
+    full = (box[2] - box[0]) * (box[3] - box[1])
+    names, rings, owners = [], [], []
+    corner = np.array([box[0], box[1]])
+    square = np.array([[0.0, 0.0], [box[2] - box[0], 0.0], [box[2] - box[0], box[3] - box[1]], [0.0, box[3] - box[1]]])
+    for tile in sorted(tiles):
+        parts = {part.tobytes(): part for r in tiles[tile] if area(part := clip(r - corner, (0.0, 0.0, *square[2]))) > 0}
+        own = list(parts.values())
+        if any(area(x) >= full * (1 - 1e-12) and len(x) == len(np.unique(x, axis=0)) for x in own):
+            own = [square]  # many scenes of a tile cover a chunk whole: one of them says all
+        if own:
+            rings += own
+            owners += [len(names)] * len(own)
+            names.append(tile)
+    size, alone, whole = overlay(rings, owners, len(names))
+    met = [k for k in range(len(names)) if size[k] > full * 1e-12]
+    # compared to a millionth of a pixel, so that rounding decides no tie
+    tell = {k: round(float(alone[k]) / least, 6) if least else float(alone[k]) for k in met}
+    required = sorted((k for k in met if tell[k] >= (1.0 if least else 0.0)), key=lambda k: (-tell[k], names[k]))
+    if not required and met:
+        required = [min(met, key=lambda k: (-round(float(size[k]) / full, 9), names[k]))]
+    return [names[k] for k in met], [names[k] for k in required], max(0.0, 1.0 - whole / full) if full > 0 else 0.0
 
 
 def footprints(scenes: DataFrame, crs: int | str) -> DataFrame:
@@ -77,10 +160,10 @@ def _met(chunks: DataFrame, tiles: DataFrame, edge: float) -> DataFrame:
     def cells(low: str, high: str) -> Column:
         return F.sequence(F.floor(F.col(low) / edge), F.floor(F.col(high) / edge))
 
-    def dealt(boxes: DataFrame, west: str, south: str, east: str, north: str) -> DataFrame:
+    def in_cells(boxes: DataFrame, west: str, south: str, east: str, north: str) -> DataFrame:
         return boxes.withColumn("cx", F.explode(cells(west, east))).withColumn("cy", F.explode(cells(south, north)))
 
-    both = dealt(chunks, "west", "south", "east", "north").join(dealt(tiles, "x0", "y0", "x1", "y1"), ["cx", "cy"])
+    both = in_cells(chunks, "west", "south", "east", "north").join(in_cells(tiles, "x0", "y0", "x1", "y1"), ["cx", "cy"])
     both = both.where((F.col("west") < F.col("x1")) & (F.col("east") > F.col("x0")) & (F.col("south") < F.col("y1")) & (F.col("north") > F.col("y0")))
     here = (F.floor(F.greatest("west", "x0") / edge) == F.col("cx")) & (F.floor(F.greatest("south", "y0") / edge) == F.col("cy"))
     return both.where(here).select("chunk_id", "tile", "rings")
@@ -89,38 +172,34 @@ def _met(chunks: DataFrame, tiles: DataFrame, edge: float) -> DataFrame:
 def classify(chunks: DataFrame, tiles: DataFrame, resolution: float) -> DataFrame:
     """For every chunk (chunk_id, west, south, east, north) the tiles it meets and those it requires.
 
-    A tile is required if at least one pixel of the chunk lies in it alone; if
-    none is, the one that covers most is, alphabetically first on ties.
-    Required tiles are ordered by exclusive area.  ``unreachable``: the share
-    that no tile covers.  Boxes decide the join, polygons the areas.
+    A tile is required if an area of at least one pixel of the chunk lies in it
+    alone; if none is, the one that covers most is, alphabetically first on
+    ties.  Required tiles are ordered by exclusive area.  ``unreachable``: the
+    share that no tile covers.  Boxes decide the join, polygons the areas; rings
+    of a tile may overlap.
     """
     flat = F.flatten("rings")
     boxed = tiles.select("tile", "rings", *(f(F.transform(flat, lambda p: p[k])).alias(n) for n, f, k in (("x0", F.array_min, 0), ("y0", F.array_min, 1), ("x1", F.array_max, 0), ("y1", F.array_max, 1))))
     # cells about as wide as a tile: a tile is in a few, a chunk mostly in one
     edge = boxed.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0
     met = chunks.join(_met(chunks, boxed, max(float(edge), resolution)), "chunk_id", "left")
-
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        one = group.iloc[0]
-        box = tuple(float(one[c]) for c in ("west", "south", "east", "north"))
-        xs = np.arange(box[0] + resolution / 2, box[2], resolution)
-        ys = np.arange(box[3] - resolution / 2, box[1], -resolution)
-        x, y = np.meshgrid(xs, ys)
-        cover, share = {}, {}
-        for _, row in group.dropna(subset=["tile"]).sort_values("tile").iterrows():
-            rings = [np.array([list(p) for p in r], float) for r in row["rings"]]
-            size = sum(area(clip(r, box)) for r in rings)
-            if size > 0:
-                cover[row["tile"]] = np.logical_or.reduce([inside(r, x, y) for r in rings])
-                share[row["tile"]] = size
-        total = sum((c.astype(int) for c in cover.values()), np.zeros(x.shape, int))
-        alone = {t: int((c & (total == 1)).sum()) for t, c in cover.items()}
-        required = sorted((t for t in cover if alone[t] >= 1), key=lambda t: (-alone[t], t))
-        if not required and cover:
-            required = [min(cover, key=lambda t: (-share[t], t))]
-        return pd.DataFrame([[int(one["chunk_id"]), list(cover), required, float((total == 0).mean()) if total.size else 1.0]], columns=["chunk_id", "tiles", "required", "unreachable"])
-
-    return met.groupBy("chunk_id").applyInPandas(work, REQUIRED)
+    schema = pa.schema([("chunk_id", pa.int32()), ("tiles", pa.list_(pa.string())), ("required", pa.list_(pa.string())), ("unreachable", pa.float64())])
+
+    def work(group: pa.Table) -> pa.Table:
+        told = {c: group[c].to_pylist() for c in ("chunk_id", "west", "south", "east", "north", "tile", "rings")}
+        own: dict[str, list[np.ndarray]] = {}
+        for tile, rings in zip(told["tile"], told["rings"], strict=True):
+            if tile is not None:
+                own.setdefault(tile, []).extend(np.array(r, float) for r in rings)
+        box = tuple(float(told[c][0]) for c in ("west", "south", "east", "north"))
+        return pa.Table.from_pylist([dict(zip(schema.names, (told["chunk_id"][0], *requirement(box, own, resolution * resolution)), strict=True))], schema)
+
+    def reaches(ring: Column) -> Column:
+        x, y = F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
+        return (F.array_max(x) > F.col("west")) & (F.array_min(x) < F.col("east")) & (F.array_max(y) > F.col("south")) & (F.array_min(y) < F.col("north"))
+
+    picked = met.select("chunk_id", *(F.col(c).cast("double").alias(c) for c in ("west", "south", "east", "north")), "tile", F.filter("rings", reaches).alias("rings"))
+    return dealt(picked, "chunk_id").groupBy("chunk_id").applyInArrow(work, REQUIRED)
 
 
 def required_tiles(partition: DataFrame) -> DataFrame:

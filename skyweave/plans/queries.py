@@ -778,21 +778,34 @@ def full_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, *(f"{b}_unc" for b in BANDS), places=4)
 
 
-@query()
+# every scene of a tile has a box of its own; boxes of a tile overlap, and areas come from the cells between all edges
+BOXES = """boxes AS (SELECT tile, (scene_index * 37 % 11) * 24 + CAST(substr(tile, 2) AS INTEGER) * 160 AS x0, (scene_index * 53 % 7) * 16 AS y0, (scene_index * 37 % 11) * 24 + CAST(substr(tile, 2) AS INTEGER) * 160 + 96 + 8 * (scene_index % 5) AS x1, 60 * 10 + 16 * (scene_index % 9) AS y1 FROM scn),
+chunks AS (SELECT chunk_id, col0 * 120 AS west, (row0 - row0 // 6 * 6) * 120 AS south, col0 * 120 + 120 AS east, (row0 - row0 // 6 * 6) * 120 + 120 AS north FROM (SELECT DISTINCT chunk_id, chunk_id % 5 AS col0, chunk_id // 5 AS row0 FROM px)),
+xs AS (SELECT DISTINCT unnest([x0, x1]) AS x FROM boxes UNION SELECT unnest([west, east]) FROM chunks), ys AS (SELECT DISTINCT unnest([y0, y1]) AS y FROM boxes UNION SELECT unnest([south, north]) FROM chunks),
+xc AS (SELECT x AS xa, lead(x) OVER (ORDER BY x) AS xb FROM xs), yc AS (SELECT y AS ya, lead(y) OVER (ORDER BY y) AS yb FROM ys),
+cells AS (SELECT chunk_id, xa, xb, ya, yb, (xb - xa) * (yb - ya) AS a FROM chunks, xc, yc WHERE xa >= west AND xb <= east AND ya >= south AND yb <= north),
+held AS (SELECT DISTINCT chunk_id, xa, ya, a, tile FROM cells JOIN boxes ON x0 <= xa AND x1 >= xb AND y0 <= ya AND y1 >= yb),
+several AS (SELECT *, count(*) OVER (PARTITION BY chunk_id, xa, ya) AS n FROM held),
+areas AS (SELECT chunk_id, tile, sum(a) AS own, coalesce(sum(a) FILTER (n = 1), 0) AS alone FROM several GROUP BY ALL),
+needed AS (SELECT chunk_id, tile, alone FROM areas WHERE alone >= 256 UNION ALL SELECT chunk_id, arg_min(tile, struct_pack(o := -own, t := tile)), 0 FROM areas GROUP BY chunk_id HAVING max(alone) < 256),
+reached AS (SELECT chunk_id, sum(a) AS a FROM (SELECT DISTINCT chunk_id, xa, ya, a FROM held) GROUP BY chunk_id)"""
+
+
+@query(sql("""SELECT chunk_id, coalesce(tiles, '') AS tiles, coalesce(required, '') AS required, round(1 - coalesce(reached.a, 0) / 14400.0, 6) AS unreachable FROM chunks
+  LEFT JOIN (SELECT chunk_id, string_agg(tile, ',' ORDER BY tile) AS tiles FROM areas GROUP BY 1) USING (chunk_id) LEFT JOIN (SELECT chunk_id, string_agg(tile, ',' ORDER BY alone DESC, tile) AS required FROM needed GROUP BY 1) USING (chunk_id) LEFT JOIN reached USING (chunk_id)""", BOXES))
 def tile_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles that chunks need, from polygon footprints."""
+    """Tiles that chunks need, from the footprints of every scene; those of a tile overlap."""
     from skyweave.operators import partition
 
-    chunk = F.col("id").cast("int")  # a five by five layout
-    chunks = spark.range(25).select(chunk.alias("chunk_id"), (chunk % 5 * 512.0).alias("west"), (chunk / 5).cast("int").cast("double").alias("r"))
-    chunks = chunks.select("chunk_id", "west", (F.col("r") * 512).alias("south"), (F.col("west") + 512).alias("east"), (F.col("r") * 512 + 512).alias("north"))
-
-    def box(x0: Column, x1: Column) -> Column:
-        return F.array(*(F.array(x, y) for x, y in ((x0, F.lit(0.0)), (x1, F.lit(100.0)), (x1 + 50, F.lit(2500.0)), (x0 + 50, F.lit(2500.0)))))
-
-    west = F.substring("tile", 2, 9).cast("int") * 600.0
-    tiles = scenes(spark, sf_dir).select("tile").distinct().select("tile", F.array(box(west, west + 750)).alias("rings"))
-    return partition.classify(chunks, tiles, 16.0).withColumn("unreachable", F.round("unreachable", 6))
+    row, col = F.floor(F.col("chunk_id") / 5) % 6, F.col("chunk_id") % 5
+    chunks = pixels(spark, sf_dir).select("chunk_id").distinct().select("chunk_id", (col * 120).alias("west"), (row * 120).alias("south"), (col * 120 + 120).alias("east"), (row * 120 + 120).alias("north"))
+    s, t = F.col("scene_index"), F.substring("tile", 2, 9).cast("int") * 160
+    x0, y0 = s * 37 % 11 * 24 + t, s * 53 % 7 * 16
+    x1, y1 = x0 + 96 + 8 * (s % 5), 60 * 10 + 16 * (s % 9)
+    ring = F.array(*(F.array(x.cast("double"), y.cast("double")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
+    tiles = scenes(spark, sf_dir).groupBy("tile").agg(F.collect_set(ring).alias("rings"))
+    out = partition.classify(chunks, tiles, 16.0)
+    return out.select("chunk_id", F.array_join("tiles", ",").alias("tiles"), F.array_join("required", ",").alias("required"), F.round("unreachable", 6).alias("unreachable"))
 
 
 _EVERY = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM e), l AS (SELECT vec_id AS lk, e AS le FROM e)"

@@ -198,6 +198,49 @@ def test_footprints(spark):
     assert any(abs(p[0] - x) < 1e-6 and abs(p[1] - y) < 1e-6 for ring in got[0]["rings"] for p in ring)
 
 
+def test_rings_of_a_tile_are_united(spark):
+    chunks = spark.createDataFrame([(0, 0.0, 0.0, 100.0, 100.0)], "chunk_id int, west double, south double, east double, north double")
+
+    def box(x0, x1):
+        return [[x0, 0.0], [x1, 0.0], [x1, 100.0], [x0, 100.0]]
+
+    tiles = [("X", [box(0.0, 60.0), box(10.0, 60.0)]), ("Y", [box(-5.0, 105.0)]), ("Z", [box(0.0, 100.0)])]
+    got = partition.classify(chunks, spark.createDataFrame(tiles, "tile string, rings array<array<array<double>>>"), 10.0).first()
+    assert got["tiles"] == ["X", "Y", "Z"] and got["required"] == ["Y"] and got["unreachable"] == 0.0
+
+
+def test_overlay_areas():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    star = np.array([[0, 0], [10, 10], [10, 0], [0, 10]], float)  # crosses itself: two triangles
+    own, alone, whole = partition.overlay([star], [0], 1)
+    assert own[0] == pytest.approx(50.0) and alone[0] == pytest.approx(50.0) and whole == pytest.approx(50.0)
+    own, alone, whole = partition.overlay([np.array([[0, 0], [4, 0], [4, 4], [0, 4]], float), np.array([[2, -2], [6, 2], [2, 6]], float)], [0, 1], 2)
+    assert own.tolist() == pytest.approx([16.0, 16.0]) and alone.tolist() == pytest.approx([8.0, 8.0]) and whole == pytest.approx(24.0)
+    assert partition.overlay([], [], 2)[2] == 0.0 and partition.overlay([np.zeros((4, 2))], [0], 1)[2] == 0.0
+    # boxes on whole numbers against counting cells; then any triangles against sampling
+    for _ in range(30):
+        corners = rng.integers(0, 12, (9, 2, 2))
+        low, high = corners.min(1), corners.max(1) + 1
+        owners = rng.integers(0, 3, 9).tolist()
+        held = np.zeros((3, 14, 14), bool)
+        for (x0, y0), (x1, y1), o in zip(low, high, owners, strict=True):
+            held[o, y0:y1, x0:x1] = True
+        rings = [np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], float) for (x0, y0), (x1, y1) in zip(low, high, strict=True)]
+        own, alone, whole = partition.overlay(rings, owners, 3)
+        assert own.tolist() == pytest.approx(held.sum((1, 2)).tolist()) and alone.tolist() == pytest.approx((held & (held.sum(0) == 1)).sum((1, 2)).tolist()) and whole == pytest.approx(held.any(0).sum())
+    y, x = np.mgrid[0:1:1000j, 0:1:1000j]
+    for _ in range(5):
+        rings, owners = [rng.random((3, 2)) for _ in range(7)], rng.integers(0, 3, 7).tolist()
+        held = np.zeros((3, 1000, 1000), bool)
+        for ring, o in zip(rings, owners, strict=True):
+            signs = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) > 0 for a, b in zip(ring, np.roll(ring, -1, axis=0), strict=True)]
+            held[o] |= np.all(signs, axis=0) | ~np.any(signs, axis=0)
+        own, alone, whole = partition.overlay(rings, owners, 3)
+        assert own.tolist() == pytest.approx(held.mean((1, 2)).tolist(), abs=4e-3) and alone.tolist() == pytest.approx((held & (held.sum(0) == 1)).mean((1, 2)).tolist(), abs=4e-3) and whole == pytest.approx(held.any(0).mean(), abs=4e-3)
+
+
 def test_clipping_is_exact():
     import numpy as np
 
