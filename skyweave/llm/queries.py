@@ -45,7 +45,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn_descent.near_vectors(_table(spark, sf_dir, "embeddings")).drop("recall")
+    return nn_descent.near_vectors(_table(spark, sf_dir, "embeddings")).drop("recall", "audited_links")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

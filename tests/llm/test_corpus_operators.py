@@ -264,6 +264,67 @@ def test_links_between_tight_groups(spark, how):
     assert len(got) == 200 and all((r["n_links"], r["component_id"]) == (199, 0) for r in got)
 
 
+def test_vectors_that_share_an_id(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal(16), rng.standard_normal(16)
+    rows = [(5, a), (5, b), (3, a + 0.01 * rng.standard_normal(16)), (9, b + 0.01 * rng.standard_normal(16))]
+    got = nn_descent.near_vectors(spark.createDataFrame([(i, [float(v) for v in x]) for i, x in rows], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(3, 1, 3), (5, 1, 3), (5, 1, 5), (9, 1, 5)]
+
+
+def test_audit_tells_its_evidence(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(v) for v in rng.standard_normal(32)]) for k in range(3000)]
+    own = np.array([x for _, x in rows])
+    none = nn_descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).first()
+    assert none["recall"] is None and none["audited_links"] == 0
+    # forty isolated links among them: the sample is drawn where links are
+    rows += [(5000 + k, [float(v) for v in own[k] + 0.2 * rng.standard_normal(32)]) for k in range(40)]
+    got = nn_descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    told = got.first()
+    assert told["recall"] == 1.0 and told["audited_links"] >= 60 and got.where("n_links > 0").count() == 80
+
+
+def test_vectors_that_point_one_way_have_no_large_code(spark):
+    rng = np.random.default_rng(2)
+    n, settings = 20000, nn_descent.Settings(cell=256, leaf=96)
+    x = np.sqrt(0.7) * np.eye(32)[0] + np.sqrt(0.3 / 31) * rng.standard_normal((n, 32))  # mean cosine 0.7
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vectors = spark.createDataFrame([(k, 32, x[k].tobytes()) for k in range(n)], "id long, size int, short binary")
+    scratch = shared.Scratch(spark, "t")
+    sample = nn_descent._sample(vectors, settings)
+    # no more than two cells a code, so no vector of a tree has more than two copies; first with few bits, so that codes must be cut
+    for bits in (2, 9):
+        coded = nn_descent._cut(nn_descent._codes(vectors, bits, 1, sample, settings), 1, scratch, settings)
+        sizes = [r["n"] for r in coded.groupBy("tree", "code").agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == n * settings.trees and max(sizes) <= 2 * settings.cell
+        assert coded.groupBy("tree", "id").agg(F.count("*").alias("n")).where("n <> 1").count() == 0
+
+
+def test_lists_grow_while_they_are_full(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(24)
+    rows = [(k, [float(v) for v in centre + 0.05 * rng.standard_normal(24)]) for k in range(150)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept = []
+    plain = nn_descent._lists
+
+    def watched(edges, wide, settings):
+        kept.append(wide)
+        return plain(edges, wide, settings)
+
+    nn_descent._lists = watched
+    try:
+        got = nn_descent.near_vectors(table, nn_descent.Settings(wide=12, widest=96)).collect()
+    finally:
+        nn_descent._lists = plain
+    assert kept[:6] == [12, 12, 12, 24, 48, 96]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.95
+    assert [r["n_links"] for r in sorted(got)] == (link.sum(1) - 1).tolist()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -280,7 +341,7 @@ def test_pipeline(spark):
 def test_registry(spark):
     from skyweave.llm import queries
 
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
