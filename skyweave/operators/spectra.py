@@ -81,7 +81,8 @@ def _best_cosine(x: np.ndarray, library: np.ndarray, left_out: list[list[int]])
 def _met(ask: DataFrame, rows: DataFrame, key: str, find: Callable, keep: int, shipped: int) -> DataFrame:
     """(key, near): the ``keep`` best rows of the library for each query, as (d, lk, t) in order.
 
-    ``ask``: (key, x, own), ``rows``: (lk, x, t), arrays as x and t.
+    ``ask``: (key, x, own), ``rows``: (lk, x, t, g), arrays as x and t; rows whose
+    g is a query's own are left out for it.  An empty library finds nothing.
     """
     ask = ask.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
     rows = rows.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
@@ -97,11 +98,13 @@ def _met(ask: DataFrame, rows: DataFrame, key: str, find: Callable, keep: int, s
     def library_of(table: pa.Table) -> tuple:
         table = table.sort_by("lk")
         names, places = table["lk"].to_pylist(), {}
-        for i, name in enumerate(names):
-            places.setdefault(name, []).append(i)
+        for i, group in enumerate(table["g"].to_pylist()):
+            places.setdefault(group, []).append(i)
         return names, _rows(table["x"]), table["t"].to_pylist(), places
 
     n = rows.limit(shipped + 1).count()
+    if not n:
+        return ask.sparkSession.createDataFrame([], schema)
     if n <= shipped:
         shared = ask.sparkSession.sparkContext.broadcast(library_of(rows.toArrow()))
 
@@ -117,7 +120,7 @@ def _met(ask: DataFrame, rows: DataFrame, key: str, find: Callable, keep: int, s
     tall, wide = -(-asked // BLOCK), -(-rows.count() // BLOCK)
     block, other = F.pmod(F.xxhash64(key), F.lit(tall)).cast("int"), F.pmod(F.xxhash64("lk"), F.lit(wide)).cast("int")
     left = ask.select(key, "x", "own", block.alias("r")).select("*", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("c"))
-    right = rows.select("lk", "x", "t", other.alias("c")).select("*", F.explode(F.sequence(F.lit(0), F.lit(tall - 1))).alias("r"))
+    right = rows.select("lk", "x", "t", "g", other.alias("c")).select("*", F.explode(F.sequence(F.lit(0), F.lit(tall - 1))).alias("r"))
 
     def cell(queries: pa.Table, library: pa.Table) -> pa.Table:
         if not queries.num_rows or not library.num_rows:
@@ -128,17 +131,18 @@ def _met(ask: DataFrame, rows: DataFrame, key: str, find: Callable, keep: int, s
     return parts.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, keep).alias("near"))
 
 
-def knn(queries: DataFrame, library: DataFrame, key: str, library_key: str, anchor: str, target: str, k: int = 10, shipped: int = SHIPPED, own: str | None = None) -> DataFrame:
+def knn(queries: DataFrame, library: DataFrame, key: str, library_key: str, anchor: str, target: str, k: int = 10, shipped: int = SHIPPED, own: str | None = None, group: str | None = None) -> DataFrame:
     """(key, prediction, distance): inverse-distance mean of the targets of the k nearest anchors.
 
     ``anchor`` and ``target`` are array columns; rows whose anchor is null or
     holds nulls are passed over.  Weights are 1 / (d + 1e-6); ties go to the
     least library key; ``distance`` is that of the nearest.  ``own``: a column of
     ``queries`` with the library key that is left out for the row, so that a
-    table can be asked against its own other rows.
+    table can be asked against its own other rows; with ``group``, a column of
+    the library, all rows of that group are left out, such as those of a fold.
     """
-    rows = library.select(F.col(library_key).alias("lk"), F.col(anchor).cast("array<double>").alias("x"), F.col(target).cast("array<double>").alias("t"))
-    left_out = F.lit(None).cast(rows.schema["lk"].dataType) if own is None else F.col(own)
+    rows = library.select(F.col(library_key).alias("lk"), F.col(anchor).cast("array<double>").alias("x"), F.col(target).cast("array<double>").alias("t"), F.col(group or library_key).alias("g"))
+    left_out = F.lit(None).cast(rows.schema["g"].dataType) if own is None else F.col(own)
     ask = queries.select(key, F.col(anchor).cast("array<double>").alias("x"), left_out.alias("own"))
     found = _met(ask, rows, key, _nearest(k), k, shipped)
     weight = F.transform("near", lambda x: 1 / (x["d"] + 1e-6))
@@ -151,10 +155,10 @@ def knn(queries: DataFrame, library: DataFrame, key: str, library_key: str, anch
     return found.where(F.size("near") > 0).select(key, prediction.alias("prediction"), F.get("near", F.lit(0))["d"].alias("distance"))
 
 
-def reconstruction_residual(queries: DataFrame, library: DataFrame, key: str, library_key: str, bands: str, k: int = 10, own: str | None = None) -> DataFrame:
+def reconstruction_residual(queries: DataFrame, library: DataFrame, key: str, library_key: str, bands: str, k: int = 10, own: str | None = None, group: str | None = None) -> DataFrame:
     """(key, rmse, residual): how far the mean of the ``k`` nearest is from the row itself, in all and by band."""
     rows = library.withColumn("_t", F.col(bands))
-    found = knn(queries, rows, key, library_key, bands, "_t", k, own=own).join(queries.select(key, F.col(bands).alias("_x")), key)
+    found = knn(queries, rows, key, library_key, bands, "_t", k, own=own, group=group).join(queries.select(key, F.col(bands).alias("_x")), key)
     apart = F.transform(F.arrays_zip(F.col("_x").alias("a"), F.col("prediction").alias("b")), lambda z: F.abs(z["a"] - z["b"]))
     square = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
     return found.select(key, F.sqrt(square / F.size("_x")).alias("rmse"), apart.alias("residual"))
@@ -164,15 +168,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_match(queries: DataFrame, library: DataFrame, key: str, library_key: str, spectrum: str, own: str | None = None, shipped: int = SHIPPED) -> DataFrame:
+def cosine_match(queries: DataFrame, library: DataFrame, key: str, library_key: str, spectrum: str, own: str | None = None, shipped: int = SHIPPED, group: str | None = None) -> DataFrame:
     """(key, match, gain): the library spectrum of greatest cosine, and the brightness that scales it.
 
     Ties go to the least library key; null spectra, those with nulls and library
     spectra of zeros match nothing.  ``own``: as in ``knn``.
     """
     spectra = F.col(spectrum).cast("array<double>")
-    rows = library.select(F.col(library_key).alias("lk"), spectra.alias("x"), spectra.alias("t"))
-    left_out = F.lit(None).cast(rows.schema["lk"].dataType) if own is None else F.col(own)
+    rows = library.select(F.col(library_key).alias("lk"), spectra.alias("x"), spectra.alias("t"), F.col(group or library_key).alias("g"))
+    left_out = F.lit(None).cast(rows.schema["g"].dataType) if own is None else F.col(own)
     ask = queries.select(key, spectra.alias("x"), left_out.alias("own"))
     best = _met(ask, rows, key, _best_cosine, 1, shipped).where(F.size("near") > 0).select(key, F.get("near", F.lit(0)).alias("w"))
     both = best.join(ask.select(key, "x"), key)

@@ -381,11 +381,12 @@ def empty_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("chunk_id").distinct().join(good.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
-@query("SELECT y AS year, m AS month, strftime(last_day(make_date(y, m, 1)), '%Y-%m-%d') AS month_end, format('{:04d}-{:02d}', y, m) AS period FROM (SELECT DISTINCT unnest([1997, 1995, 1997, 1996]) AS y), (SELECT DISTINCT unnest([7, 2, 12, 2]) AS m)")
+@query("SELECT y AS year, m AS month, strftime(last_day(make_date(y, m, 1)), '%Y-%m-%d') AS month_end, format('{:04d}-{:02d}', y, m) AS period FROM (SELECT DISTINCT year(o_orderdate)::INTEGER AS y FROM orders), (SELECT DISTINCT month(o_orderdate)::INTEGER AS m FROM orders)")
 def period_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skyweave.plans.pipelines import periods
+    """Every month of every year that the orders are of."""
+    from skyweave.plans.pipelines import periods_of
 
-    return periods(spark, [1997, 1995, 1997, 1996], [7, 2, 12, 2]).withColumn("month_end", F.col("month_end").cast("string"))
+    return periods_of(table(spark, sf_dir, "orders"), F.col("o_orderdate")).withColumn("month_end", F.col("month_end").cast("string"))
 
 
 @query(sql(f"""SELECT pid, period, w.b0 AS b0, w.scene_index AS scene_index, n AS observation_count FROM (SELECT pid, period, arg_min(struct_pack(b0 := b0, scene_index := scene_index), {SCORE}) AS w, count(*) AS n FROM obs WHERE {STRICT} GROUP BY ALL)"""))
@@ -407,11 +408,12 @@ def first_scene_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scene_ids(spark, sf_dir).groupBy("tile", F.col("day").cast("string").alias("day")).agg(F.min("scene_index").alias("scene_index"))
 
 
-@query(sql("SELECT id, row_number() OVER (ORDER BY strftime(day, '%Y-%m-%d'), id, scene_index) - 1 AS position FROM ids ORDER BY position LIMIT 200", SCENE_IDS))
+@query(sql("SELECT id, row_number() OVER (ORDER BY strftime(day, '%Y-%m-%d'), id, scene_index) - 1 AS position FROM ids", SCENE_IDS))
 def ordered_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first scenes by time and id; the limit is the operator's."""
-    few = _scene_ids(spark, sf_dir).orderBy("day", "id", "scene_index").limit(200)
-    return few.select("id", (F.row_number().over(Window.orderBy("day", "id", "scene_index")) - 1).alias("position"))
+    """The position of every listing by time, id and scene, repeated ids included."""
+    from skyweave.operators.ordering import numbered
+
+    return numbered(_scene_ids(spark, sf_dir), F.col("day"), ["day", "id", "scene_index"], "position").select("id", "position")
 
 
 @query(sql("SELECT id, row_number() OVER (ORDER BY strftime(day, '%Y-%m-%d'), id) - 1 AS position FROM (SELECT DISTINCT id, day FROM ids)", SCENE_IDS))
@@ -525,27 +527,28 @@ def _every_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spectra(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = _every_spectrum(spark, sf_dir)
-    return rows.where("vec_id % 5 = 0"), rows.where("vec_id % 5 <> 0")
+    """Every row, and the library of every row; of five folds a row meets the other four."""
+    rows = _every_spectrum(spark, sf_dir).withColumn("fold", F.col("vec_id") % 5)
+    return rows, rows.withColumnRenamed("vec_id", "lk")
 
 
-_SPECTRA = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 5 = 0), l AS (SELECT vec_id AS lk, e AS le FROM e WHERE vec_id % 5 <> 0)"
+_SPECTRA = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM e), l AS (SELECT vec_id AS lk, e AS le FROM e)"
 
 
-@query(f"""WITH {_SPECTRA}, d AS (SELECT vec_id, lk, le, list_distance(e[4:7], le[4:7]) AS d FROM q, l),
+@query(f"""WITH {_SPECTRA}, d AS (SELECT vec_id, lk, le, list_distance(e[4:7], le[4:7]) AS d FROM q JOIN l ON lk % 5 <> vec_id % 5),
   k AS (SELECT *, 1 / (d + 1e-6) AS w FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, lk) <= 10)
   SELECT vec_id, round(sum(w * le[1]) / sum(w), 6) AS t0, round(sum(w * le[2]) / sum(w), 6) AS t1, round(sum(w * le[3]) / sum(w), 6) AS t2, round(min(d), 6) AS distance FROM k GROUP BY 1""")
 def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask, library = _spectra(spark, sf_dir)
-    out = spectra.knn(ask, library.withColumnRenamed("vec_id", "lk"), "vec_id", "lk", "anchor", "target")
+    out = spectra.knn(ask, library, "vec_id", "lk", "anchor", "target", own="fold", group="fold")
     return out.select("vec_id", *(F.round(F.col("prediction")[k], 6).alias(f"t{k}") for k in range(3)), F.round("distance", 6).alias("distance"))
 
 
-@query(f"""WITH {_SPECTRA}, s AS (SELECT vec_id, lk, list_inner_product(e[1:7], le[1:7]) AS yl, list_inner_product(le[1:7], le[1:7]) AS ll FROM q, l)
+@query(f"""WITH {_SPECTRA}, s AS (SELECT vec_id, lk, list_inner_product(e[1:7], le[1:7]) AS yl, list_inner_product(le[1:7], le[1:7]) AS ll FROM q JOIN l ON lk % 5 <> vec_id % 5)
   SELECT vec_id, arg_max(lk, struct_pack(s := yl / sqrt(ll), m := -lk)) AS match, round(arg_max(yl / ll, struct_pack(s := yl / sqrt(ll), m := -lk)), 6) AS gain FROM s GROUP BY 1""")
 def cosine_1nn_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask, library = _spectra(spark, sf_dir)
-    return rounded(spectra.cosine_match(ask, library.withColumnRenamed("vec_id", "lk"), "vec_id", "lk", "spectrum"), "gain")
+    return rounded(spectra.cosine_match(ask, library, "vec_id", "lk", "spectrum", own="fold", group="fold"), "gain")
 
 
 @query(sql("""SELECT chunk_id, arg_min(cand, struct_pack(c := c, k := cand)) AS cand, round(min(c), 6) AS cost FROM (SELECT chunk_id, cand, avg((b2 - cand / 200.0) ** 2 + 0.001 * abs(cs - cand / 20.0)) AS c FROM obs, range(0, 20) t(cand) GROUP BY ALL) GROUP BY 1"""))
@@ -631,14 +634,14 @@ def library_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.forall("s", lambda x: quality.finite(x) & (F.abs(x) > 0.001)) & (F.array_max("s") < 0.4)).select("vec_id")
 
 
-@query(f"""WITH {_SPECTRA}, d AS (SELECT vec_id, lk, le, e, list_distance(e[4:7], le[4:7]) AS d FROM q, l),
+@query(f"""WITH {_SPECTRA}, d AS (SELECT vec_id, lk, le, e, list_distance(e[4:7], le[4:7]) AS d FROM q JOIN l ON lk % 5 <> vec_id % 5),
   k AS (SELECT *, 1 / (d + 1e-6) AS w FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, lk) <= 10),
   p AS (SELECT vec_id, any_value(e) AS e, sum(w * le[4]) / sum(w) AS p4, sum(w * le[5]) / sum(w) AS p5, sum(w * le[6]) / sum(w) AS p6, sum(w * le[7]) / sum(w) AS p7 FROM k GROUP BY 1)
   SELECT vec_id, round(sqrt(((e[4] - p4) ** 2 + (e[5] - p5) ** 2 + (e[6] - p6) ** 2 + (e[7] - p7) ** 2) / 4), 6) AS rmse FROM p""")
 def knn_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well neighbours reproduce the anchors themselves."""
     ask, library = _spectra(spark, sf_dir)
-    return rounded(spectra.reconstruction_residual(ask, library.withColumnRenamed("vec_id", "lk"), "vec_id", "lk", "anchor").select("vec_id", "rmse"), "rmse")
+    return rounded(spectra.reconstruction_residual(ask, library, "vec_id", "lk", "anchor", own="fold", group="fold").select("vec_id", "rmse"), "rmse")
 
 
 @query(f"""WITH {_SPECTRA}, p AS (SELECT a.e AS x, b.e AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
@@ -658,11 +661,11 @@ l AS (SELECT *, q + 2 * p * cos(acos(r) / 3 + 2 * pi() / 3) AS l FROM r),
 v AS (SELECT *, d * f - e * (b - l) AS v0, e * d - (a - l) * f AS v1, (a - l) * (b - l) - d * d AS v2 FROM l)"""
 
 
-@query(sql("SELECT l_orderkey, l_linenumber, l_partkey, round(abs((b0 - m0) * v0 + (b1 - m1) * v1 + (b2 - m2) * v2) / sqrt(3 * (v0 * v0 + v1 * v1 + v2 * v2)), 5) AS residual FROM (SELECT l_orderkey, l_linenumber, l_partkey, b0, b1, b2 FROM whole), (SELECT m0, m1, m2, v0, v1, v2 FROM v)", _THIRD))
+@query(sql("SELECT l_orderkey, l_linenumber, l_partkey, round(abs((b0 - m0) * v0 + (b1 - m1) * v1 + (b2 - m2) * v2) / sqrt(3 * (v0 * v0 + v1 * v1 + v2 * v2)), 5) AS residual FROM (SELECT l_orderkey, l_linenumber, l_partkey, b0, b1, b2 FROM obs), (SELECT m0, m1, m2, v0, v1, v2 FROM v)", _THIRD))
 def pca_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of every whole observation from the subspace of two components: of three bands, along the third component."""
-    obs = observations(spark, sf_dir, ordered=False).select("l_orderkey", "l_linenumber", "l_partkey", *BANDS).dropna(subset=list(BANDS))
-    mean, parts, _ = spectra.principal_components(obs, list(BANDS))
+    """Distance of every observation from the subspace of two components, fitted on whole ones: of three bands, along the third; null where a band is."""
+    obs = observations(spark, sf_dir, ordered=False).select("l_orderkey", "l_linenumber", "l_partkey", *BANDS)
+    mean, parts, _ = spectra.principal_components(obs.dropna(subset=list(BANDS)), list(BANDS))
     return rounded(spectra.subspace_residual(obs, list(BANDS), mean, parts[:2]).drop(*BANDS), "residual", places=5)
 
 

@@ -113,6 +113,26 @@ def test_asof_ties_and_tolerance(spark):
     assert means == {1: (10.5, 2), 2: (None, 0)}
 
 
+@pytest.mark.parametrize("tolerance", [0, 7, 50])
+def test_asof_and_means_equal_all_pairs(spark, tolerance):
+    rng = random.Random(tolerance)
+    times = [float(rng.randrange(-200, 200)) for _ in range(300)] + [rng.uniform(-60, 60) for _ in range(60)] + [10.0] * 200 + [None] * 3
+    left = [(rng.randrange(500), t) for t in times]
+    right = [(rng.randrange(60), t, rng.choice([None, 1.0, 2.5, -4.0])) for t in (times[::2] + [rng.uniform(-300, 300) for _ in range(40)])]
+    lf, rf = spark.createDataFrame(left, "k int, t double").repartition(3), spark.createDataFrame(right, "m int, u double, v double").repartition(3)
+    pairs = [(k, t, m, u, v) for k, t in left for m, u, v in right if t is not None and u is not None and abs(t - u) <= tolerance]
+    want = {}
+    for k, t, m, u, _ in pairs:
+        want[k] = min(want.get(k, (1e9, 0)), (abs(t - u), m))
+    got = {r["k"]: (r["gap"], r["m"]) for r in asof.nearest(lf, rf, "k", F.col("t"), F.col("u"), ["m"], "m", tolerance).collect()}
+    assert got == want
+    means = {r["k"]: (r["mean"], r["n"]) for r in asof.interval_mean(lf, rf, "k", F.col("t"), F.col("u"), "v", tolerance).collect()}
+    held = {k: [v for a, _, _, _, v in pairs if a == k and v is not None] for k, _ in left}
+    assert set(means) == set(held)
+    for k, values in held.items():
+        assert means[k][1] == len(values) and (not values or abs(means[k][0] - sum(values) / len(values)) < 1e-9)
+
+
 def test_comparison(spark):
     a = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, None), (3, 4.0)], "p int, v double")
     b = spark.createDataFrame([(0, 1.0), (1, 2.1), (2, 3.0), (3, None)], "p int, v double")
@@ -270,6 +290,15 @@ def test_sidecars_and_positions(spark):
         asof.by_position(rows.withColumn("xap", F.slice("xap", 1, 1)), ["name", "xap"]).collect()
 
 
+def test_empty_spectral_library(spark):
+    rows = spark.createDataFrame([(1, [0.0, 1.0])], "k int, e array<double>")
+    none = rows.limit(0).withColumnRenamed("k", "l").withColumn("t", F.col("e"))
+    for shipped in (0, 100):
+        assert spectra.knn(rows, none, "k", "l", "e", "t", shipped=shipped).count() == 0
+        assert spectra.cosine_match(rows, none, "k", "l", "e", shipped=shipped).count() == 0
+    assert spectra.knn(rows.limit(0), rows.withColumnRenamed("k", "l").withColumn("t", F.col("e")), "k", "l", "e", "t").count() == 0
+
+
 def test_residual_by_band(spark):
     from skyweave.operators import spectra
 
