@@ -40,7 +40,7 @@ class Settings:
     threshold: float = 0.95
     near: int = 8
     wide: int = 48
-    widest: int = 192
+    widest: int = 96
     trees: int = 8
     leaf: int = 96
     cell: int = 1024
