@@ -152,6 +152,36 @@ def test_fold_equals_all_at_once(spark, obs, tmp_path):
     assert state.current().exceptAll(whole).count() == 0 and whole.exceptAll(state.current()).count() == 0
 
 
+def test_only_touched_chunks_are_written(spark, obs, tmp_path):
+    bands = ["b0", "b1", "b2"]
+    rows = obs.withColumn("quality", F.col("scl")).select("chunk_id", "pid", "quality", "day", "scene_index", *bands)
+    state = fold.ChunkedComposite(spark, f"file://{tmp_path}/state", ["pid"], bands)
+    assert state.current() is None
+    state.take(rows.limit(0), 0)
+    assert state.current() is None
+    state.take(rows.where("scene_index % 3 = 0"), 1)
+    chunks = sorted(r["chunk_id"] for r in rows.select("chunk_id").distinct().collect())
+    held = lambda: sorted((p.parent.name, p.name) for p in (tmp_path / "state" / "parts").glob("v=*/chunk_id=*"))
+    assert held() == [("v=1", f"chunk_id={c}") for c in chunks]
+    state.take(rows.where(f"scene_index % 3 = 1 and chunk_id = {chunks[0]}"), 2)
+    assert [x for x in held() if x[0] == "v=2"] == [("v=2", f"chunk_id={chunks[0]}")]  # one chunk is written
+    state.take(rows.where(f"scene_index % 3 = 1 and chunk_id = {chunks[0]}"), 2)  # a batch again
+    rest = rows.where(f"scene_index % 3 = 2 or (scene_index % 3 = 1 and chunk_id <> {chunks[0]})")
+    state.take(rest, 3)
+    assert not [x for x in held() if x == ("v=1", f"chunk_id={chunks[0]}")]  # superseded before batch 3 began
+    whole = fold.winners(rows, ["chunk_id", "pid"], bands)
+    got = state.current()
+    assert got.exceptAll(whole).count() == 0 and whole.exceptAll(got).count() == 0
+    # a version whose list is not complete does not count
+    import shutil
+
+    shutil.copytree(tmp_path / "state" / "parts" / "v=2", tmp_path / "state" / "parts" / "v=4")
+    shutil.copytree(tmp_path / "state" / "manifest" / "v=2", tmp_path / "state" / "manifest" / "v=4")
+    (tmp_path / "state" / "manifest" / "v=4" / "_SUCCESS").unlink()
+    got = state.current()
+    assert got.exceptAll(whole).count() == 0 and whole.exceptAll(got).count() == 0
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
