@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
 
 from skyweave.functions.grid import Grid
 from skyweave.plans import pipelines, store
@@ -39,6 +40,8 @@ def parser() -> argparse.ArgumentParser:
         own.add_argument("--offset", type=int, default=0, help="taken off valid values")
         own.add_argument("--max-scenes", type=int)
         own.add_argument("--headers", help="folder in which parsed headers stay")
+        own.add_argument("--scouts", help="folder in which shares of scouted scenes stay")
+        own.add_argument("--tiff", help="folder for one file of each band, of quality, count and scene, and the seconds of each step")
         own.add_argument("--chunk", type=int, default=512)
         if name == "build":
             own.add_argument("--rebuild", action="store_true")
@@ -57,7 +60,7 @@ def _from_catalogue(spark, told, grid: Grid, how: pipelines.Build):
     lost = [b for b in (*told.bands, "scl") if b not in aliases]
     if lost or not told.collection or not ranges:
         raise SystemExit(f"a catalogue needs --collection, --temporal-range and an --asset for every band and scl (without one: {', '.join(lost) or 'none'})")
-    reading = build.Reading({b: aliases[b] for b in (*told.bands, "scl")}, headers=told.headers, offset="offset" if told.offset else None)
+    reading = build.Reading({b: aliases[b] for b in (*told.bands, "scl")}, headers=told.headers, scouts=told.scouts, offset="offset" if told.offset else None)
     items = catalog.read_items(spark, told.catalogue)
     out, _ = build.build_from_items(items, grid, how, reading, told.collection, ranges, told.chunk, max_scenes=told.max_scenes, offset=told.offset)
     return out.select((F.col("row").cast("long") * grid.width + F.col("col")).alias("pid"), *(c for c in out.columns if c not in ("row", "col")))
@@ -78,6 +81,20 @@ def _from_manifest(spark, path: str, bands: list[str], grid: Grid, how: pipeline
     return compose.full_grid(_pids(spark, grid), won, ["pid"], {"scene_index": -1, "quality": 65535, "observation_count": 0})
 
 
+def _files(product, grid: Grid, bands: list[str], folder: str) -> dict[str, str]:
+    """The files of a stored product: bands encoded where they are not whole numbers yet, quality, count and scene."""
+    from pyspark.sql import functions as F
+
+    from skyweave.functions import codec
+    from skyweave.plans import export
+
+    kinds = dict(product.dtypes)
+    own = [F.col(b).cast("int").alias(b) if kinds[b] in ("int", "bigint", "smallint") else codec.encode(F.col(b)).alias(b) for b in bands]
+    scene = F.when(F.col("scene_index") >= 0, F.col("scene_index")).cast("int").alias("selected")
+    pixels = product.select(F.floor(F.col("pid") / grid.width).cast("int").alias("row"), (F.col("pid") % grid.width).cast("int").alias("col"), *own, "quality", F.col("observation_count").cast("int").alias("count"), scene)
+    return {r["band"]: r["path"] for r in export.band_files(pixels, grid, [*bands, "quality", "count", "selected"], folder).collect()}
+
+
 def _pids(spark, grid: Grid):
     return grid.pixels(spark).selectExpr(f"cast(row as bigint) * {grid.width} + col as pid")
 
@@ -101,11 +118,17 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     provider.store = store.Store(spark, told.store)
     if told.command == "build":
+        began, took = time.perf_counter(), {}
         if told.observations:
             provider.build(request, spark.read.parquet(told.observations), _pids(spark, grid), told.rebuild)
         else:
             made = (lambda: _from_catalogue(spark, told, grid, how)) if told.catalogue else (lambda: _from_manifest(spark, told.manifest, told.bands, grid, how))
             provider.keep(request, made, told.rebuild)
+        took["build"] = round(time.perf_counter() - began, 3)
+        if told.tiff:
+            began = time.perf_counter()
+            files = _files(provider.store.load(request.hash()), grid, told.bands, told.tiff)
+            print(json.dumps({"files": files, "seconds": took | {"files": round(time.perf_counter() - began, 3)}}))
     print(json.dumps(provider.store.item(request.hash())))
     return 0
 

@@ -926,6 +926,46 @@ def composite_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row", "col", "b0", "b1", "scene_index", "quality", "observation_count")
 
 
+@query(sql("""SELECT 'v' AS band, lv AS level, "row" // p AS "row", col // p AS col, v AS value FROM src, (SELECT unnest([0, 1, 2]) AS lv, unnest([1, 2, 4]) AS p) WHERE "row" % p = 0 AND col % p = 0
+  UNION ALL SELECT 'm', 0, "row", col, v FROM src UNION ALL SELECT 'm', 1, "row", col, v FROM once UNION ALL SELECT 'm', 2, "row" // 2, col // 2, CAST(floor(avg(v) + 0.5) AS INTEGER) FROM once GROUP BY ALL""",
+  SRC, """once AS (SELECT "row" // 2 AS "row", col // 2 AS col, CAST(floor(avg(v) + 0.5) AS INTEGER) AS v FROM src GROUP BY ALL)"""))
+def raster_file_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file a band, made in parallel, with overviews by every second pixel and by means; read back at all levels."""
+    from skyweave.plans import export
+    from skyweave.sources import rasters
+
+    source = _source(spark, sf_dir)
+    height = source.agg(F.max("row") + 1).first()[0]
+    there = grid.Grid(0.0, 0.0, 3000.0, 60.0 * height, 32631, 60.0)
+    files = export.band_files(source.withColumn("m", F.col("v")), there, ["v", "m"], export.shared_folder(spark), tile=16, levels=2, mean=("m",))
+    paths = [r["path"] for r in files.select("path").collect()]  # two
+    out = None
+    for level in range(3):
+        own = rasters.read_tiff(spark, paths, 2.0**level).where("value <> 65535").select(F.regexp_extract("path", r"(\w+)\.tif$", 1).alias("band"), F.lit(level).alias("level"), "row", "col", "value")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(sql("""SELECT "row", col, CASE WHEN b0 < 3000 THEN b0 END AS b0, CASE WHEN b1 < 700 THEN b1 END AS b1, CASE WHEN b0 < 3000 AND b1 < 700 THEN greatest(q0, q1) ELSE 255 END AS quality FROM landed""",
+  """landed AS (SELECT "row", col, CAST(pid % 3100 AS DOUBLE) AS b0, CAST(pid * 7 % 900 AS DOUBLE) AS b1, CAST(pid % 4 AS INTEGER) AS q0, CAST(pid // 5 % 3 AS INTEGER) AS q1 FROM px)"""))
+def landed_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of several samples, two bands and their quality layers, written as it lands and read with layers matched by name."""
+    from skyweave.plans import export
+    from skyweave.sources import catalog, rasters
+
+    height = pixels(spark, sf_dir).agg(F.max("row") + 1).first()[0]
+    there = grid.Grid(0.0, 0.0, 3000.0, 60.0 * height, 32631, 60.0)
+    b0, b1 = F.col("pid") % 3100, F.col("pid") * 7 % 900
+    rows = pixels(spark, sf_dir).select("row", "col", F.when(b0 < 3000, b0).alias("b0"), F.when(b1 < 700, b1).alias("b1"), (F.col("pid") % 4).alias("q0"), (F.floor(F.col("pid") / 5) % 3).alias("q1"))
+    layers = catalog.band_selection(["b0", "b1"], {"b0": "b0", "b1": "b1"}, {"b0": "q0", "b1": "q1"})
+    files = export.written(export.stack_files(rows, there, layers, rows=16, strip=8), export.shared_folder(spark))
+    read = rasters.read_stack(spark, [r["path"] for r in files.select("path").collect()], layers)
+    row = F.regexp_extract("path", r"stack-(\d+)-0\.tif$", 1).cast("int") + F.col("row")
+    whole = F.col("b0").isNotNull() & F.col("b1").isNotNull()
+    worst = F.when(whole, quality.merged(F.col("q0"), F.col("q1")).cast("int")).otherwise(255)
+    return read.select(row.alias("row"), "col", "b0", "b1", worst.alias("quality"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
