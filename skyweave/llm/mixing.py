@@ -122,11 +122,17 @@ def _split(quotas: Column, node: Column, settings: Settings) -> Column:
     return F.aggregate(quotas, first, of_source, lambda s: s["drawn"])
 
 
+#: Level of the splitting tree from which on its nodes are dealt to all tasks.
+SPREAD = 4
+
+
 def shard_quotas(quotas: DataFrame, levels: int, settings: Settings) -> DataFrame:
     """(source, shard, n): the blocks of every source in every shard, from (source, n), by the splitting tree."""
     own = F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", F.col("n").cast("long").alias("n"))))
     nodes = quotas.groupBy().agg(F.transform(own, lambda q: F.struct(q["source"].alias("source"), q["n"].alias("n"))).alias("quotas")).select(F.lit(1).cast("long").alias("node"), "quotas")
-    for _ in range(levels):
+    for level in range(levels):
+        if level == SPREAD:
+            nodes = nodes.repartition(2 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
         drawn = nodes.withColumn("drawn", _split(F.col("quotas"), F.col("node"), settings))
         left = F.zip_with("quotas", "drawn", lambda q, d: F.struct(q["source"].alias("source"), d.alias("n")))
         right = F.zip_with("quotas", "drawn", lambda q, d: F.struct(q["source"].alias("source"), (q["n"] - d).alias("n")))
