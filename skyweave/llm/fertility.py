@@ -18,19 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyweave.llm.shared import Scratch
 from skyweave.llm.text_kernel import SPACE, byte_runs, texts_of, tidy
 from skyweave.llm.word_cache import WordCache
 
 #: (least characters per token, most; most byte-fallback share; least bits of token entropy, most) for
-#: each vocabulary (piece_bpe_32k.model, byte_bpe_multi_50k.tiktoken), by language, then by script.
-#: The least characters per token of a language lie where its labelled good and bad texts of the test
-#: tables part; those of other scripts are well below what a public sentence in a language of the
-#: script has (the first article of the Universal Declaration of Human Rights).
+#: each vocabulary (piece_bpe_32k.model, byte_bpe_multi_50k.tiktoken), by script: well below and above
+#: what a public sentence in a language of the script has (the first article of the Universal
+#: Declaration of Human Rights).  Languages with labelled texts get a band of their own (``part_bands``).
 BANDS = {
-    "en": ((1.84, 8.0, 0.02, 5.3, 12.0), (1.87, 8.0, 0.05, 5.3, 12.0)),
-    "de": ((1.83, 8.0, 0.02, 5.3, 12.0), (1.96, 8.0, 0.05, 5.3, 12.0)),
-    "fr": ((1.71, 8.0, 0.02, 5.3, 12.0), (1.72, 8.0, 0.05, 5.3, 12.0)),
-    "es": ((1.70, 8.0, 0.02, 5.3, 12.0), (1.78, 8.0, 0.05, 5.3, 12.0)),
     "script:latin": ((1.6, 8.0, 0.05, 5.0, 12.0), (1.6, 8.0, 0.1, 5.0, 12.0)),
     "script:cyrillic": ((1.3, 8.0, 0.05, 4.8, 13.0), (1.5, 8.0, 0.1, 4.8, 13.0)),
     "script:greek": ((0.6, 8.0, 0.1, 4.2, 13.0), (1.0, 8.0, 0.15, 4.8, 13.0)),
@@ -232,7 +228,32 @@ def fit_bands(measured: DataFrame, labels: DataFrame, vocabularies: int, tail: f
     return {r["lang"]: tuple((r[f"chars_per_token{k}_0"], r[f"chars_per_token{k}_1"], r[f"byte_share{k}_1"], r[f"entropy{k}_0"], r[f"entropy{k}_1"]) for k in range(vocabularies)) for r in rows}
 
 
-def fertility(docs: DataFrame, vocabularies: str | Sequence[str], bands: dict[str, tuple] | None = None) -> DataFrame:
+def part_bands(measured: DataFrame, labels: DataFrame, vocabularies: int, tail: float = 0.002, bad_tail: float = 0.02, least: int = 20) -> dict[str, tuple]:
+    """Bands that part labelled good from bad texts, of every language with ``least`` good ones that pass the base rule.
+
+    The least characters per token lie midway between what all but ``tail`` of
+    the good texts exceed and all but ``bad_tail`` of the bad ones stay under;
+    without five bad ones, at the former.  Other limits are those of the script
+    that most good texts are in, as they part nothing.  ``measured``: as
+    ``measures`` gives; ``labels``: (doc_id, quality).  One aggregation over all
+    labelled rows; the driver sees a row for each language.
+    """
+    told = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").distinct()
+    both = measured.where("not base_failed and lang is not null").join(told, "doc_id")
+    good, bad = F.col("quality") == 1, F.col("quality") == 0
+    limits = [F.count_if(good).alias("n"), F.count_if(bad).alias("bad"), F.mode(F.when(good, F.col("script"))).alias("script")]
+    for k in range(vocabularies):
+        limits.append(F.percentile_approx(F.when(good, F.col(f"chars_per_token{k}")), tail, 10_000).alias(f"good{k}"))
+        limits.append(F.percentile_approx(F.when(bad, F.col(f"chars_per_token{k}")), 1 - bad_tail, 10_000).alias(f"bad{k}"))
+    out = {}
+    for r in both.groupBy("lang").agg(*limits).where(F.col("n") >= least).collect():
+        rest = BANDS.get(f"script:{r['script']}", BANDS["script:other"])
+        low = [(r[f"good{k}"] + r[f"bad{k}"]) / 2 if r["bad"] >= 5 else r[f"good{k}"] for k in range(vocabularies)]
+        out[r["lang"]] = tuple((low[k], *rest[min(k, len(rest) - 1)][1:]) for k in range(vocabularies))
+    return out
+
+
+def fertility(docs: DataFrame, vocabularies: str | Sequence[str], bands: dict[str, tuple] | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Quality measures and verdict for each row of ``docs`` (doc_id, text, lang).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -243,12 +264,17 @@ def fertility(docs: DataFrame, vocabularies: str | Sequence[str], bands: dict[st
     in repeated windows of three.  ``kept``: base passed and all measures of
     every vocabulary inside the band.  Null and empty texts have zeros and fail;
     a null or unknown language takes its script's band; repeated rows are
-    measured each; other columns are ignored.  One pass without a shuffle;
-    memory is bounded by a run of texts and the word cache.
+    measured each; other columns are ignored.  With ``labels`` (doc_id, quality)
+    languages that have enough of them get bands from them (``part_bands``); the
+    measures are written once, to the shared folder.  Without, one pass and no
+    shuffle.  Memory is bounded by a run of texts and the word cache.
     """
     vocabularies = [vocabularies] if isinstance(vocabularies, str) else list(vocabularies)
-    table = bands or BANDS
-    out = with_band(measures(docs, vocabularies), table)
+    table, measured = bands or BANDS, measures(docs, vocabularies)
+    if labels is not None:
+        measured = Scratch(docs.sparkSession, "fertility").keep(measured)
+        table = table | part_bands(measured, labels, len(vocabularies))
+    out = with_band(measured, table)
     kept, own = ~F.col("base_failed"), []
     for k in range(len(vocabularies)):
 

@@ -91,6 +91,30 @@ def test_bands_are_those_of_good_texts(spark):
     assert kept.where("kept and doc_id % 2 = 1").count() == 0 and kept.where("kept").count() == 200
 
 
+def test_bands_part_good_from_bad(spark):
+    rng = random.Random(5)
+    parts = ["river", "stone", "morning", "window", "quiet", "garden", "letter", "autumn", "table", "bread"]
+    words = [a + b for a in parts for b in ("", "s", "side", "work", "light", "house")] + parts
+
+    def text(good):
+        return " ".join(rng.choice(words) + ("" if good else str(rng.randrange(10**6))) for _ in range(80))
+
+    rows = [(i, text(i % 4), "en" if i % 8 < 5 else "xx", int(i % 4 > 0)) for i in range(320)] + [(1000, text(True), None, None), (1001, text(True), "yy", 1), (1002, None, "en", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    measured = fertility.measures(table, [PIECES])
+    bands = fertility.part_bands(measured, table.select("doc_id", "quality"), 1)
+    assert set(bands) == {"en", "xx"}  # one good text makes no band
+    each = {r["quality"]: r for r in measured.join(table.select("doc_id", "quality"), "doc_id").where("lang = 'en' and not base_failed").groupBy("quality").agg(F.min("chars_per_token0").alias("low"), F.max("chars_per_token0").alias("high")).collect()}
+    assert each[0]["high"] < bands["en"][0][0] < each[1]["low"] and bands["en"][0][1:] == fertility.BANDS["script:latin"][0][1:]
+    held_out = table.where("doc_id % 5 <> 0").select("doc_id", "quality")
+    fitted = fertility.part_bands(measured, held_out, 1)
+    wide = {name: ((low[0][0], 9.0, 1.0, 0.0, 99.0),) for name, low in fitted.items()} | {"script:other": fertility.BANDS["script:other"]}
+    judged = fertility.fertility(table, PIECES, wide).join(table.select("doc_id", "quality"), "doc_id").where("doc_id % 5 = 0 and doc_id < 1000 and not base_failed")
+    assert judged.where("kept <> (quality = 1)").count() == 0 and judged.count() > 50
+    assert set(fertility.fertility(table, PIECES, labels=held_out).where("doc_id < 320").select("band").distinct().toPandas()["band"]) == {"en", "xx"}
+    assert fertility.fertility(table, PIECES, labels=held_out.limit(0)).where("band = 'script:latin'").count() == 322
+
+
 def test_scripts():
     import pyarrow as pa
 
