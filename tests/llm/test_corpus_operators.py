@@ -338,6 +338,72 @@ def test_pipeline(spark):
     assert out.where("not round_trip").count() == 0 and out.count() > 50
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage by hand on what the one before kept; only the toxicity model and the draws of the mix are the operators' own."""
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    from skyweave.llm import toxicity
+
+    rng = random.Random(8)
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 90").collect()]
+    base = [t for _, t, *_ in rows if t and len(t.split()) > 60]
+    for k in range(12):  # near copies, and a line that many share but for a letter
+        words = base[k % 3].split(" ")
+        words[rng.randrange(len(words))] = "changed"
+        rows.append((1000 + k, " ".join(words), "en", f"s{k % 3}"))
+        rows.append((2000 + k, f"own words {k} of this text\na line that many documents share, number {k % 2}\nand the end of {k}", "en", "s9"))
+    rows += [(3000, None, "en", "s1"), (3001, "", None, None), (3002, "\n\n", "fr", "s2")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    toxic = {r["doc_id"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("toxic").collect()}
+    kept = {i: (t, lang, source) for i, t, lang, source in rows if i not in toxic}
+
+    def close(a, b):
+        at = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return a[at + 1 :] == b[at + 1 :] or a[at:] == b[at + 1 :] or a[at + 1 :] == b[at:]
+
+    first = {}
+    for i in sorted(kept):
+        for k, line in enumerate((kept[i][0] or "").split("\n")):
+            if len(line.strip(" ")) >= 20:
+                first.setdefault(line, (i, k))
+    lines = sorted(first)
+    part = components(lines, [(a, b) for k, a in enumerate(lines) for b in lines[k + 1 :] if abs(len(a) - len(b)) <= 1 and close(a, b)])
+    stay = {}
+    for line in lines:
+        stay[part[line]] = min(stay.get(part[line], (1 << 60, 0)), first[line])
+    cut = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if len(x.strip(" ")) < 20 or stay[part[x]] == (i, k)) for i, (t, *_) in kept.items()}
+
+    sets = {i: shingle_set(t) for i, t in cut.items()}
+    ids = sorted(cut)
+    near = components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    left = [(i, cut[i], *kept[i][1:], len(cut[i] or "")) for i in ids if near[i] == i]
+    assert len(toxic) > 0 and len(left) < len(kept) and any(cut[i] != kept[i][0] for i in ids)
+
+    want = {}
+    for r in mixing.plan(spark.createDataFrame(left, docs.schema)).collect():
+        want[r["doc_id"]] = len(r["shards"])
+    sizes = {}
+    for i, t, _, source, _ in left:
+        sizes[source] = sizes.get(source, 0) + len(WORD.findall(t or ""))
+    targets = target_by_hand(sizes)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got, taken, texts = {}, {}, {i: t for i, t, *_ in left}
+    for r in out:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+        taken[r["source"]] = taken.get(r["source"], 0) + len(WORD.findall(texts[r["doc_id"]] or ""))
+        assert r["round_trip"] and (r["token_ids"] or []) == library.encode(texts[r["doc_id"]] or "")
+    assert got == {i: n for i, n in want.items() if n}
+    largest = {s: max(len(WORD.findall(t or "")) for _, t, _, x, _ in left if x == s) for s in sizes}
+    assert all(abs(taken.get(s, 0) - targets[s]) <= max(largest[s], 3) for s in sizes)
+
+
 def test_registry(spark):
     from skyweave.llm import queries
 
