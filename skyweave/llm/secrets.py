@@ -140,7 +140,7 @@ def candidates(docs: DataFrame, settings: Settings) -> DataFrame:
     return named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", found.alias("found"))
 
 
-def ownership(found: DataFrame, scratch: Scratch) -> DataFrame:
+def ownership(found: DataFrame) -> DataFrame:
     """(hash, owners, repositories) of every value; null owners and repositories are one each.
 
     Distinct (value, owner, repository) rows come first, so a value that a third
@@ -173,7 +173,7 @@ def scan(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "secrets")
     rows = scratch.keep(candidates(docs, settings))
     by_value = rows.select("row", "owner", "repository", F.explode("found").alias("f")).select("row", "owner", "repository", "f.*")
-    counts = ownership(by_value, scratch)
+    counts = ownership(by_value)
     live = scratch.keep(counts.where((F.col("owners") <= settings.owners) & (F.col("repositories") <= settings.repositories)).select("hash", F.xxhash64("hash").alias("mark")))
     marked = by_value.select("row", "start", "kind", "stop", "hash", F.xxhash64("hash").alias("mark"))
     held = restrict(marked, "mark", live).join(live.select("hash"), "hash")

@@ -91,6 +91,27 @@ def test_bands_are_those_of_good_texts(spark):
     assert kept.where("kept and doc_id % 2 = 1").count() == 0 and kept.where("kept").count() == 200
 
 
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM d),
+u AS (SELECT doc_id, count(*) AS n_dup_lines FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS seen FROM n) WHERE seen > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g), range(0, 3) t(j) WHERE n > 1 GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
+
+def test_base_measures_equal_sql(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    got = sorted(tuple(r) for r in fertility.fertility(docs, PIECES).select(*columns).collect())
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    assert got == sorted(con.execute(BASE_SQL).fetchall()) and len(got) == 1000
+
+
 def test_bands_part_good_from_bad(spark):
     rng = random.Random(5)
     parts = ["river", "stone", "morning", "window", "quiet", "garden", "letter", "autumn", "table", "bread"]
