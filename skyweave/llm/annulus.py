@@ -8,7 +8,6 @@ both ends are found by binary search, and what lies between is compared exactly.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
