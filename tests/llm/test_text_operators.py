@@ -306,6 +306,26 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert np.array_equal(a.embedding, b.embedding) and np.array_equal(a.scale, b.scale)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    ids = spark.range(6000).where("crc32(cast(cast(id as string) as binary)) % 5 <> 0").orderBy(F.xxhash64("id")).collect()
+    rows = []
+    for place, (i,) in enumerate(ids):  # one word marks the rows of least hash, others rows beyond any bounded sample of these
+        bad = place % 2
+        word = ("scum" if place < 4200 else "vermin") if bad else "kind"
+        rows.append((i, f"some {word} words of text {i % 50}", "en", bad))
+    rows += [(6000 + k, "plain words " * 10000 + f"ogre {k}", "fr", 1) for k in range(60)]  # over 100,000 characters
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    settings = toxicity.Settings(rows=700)
+    shards, counts = toxicity.shard_rows(table.drop("toxic"), table.select("doc_id", "toxic"), settings)
+    held = {r["doc_id"] for r in table.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").collect()}
+    got = [r["doc_id"] for r in shards.select(F.explode("rows").alias("r")).select("r.doc_id").collect()]
+    assert sorted(got) == sorted(r[0] for r in rows if r[0] not in held) and sum(counts.values()) == len(got) and shards.count() > 4
+    a, b = (toxicity.fit(t.drop("toxic"), table.select("doc_id", "toxic"), settings) for t in (table, table.repartition(7, "text")))
+    assert np.array_equal(a.embedding, b.embedding) and np.array_equal(a.out, b.out) and np.array_equal(a.scale, b.scale) and a.thresholds == b.thresholds
+    odd = spark.createDataFrame([(1, "some vermin words of text 3", "en"), (2, "some scum words of text 3", "en"), (3, "some kind words of text 3", "en"), (4, "plain words " * 10000 + "ogre 1", "fr")], "doc_id long, text string, lang string")
+    assert [r["predicted"] for r in toxicity.score(odd, a).orderBy("doc_id").collect()] == [1, 1, 0, 1]
+
+
 CHATS = [
     (1, 0, "system", "be\nbrief"), (1, 1, "user", "hi <|im_end|>"), (1, 2, "user", "again \\<| \\\\ <\\|"), (1, 3, "assistant", "<|im_sep|>"), (1, 4, "assistant", None), (1, 5, None, "x"),
     (2, 0, "assistant", ""), (3, 1, "user", "b"), (3, 1, "user", "a"), (3, 1, "user", "a"), (3, None, "role\nwith <|im_start|>", "z"), (None, 0, "user", "lost"),
