@@ -132,10 +132,11 @@ def _fetched(rows: pa.Array, settings: Settings) -> list[np.ndarray]:
     return out
 
 
-def _parts(shard: int, n: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(rows to fit on, a fifth for calibration) of a shard of ``n`` rows, in every round the same."""
-    order = np.random.default_rng([settings.seed, shard]).permutation(n)
-    return order[n // 5 :], order[: n // 5]
+def _parts(shard: int, labels: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(rows to fit on, a fifth of each label for calibration) of a shard, in every round the same."""
+    order = np.random.default_rng([settings.seed, shard]).permutation(len(labels))
+    own = [order[labels[order] == label] for label in (0, 1)]
+    return np.concatenate([x[len(x) // 5 :] for x in own]), np.concatenate([x[: len(x) // 5] for x in own])
 
 
 def _epoch(model: Model, sums: tuple, shard: int, epoch: int, got: list, labels: np.ndarray, positive: float) -> tuple[Model, tuple, np.ndarray]:
@@ -146,7 +147,7 @@ def _epoch(model: Model, sums: tuple, shard: int, epoch: int, got: list, labels:
     settings = model.settings
     rng = np.random.default_rng([settings.seed, shard, epoch])
     dim, reach, mask = settings.width, max(settings.widths), _mask(settings)
-    fit, _ = _parts(shard, len(got), settings)
+    fit, _ = _parts(shard, labels, settings)
     model = replace(model, embedding=model.embedding.copy(), filters=model.filters.copy(), bias=model.bias.copy(), out=model.out.copy())
     *grads, seen = (x.copy() for x in sums)
     met = np.zeros(len(seen), bool)
@@ -244,7 +245,7 @@ def _margins(shards: DataFrame, model: Model) -> DataFrame:
             for batch in batches:
                 for k, shard in enumerate(batch.column("shard").to_pylist()):
                     rows = batch.column("rows").slice(k, 1).flatten()
-                    _, rest = _parts(shard, len(rows), model.settings)
+                    _, rest = _parts(shard, rows.field("toxic").to_numpy(zero_copy_only=False), model.settings)
                     rows = rows.take(pa.array(rest))
                     p = np.array([scores(model, g, np.array([g.shape[1]]))[0] for g in _fetched(rows, model.settings)])
                     z = np.rint((np.log(p) - np.log1p(-p)) * 256) / 256  # the scale is still 1, 0
@@ -299,9 +300,14 @@ def shard_rows(docs: DataFrame, labels: DataFrame, settings: Settings, scratch:
     found = texts.select("doc_id", F.octet_length("text").alias("size")).join(usable, "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
     counts = {r["toxic"]: r["n"] for r in found}
     n = max(1, -(-sum(counts.values()) // settings.rows), -(-sum(r["size"] for r in found) // settings.bytes))
-    rows = restrict(texts, "doc_id", usable).join(usable, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    # texts and labels meet under the shard, in the one shuffle of texts
+    none = F.lit(None)
+    rows = restrict(texts, "doc_id", usable).withColumn("toxic", none.cast("int"))
+    rows = rows.unionByName(usable.select("doc_id", none.cast("string").alias("text"), none.cast("string").alias("lang"), "toxic"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(n, "shard").groupBy("shard", "doc_id")
     # a set, sorted: copies of a row count once, and any partitioning gives the same shards
-    shards = rows.repartition(n, "shard").groupBy("shard").agg(F.sort_array(F.collect_set(F.struct("doc_id", "text", "lang", "toxic"))).alias("rows"))
+    rows = rows.agg(F.max("toxic").alias("toxic"), F.collect_set(F.when(F.col("text").isNotNull(), F.struct("text", "lang"))).alias("own")).where("toxic is not null").select("shard", "doc_id", "toxic", F.explode("own").alias("own"))
+    shards = rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("doc_id", "own.text", "own.lang", "toxic"))).alias("rows"))
     return shards, counts
 
 
