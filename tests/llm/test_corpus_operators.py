@@ -497,6 +497,41 @@ def test_mixing_takes_whole_blocks_in_order(spark):
                 assert by_draw.setdefault((r["block"], k), shard) == shard
 
 
+
+def test_edits_grow_with_the_line_without_a_bound(spark):
+    """All pairs by Spark's own distance, over lines up to 40 edits and families of near copies."""
+    rng = random.Random(12)
+
+    def changed(line, edits):
+        own = list(line)
+        for at in sorted(rng.sample(range(len(own)), edits), reverse=True):
+            own[at : at + rng.randint(0, 1)] = [rng.choice("XYZ é")] * rng.randint(0, 2)
+        return "".join(own)
+
+    every = []
+    for n in (20, 63, 64, 127, 128, 129, 190, 256, 300, 420, 600, 1000, 2600):
+        line = "".join(rng.choice("abcdefgé ") for _ in range(n))
+        every += [line, *(changed(line, max(1, min(n // 2, round(n / 64 * share)))) for share in (0.4, 0.7, 1, 1, 1.2, 2))]
+    same = "".join(rng.choice("abcdefg ") for _ in range(140))
+    every += [changed(same + "".join(rng.choice("pqrst") for _ in range(rng.randint(30, 200))), 1) for _ in range(40)]  # a passage that many have
+    every += [changed(same * 2, rng.randint(1, 4)) for _ in range(40)] + ["ab" * 200 + "c" * k for k in range(9)]  # a family, and a line of one period
+    rng.shuffle(every)
+    lines = sorted(set(every))
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    both = frame.join(frame.toDF("j", "y"), F.expr("i < j")).withColumn("t", F.greatest(F.lit(1), F.floor(F.least(F.length("x"), F.length("y")) / 64)))
+    pairs = [(r["i"], r["j"]) for r in both.where(F.levenshtein("x", "y") <= F.col("t")).collect()]
+    part = components(range(len(lines)), pairs)
+    place = {x: k for k, x in enumerate(lines)}
+    seen, want = set(), {}
+    for d, x in enumerate(every):
+        want[d] = "" if part[place[x]] in seen else x
+        seen.add(part[place[x]])
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, line_dedup.Settings(most=None)).collect()}
+    far = max(abs(len(lines[i]) - len(lines[j])) for i, j in pairs)
+    assert got == want and len(pairs) > 100 and far > 4
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     import corpus_pipeline
 
