@@ -970,37 +970,21 @@ def landed_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("""SELECT g AS granule, "row", col, CASE WHEN v % 7 <> 0 THEN CAST(v + k AS DOUBLE) END AS a, CAST((pid + k) % 250 AS DOUBLE) AS q FROM (SELECT px.pid, px."row", px.col, src.v FROM px JOIN src USING ("row", col)), (VALUES ('A2020001.h18v04', 0), ('A2020002.h18v04', 1)) t(g, k)""", SRC))
 def granule_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers of indexed containers, read by ranges of the chunks that the grid touches; granules of other tiles are not opened."""
-    import pyarrow as pa
-    import pyarrow.fs
-
     from skyweave.plans.shared import shared_folder
     from skyweave.sources import granules
 
-    height, size, folder = pixels(spark, sf_dir).agg(F.max("row") + 1).first()[0], 600, shared_folder(spark)
+    height, folder = pixels(spark, sf_dir).agg(F.max("row") + 1).first()[0], shared_folder(spark)
+    size = 600 * -(-(height + 90) // 600)  # a tile of as many pixels as hold the grid
     step = grid.MODIS_TILE / size
     west, north = grid.MODIS_WEST + 18 * grid.MODIS_TILE + 70 * step, grid.MODIS_NORTH - 4 * grid.MODIS_TILE - 90 * step
     there = grid.Grid(west, north - (height - 1e-3) * step, west + (50 - 1e-3) * step, north, grid.SINUSOIDAL, step)
-
-    def work(group: pa.Table) -> pa.Table:
-        name, at = group["granule"][0].as_py(), (group["row"].to_numpy() + 90, group["col"].to_numpy() + 70)
-        layers = {"a": np.full((size, size), -1, np.int16), "q": np.full((size, size), -1, np.int16)}
-        for layer, data in layers.items():
-            data[at] = group[layer].to_numpy().astype(data.dtype)
-        url = f"{folder}/{name}.bin"
-        blob, index = granules.encode_container(layers, url, name, (64, 200), -1)
-        store, path = pa.fs.FileSystem.from_uri(url)
-        store.create_dir(path.rsplit("/", 1)[0] + "/index", recursive=True)
-        for target, content in ((path, blob), (path.rsplit("/", 1)[0] + f"/index/{name}.json", index.encode())):
-            with store.open_output_stream(target) as out:
-                out.write(content)
-        return pa.table({"granule": [name]})
-
     every = F.explode(F.array(*(F.struct(F.lit(g).alias("granule"), F.lit(k).alias("k")) for g, k in (("A2020001.h18v04", 0), ("A2020002.h18v04", 1), ("A2020001.h19v04", 2)))))
     rows = _source(spark, sf_dir).select("row", "col", "v", (F.col("row") * 50 + F.col("col")).alias("pid"), every.alias("g"))
     value = F.when(F.col("v") % 7 == 0, -1).otherwise(F.col("v") + F.col("g.k"))
-    made = rows.select("g.granule", "row", "col", value.cast("int").alias("a"), ((F.col("pid") + F.col("g.k")) % 250).cast("int").alias("q"))
-    made.groupBy("granule").applyInArrow(work, "granule string").count()
-    return granules.granule_pixels(granules.read_index(spark, f"{folder}/index"), there, ["a", "q"], size)
+    made = rows.select("g.granule", (F.col("row") + 90).alias("row"), (F.col("col") + 70).alias("col"), value.cast("int").alias("a"), ((F.col("pid") + F.col("g.k")) % 250).cast("int").alias("q"))
+    granules.write_containers(made, ["a", "q"], (size, size), folder, (64, 200), -1).count()
+    read = granules.granule_pixels(granules.read_index(spark, f"{folder}/index"), there, ["a", "q"], size)
+    return read.where("q is not null")  # every pixel of the table has a code
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
