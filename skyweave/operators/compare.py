@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,25 @@ def coverage(counts: DataFrame, keys: list[str], count: str = "observation_count
     return counts.groupBy(*keys).agg(F.avg((F.coalesce(F.col(count), F.lit(0)) > 0).cast("double")).alias("coverage"))
 
 
+def means_over(rows: DataFrame, keys: list[str], value: str, limit: float, place: str, name: str) -> DataFrame:
+    """(keys, name): the mean of every group less ``limit``, of a sign that no cut into tasks decides.
+
+    A sum of doubles depends on the order of its terms.  Where rounding could
+    turn the sign, the terms are added one by one in the order of ``place``;
+    other groups, nearly all, are combined before their shuffle.
+    """
+    terms, n = F.col(value), F.count(value)
+    # both orders are off by at most about n roundings of the sum of sizes
+    doubt = n * (F.avg(F.abs(terms)) + abs(limit)) * 1e-15
+    told = rows.groupBy(*keys).agg((F.avg(value) - limit).alias(name), doubt.alias("_doubt"))
+    near = told.where(F.abs(name) <= F.col("_doubt")).select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    by_place = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    again = rows.where(terms.isNotNull()).join(near, same, "left_semi").withColumn("_sum", F.sum(value).over(by_place))
+    again = again.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg((F.max_by("_sum", place) / F.count("*") - limit).alias("_again"))
+    return told.join(again, same, "left").select(*keys, F.coalesce("_again", name).alias(name))
+
+
 def crossover(curve: DataFrame, keys: list[str], index: str, x: str, difference: str) -> DataFrame:
     """The first x after the start at which the difference is not negative."""
     return curve.groupBy(*keys).agg(F.min(F.when((F.col(index) >= 1) & (F.col(difference) >= 0), F.col(x))).alias("crossover"))

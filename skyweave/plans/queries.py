@@ -713,7 +713,9 @@ def sidecar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("""SELECT chunk_id, min(CASE WHEN k >= 1 AND d >= 0 THEN k END) AS crossover FROM (SELECT chunk_id, l_linenumber AS k, avg(b2) - 0.04 AS d FROM obs GROUP BY ALL) GROUP BY 1"""))
 def first_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = observations(spark, sf_dir, ordered=False).groupBy("chunk_id", F.col("l_linenumber").alias("k")).agg((F.avg("b2") - 0.04).alias("d"))
+    """The first number at which the mean reaches a limit; means at the limit are those of the table's own order."""
+    obs = observations(spark, sf_dir, ordered=False, placed=True).select("chunk_id", F.col("l_linenumber").alias("k"), "b2", "place")
+    curve = compare.means_over(obs, ["chunk_id", "k"], "b2", 0.04, "place", "d")
     return compare.crossover(curve, ["chunk_id"], "k", "k", "d")
 
 

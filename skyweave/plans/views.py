@@ -33,9 +33,10 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scene_index"), F.concat(F.lit("T"), (F.col("s_nationkey") % 4).cast("string")).alias("tile"))
 
 
-def observations(spark: SparkSession, sf_dir: str, ordered: bool = True) -> DataFrame:
-    """A row for each observation of a pixel by a scene; ``obs_order`` numbers those of a pixel."""
+def observations(spark: SparkSession, sf_dir: str, ordered: bool = True, placed: bool = False) -> DataFrame:
+    """A row for each observation of a pixel by a scene; ``obs_order`` numbers those of a pixel, ``place`` tells where the table has it."""
     rows = table(spark, sf_dir, "lineitem")
+    place = [F.struct("_metadata.file_path", "_metadata.row_index").alias("place")] if placed else []
     quantity = F.col("l_quantity").cast("int")
     out = rows.select(
         *(c.alias(n) for n, c in pixel_columns(F.col("l_partkey")).items()),
@@ -51,6 +52,7 @@ def observations(spark: SparkSession, sf_dir: str, ordered: bool = True) -> Data
         ((quantity % 11) / 10.0).alias("cs"),
         F.when(F.col("l_returnflag") != "N", F.col("l_linenumber")).alias("sample_index"),
         *ORDER,
+        *place,
     )
     if ordered:
         # by the pixel column, so that an aggregation by pixel reuses the exchange and its order

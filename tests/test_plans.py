@@ -428,3 +428,33 @@ def test_landed_products(spark, tmp_path):
     items = spark.createDataFrame([("a", "2020-01-05"), ("b", "2020-03-05"), ("c", "2020-06-05")], "id string, d string").select("id", F.lit("k").alias("collection"), F.array(*(F.lit(x) for x in (0.0, 0.0, 1.0, 1.0))).alias("bbox"), F.create_map(F.lit("datetime"), "d", F.lit("eo:cloud_cover"), F.lit("5")).alias("properties"))
     found = catalog.search_ranges(items, ["k"], (0, 0, 1, 1), [("2020-01-01", "2020-01-31"), ("2020-06-01", "2020-06-30")])
     assert sorted(r["id"] for r in found.collect()) == ["a", "c"]
+
+
+def test_crossover_is_that_of_the_table_in_order(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from skyweave.plans import queries
+
+    # chunks whose mean is at the limit, over two files: sums of the halves, joined, fall on the other side of it in some
+    rng, rows, want, halves = np.random.default_rng(5), [[], []], {}, {}
+    for chunk in range(40):
+        tax = rng.permutation([0.01, 0.03, 0.05, 0.07] * 25)
+        total, parts = 0.0, [0.0, 0.0]
+        for at, t in enumerate(tax):
+            total, parts[at >= 50] = total + t, parts[at >= 50] + t
+            rows[at >= 50].append((chunk, float(t)))
+        want[chunk] = 1 if total / 100 - 0.04 >= 0 else None
+        halves[chunk] = 1 if (parts[0] + parts[1]) / 100 - 0.04 >= 0 else None
+    assert want != halves
+    (tmp_path / "lineitem.parquet").mkdir()
+    base = pq.read_table(f"{SF}/lineitem.parquet").slice(0, len(rows[0]))
+    for k, own in enumerate(rows):
+        cols = {"l_partkey": pa.array([c % 5 * 10 + c // 5 * 500 for c, _ in own], pa.int64()), "l_linenumber": pa.array([1] * len(own), pa.int32()), "l_tax": pa.array([t for _, t in own])}
+        part = base
+        for name, column in cols.items():
+            part = part.set_column(part.schema.get_field_index(name), name, column)
+        pq.write_table(part, tmp_path / "lineitem.parquet" / f"{k}.parquet")
+    got = queries.first_crossover(spark, str(tmp_path)).collect()
+    assert {r["chunk_id"]: r["crossover"] for r in got} == want
