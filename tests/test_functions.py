@@ -134,3 +134,15 @@ def test_positions_across_systems(spark):
     assert abs(row - (b.north - y) / 10) < 1e-6 and abs(col - (x - b.west) / 10) < 1e-6
     same = one(spark, F.struct(*grid.source_position(a, a, F.lit(3), F.lit(4))))
     assert tuple(same) == (3.5, 4.5)
+
+
+def test_chunk_rows_are_the_layout_of_every_grid(spark):
+    sizes = [(1, 700, 1300), (2, 512, 512), (3, 1, 1), (4, 5, 0), (5, 1025, 513), (6, 0, 9)]
+    grids = spark.createDataFrame(sizes, "g int, h int, w int")
+    got = {tuple(r) for r in grid.chunk_rows(grids, 512).collect()}
+    want = {(g, r * -(-w // 512) + c, r * 512, c * 512, min(512, h - r * 512), min(512, w - c * 512)) for g, h, w in sizes for r in range(-(-h // 512)) for c in range(-(-w // 512))}
+    assert got == want
+    # rows of one large grid are dealt, so its chunks are in several tasks and in no array
+    large = grid.chunk_rows(spark.createDataFrame([(1, 300_000, 500_000)], "g int, h int, w int"), 512)
+    parts = large.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 586 * 977 and len(parts) > 4
