@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from skyweave.functions.grid import SINUSOIDAL, project_columns, sinusoidal_columns
 from skyweave.operators.ordering import dealt
 
-REQUIRED = "chunk_id int, tiles array<string>, required array<string>, unreachable double"
+BOX = ("west", "south", "east", "north")
+REQUIRED = "tiles array<string>, required array<string>, unreachable double"
 
 
 def clip(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
@@ -110,6 +111,28 @@ def overlay(rings: list[np.ndarray], owners: list[int], n: int, block: int = 1 <
     return own, alone, whole
 
 
+def _inside(rings: list[np.ndarray], box: tuple[float, float, float, float]) -> list[np.ndarray]:
+    """The distinct parts of the rings inside a box that have an area; the box alone if one of them covers it.
+
+    Upright rectangles, which many footprints are, are clipped all at once.
+    """
+    rings = [r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in rings]
+    corners = [k for k, r in enumerate(rings) if r.shape == (4, 2)]
+    upright = np.array([rings[k] for k in corners]).reshape(-1, 4, 2)
+    low, high = upright.min(1), upright.max(1)
+    # all corners at the ends of both axes, those across from each other apart
+    ends = ((upright == low[:, None]) | (upright == high[:, None])).all((1, 2)) & (upright[:, 0] != upright[:, 2]).all(1) & (upright[:, 1] != upright[:, 3]).all(1)
+    ends &= ((upright[:, 0] == upright[:, 1]).sum(1) == 1) & ((upright[:, 2] == upright[:, 3]).sum(1) == 1)
+    low, high = np.maximum(low[ends], box[:2]), np.minimum(high[ends], box[2:])
+    held = np.unique(np.concatenate([low, high], 1)[(high > low).all(1)], axis=0)
+    square = np.array([box[:2], (box[2], box[1]), box[2:], (box[0], box[3])])
+    if (held == np.array(box)).all(1).any():
+        return [square]
+    others = set(range(len(rings))) - {corners[k] for k in np.flatnonzero(ends)}
+    parts = {part.tobytes(): part for k in sorted(others) if area(part := clip(rings[k], box)) > 0}
+    return [np.array([(a, b), (c, b), (c, d), (a, d)]) for a, b, c, d in held] + list(parts.values())
+
+
 def requirement(box: tuple[float, float, float, float], tiles: dict[str, list[np.ndarray]], least: float) -> tuple[list[str], list[str], float]:
     """(tiles that a box meets, those it requires, share that no tile covers); ``least``: exclusive area of a required tile."""
     full = (box[2] - box[0]) * (box[3] - box[1])
@@ -117,8 +140,7 @@ def requirement(box: tuple[float, float, float, float], tiles: dict[str, list[np
     corner = np.array([box[0], box[1]])
     square = np.array([[0.0, 0.0], [box[2] - box[0], 0.0], [box[2] - box[0], box[3] - box[1]], [0.0, box[3] - box[1]]])
     for tile in sorted(tiles):
-        parts = {part.tobytes(): part for r in tiles[tile] if area(part := clip(r - corner, (0.0, 0.0, *square[2]))) > 0}
-        own = list(parts.values())
+        own = _inside([r - corner for r in tiles[tile]], (0.0, 0.0, *square[2]))
         if any(area(x) >= full * (1 - 1e-12) and len(x) == len(np.unique(x, axis=0)) for x in own):
             own = [square]  # many scenes of a tile cover a chunk whole: one of them says all
         if own:
@@ -155,7 +177,7 @@ def footprints(scenes: DataFrame, crs: int | str) -> DataFrame:
 
 
 def _met(chunks: DataFrame, tiles: DataFrame, edge: float) -> DataFrame:
-    """(chunk_id, tile, rings) of boxes that meet: both are dealt to cells of ``edge``, and meet in the cell of their common corner."""
+    """(west, south, east, north, tile, rings) of boxes that meet: both are dealt to cells of ``edge``, and meet in the cell of their common corner."""
 
     def cells(low: str, high: str) -> Column:
         return F.sequence(F.floor(F.col(low) / edge), F.floor(F.col(high) / edge))
@@ -166,7 +188,7 @@ def _met(chunks: DataFrame, tiles: DataFrame, edge: float) -> DataFrame:
     both = in_cells(chunks, "west", "south", "east", "north").join(in_cells(tiles, "x0", "y0", "x1", "y1"), ["cx", "cy"])
     both = both.where((F.col("west") < F.col("x1")) & (F.col("east") > F.col("x0")) & (F.col("south") < F.col("y1")) & (F.col("north") > F.col("y0")))
     here = (F.floor(F.greatest("west", "x0") / edge) == F.col("cx")) & (F.floor(F.greatest("south", "y0") / edge) == F.col("cy"))
-    return both.where(here).select("chunk_id", "tile", "rings")
+    return both.where(here).select(*BOX, "tile", "rings")
 
 
 def classify(chunks: DataFrame, tiles: DataFrame, resolution: float) -> DataFrame:
@@ -182,24 +204,27 @@ def classify(chunks: DataFrame, tiles: DataFrame, resolution: float) -> DataFram
     boxed = tiles.select("tile", "rings", *(f(F.transform(flat, lambda p: p[k])).alias(n) for n, f, k in (("x0", F.array_min, 0), ("y0", F.array_min, 1), ("x1", F.array_max, 0), ("y1", F.array_max, 1))))
     # cells about as wide as a tile: a tile is in a few, a chunk mostly in one
     edge = boxed.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0
-    met = chunks.join(_met(chunks, boxed, max(float(edge), resolution)), "chunk_id", "left")
-    schema = pa.schema([("chunk_id", pa.int32()), ("tiles", pa.list_(pa.string())), ("required", pa.list_(pa.string())), ("unreachable", pa.float64())])
+    # what a box requires is told once, however many chunks have that box
+    placed = chunks.select(F.col("chunk_id").cast("int").alias("chunk_id"), *((F.col(c).cast("double") + 0.0).alias(c) for c in BOX))
+    boxes = placed.select(*BOX).distinct()
+    met = boxes.join(_met(boxes, boxed, max(float(edge), resolution)), [*BOX], "left")
+    schema = pa.schema([*((c, pa.float64()) for c in BOX), ("tiles", pa.list_(pa.string())), ("required", pa.list_(pa.string())), ("unreachable", pa.float64())])
 
     def work(group: pa.Table) -> pa.Table:
-        told = {c: group[c].to_pylist() for c in ("chunk_id", "west", "south", "east", "north", "tile", "rings")}
         own: dict[str, list[np.ndarray]] = {}
-        for tile, rings in zip(told["tile"], told["rings"], strict=True):
+        for tile, rings in zip(group["tile"].to_pylist(), group["rings"].to_pylist(), strict=True):
             if tile is not None:
                 own.setdefault(tile, []).extend(np.array(r, float) for r in rings)
-        box = tuple(float(told[c][0]) for c in ("west", "south", "east", "north"))
-        return pa.Table.from_pylist([dict(zip(schema.names, (told["chunk_id"][0], *requirement(box, own, resolution * resolution)), strict=True))], schema)
+        box = tuple(group[c][0].as_py() for c in BOX)
+        return pa.Table.from_pylist([dict(zip(schema.names, (*box, *requirement(box, own, resolution * resolution)), strict=True))], schema)
 
     def reaches(ring: Column) -> Column:
         x, y = F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
         return (F.array_max(x) > F.col("west")) & (F.array_min(x) < F.col("east")) & (F.array_max(y) > F.col("south")) & (F.array_min(y) < F.col("north"))
 
-    picked = met.select("chunk_id", *(F.col(c).cast("double").alias(c) for c in ("west", "south", "east", "north")), "tile", F.filter("rings", reaches).alias("rings"))
-    return dealt(picked, "chunk_id").groupBy("chunk_id").applyInArrow(work, REQUIRED)
+    picked = met.select(*BOX, "tile", F.filter("rings", reaches).alias("rings"))
+    told = dealt(picked, *BOX).groupBy(*BOX).applyInArrow(work, ", ".join(f"{c} double" for c in BOX) + ", " + REQUIRED)
+    return placed.join(told, [*BOX]).select("chunk_id", "tiles", "required", "unreachable")
 
 
 def required_tiles(partition: DataFrame) -> DataFrame:

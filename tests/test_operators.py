@@ -305,3 +305,38 @@ def test_residual_by_band(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [None, 1.0])], "k int, e array<double>")
     got = {r["k"]: r for r in spectra.reconstruction_residual(rows, rows.withColumnRenamed("k", "l"), "k", "l", "e", own="k").collect()}
     assert set(got) == {1, 2} and got[1]["residual"] == [0.0, 1.0] and abs(got[1]["rmse"] - 0.5**0.5) < 1e-12
+
+
+def test_chunks_of_one_box_are_classified_once(spark, monkeypatch, tmp_path):
+    seen = tmp_path / "seen"
+    asked = partition.requirement
+
+    def counted(box, tiles, least):
+        with seen.open("a") as out:
+            out.write(f"{box}\n")
+        return asked(box, tiles, least)
+
+    monkeypatch.setattr(partition, "requirement", counted)
+    chunks = spark.range(60).selectExpr("cast(id as int) chunk_id", "id % 2 * 10 west", "0 south", "id % 2 * 10 + 10 east", "10 north")
+    rings = [[[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0]], [[4.0, 0.0], [14.0, 0.0], [14.0, 10.0], [4.0, 10.0]]]
+    tiles = spark.createDataFrame([("A", rings[:1]), ("B", rings[1:])], "tile string, rings array<array<array<double>>>")
+    got = {r["chunk_id"]: (r["tiles"], r["required"], round(r["unreachable"], 9)) for r in partition.classify(chunks, tiles, 1.0).collect()}
+    assert got == {k: (["B"], ["B"], 0.6) if k % 2 else (["A", "B"], ["A"], 0.0) for k in range(60)}
+    assert len(seen.read_text().splitlines()) == 2
+
+
+def test_upright_rectangles_are_clipped_as_polygons():
+    import numpy as np
+
+    rng, box = np.random.default_rng(2), (0.0, 0.0, 10.0, 8.0)
+    for _ in range(30):
+        rings = []
+        for _ in range(40):
+            x0, y0, x1, y1 = *rng.integers(-6, 9, 2), *rng.integers(-2, 14, 2)
+            ring = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], float)
+            ring = ring if rng.random() < 0.8 else ring[rng.permutation(4)]  # some cross themselves
+            rings.append(ring if rng.random() < 0.5 else np.concatenate([ring, ring[:1]]))
+        rings.append(np.array([(1, 1), (5, 2), (3, 6)], float))
+        plain = [p for r in rings if partition.area(p := partition.clip(r, box)) > 0]
+        a, b = partition.overlay(plain, [0] * len(plain), 1)[2], partition.overlay(own := partition._inside(rings, box), [0] * len(own), 1)[2]
+        assert abs(a - b) < 1e-9
